@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hilandera.llm import mixing, quality_rules, sharding
+from hilandera.llm import mixing, quality_rules, sharding, token_files
 from hilandera.llm.common import table
 
 QUERIES = {
+    "op10_token_files": lambda spark, d: token_files.digest(table(spark, d, "documents")),
     "op4_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op6_sharding": lambda spark, d: sharding.digest(spark, d),
     "op9_quality_rules": lambda spark, d: quality_rules.digest(table(spark, d, "documents")),
