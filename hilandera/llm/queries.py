@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hilandera.llm import bpe, mixing, quality_rules, sharding, token_files
+from hilandera.llm import bpe, compression_classifier, mixing, quality_rules, sharding, token_files
 from hilandera.llm.common import table
 
 QUERIES = {
+    "op5_compression_classifier": lambda spark, d: compression_classifier.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_bpe": lambda spark, d: bpe.digest(table(spark, d, "documents")),
     "op10_token_files": lambda spark, d: token_files.digest(table(spark, d, "documents")),
     "op4_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
