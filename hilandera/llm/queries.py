@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hilandera.llm import bpe, compression_classifier, mixing, quality_rules, secret_scan, sharding, token_files
+from hilandera.llm import bpe, compression_classifier, mixing, quality_rules, secret_scan, sharding, simhash, token_files
 from hilandera.llm.common import table
 
 QUERIES = {
+    "op2_simhash": lambda spark, d: simhash.digest(table(spark, d, "documents")),
     "op8_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
     "op5_compression_classifier": lambda spark, d: compression_classifier.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_bpe": lambda spark, d: bpe.digest(table(spark, d, "documents")),
