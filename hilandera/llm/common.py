@@ -75,3 +75,20 @@ def prefix_sums(counts: DataFrame, index: str, value: str, out: str, group: int
         .withColumn(out, F.col(base) + F.coalesce(F.sum(value).over(within), F.lit(0)))
         .drop(g, base)
     )
+
+
+def most_frequent(counts: DataFrame, n: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the highest counts, `size` of them at most, and the others.
+
+    The cut lies between two grades of the counts' logarithm (at most 8 * 64 of them), so that no
+    sort of the table is needed.
+    """
+    grade = F.floor(F.log2(n) * 8)
+    grades = sorted(((r["grade"], r["rows"]) for r in counts.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    total, least = 0, 1 << 40
+    for g, rows in grades:
+        total += rows
+        if total > size:
+            break
+        least = g
+    return counts.filter(grade >= least), counts.filter(grade < least)

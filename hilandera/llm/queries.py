@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hilandera.llm import bpe, compression_classifier, cover_tree, mixing, quality_rules, secret_scan, sharding, simhash, token_files
+from hilandera.llm import bloom_lm, bpe, compression_classifier, cover_tree, mixing, quality_rules, secret_scan, sharding, simhash, token_files
 from hilandera.llm.common import table
 
 QUERIES = {
+    "op1_bloom_lm": lambda spark, d: bloom_lm.digest(table(spark, d, "documents")),
     "op7_cover_tree": lambda spark, d: cover_tree.digest(table(spark, d, "embeddings")),
     "op2_simhash": lambda spark, d: simhash.digest(table(spark, d, "documents")),
     "op8_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
