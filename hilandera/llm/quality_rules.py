@@ -96,6 +96,9 @@ def ledger(docs: DataFrame, text: str = "text", out: str = "ledger") -> DataFram
         "repeated_lines": 100 * x("n_dup_lines") > 90 * x("n_lines"),
     }
     bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(c, F.lit(1 << RULES[k]).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in failed.items()))
+    # floor(rand) is 0; it keeps Catalyst from copying all of the above into a filter on these bits,
+    # where each mention would be computed again
+    bits = bits + F.floor(F.rand(0)).cast("long")
     return measured.withColumn(out, F.struct(F.col(f"{m}.*"), bits.alias("fail_bits"))).drop(*({t, w, n, lines, m} - {out}))
 
 
