@@ -22,7 +22,6 @@ written.
 from __future__ import annotations
 
 import math
-import re
 import struct
 import uuid
 
@@ -33,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hilandera.llm.common import shared_dir
+from hilandera.llm.word_cache import PLAIN, WordCache, load, packed
 
 END_ID = 1
 BLOCK = 65_536
 #: Bytes of text for each file, and the most files that a folder gets (they grow beyond).
 FILE_BYTES = 32 << 20
 MAX_FILES = 20_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _HEAD = struct.Struct("<4sBBxxI")
-_PLAIN = re.compile(rb"([a-z]+)([.,;:!?]*)")
 
 
 def default_tokenizer() -> str:
@@ -71,27 +70,16 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel()
 
 
-class WordIds(dict):
-    """word (bytes) -> ids as little-endian unsigned 32-bit integers, remembered up to a limit."""
+class WordIds(WordCache):
+    """Words as bytes without white space."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        plain = _PLAIN.fullmatch(word)
-        if plain:
-            ids = [t.id for part in plain.groups() if part for t in self.tokenizer.model.tokenize(part.decode())]
-        else:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
-        return out
+    def ids(self, word: bytes) -> bytes:
+        lower = word.decode().lower()
+        plain = PLAIN.fullmatch(lower)
+        if not plain:
+            return packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        letters, marks = plain.groups()
+        return self[letters.encode()] + self[marks.encode()] if marks else self.piece(letters)
 
     def encode(self, text: bytes) -> bytes:
         # ASCII letters are lowered here for the cache's sake, but not in a special token's name
@@ -177,15 +165,13 @@ def write_token_files(docs: DataFrame, folder: str, key: str = "doc_id", text: s
     """Writes docs' ids in ascending order of key into files in `folder` (a URI); returns the
     folder's index: file (in order), docs, ids, start (ids in all files before it)."""
     path = path or default_tokenizer()
-    from tokenizers import Tokenizer
-
-    bits = bits_for(max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1))
+    bits = bits_for(max(load(path).get_vocab_size(with_added_tokens=True), end_id + 1))
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_files = min(MAX_FILES, max(1, math.ceil(n_bytes / FILE_BYTES)))
     order = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def write(batches):
-        words, end, writer = WordIds(path), np.array([end_id], "<u4").tobytes(), None
+        words, end, writer = WordIds(path, limit=CACHE_WORDS), np.array([end_id], "<u4").tobytes(), None
         place, name = _open(folder)
         task = TaskContext.get()
         file = f"part-{task.partitionId():06d}.tid"
