@@ -4,7 +4,7 @@
    follow the tokenizer's own rule), so that the library's ids of a text are the ids of its words,
    one after the other. Words are counted over all documents.
 2. The words that occur most, up to TABLE_WORDS of them, are encoded once each and make up the
-   word table; a histogram of the counts gives the cut, so only 300,000 rows at most are broadcast.
+   word table; a histogram of the counts gives the cut, so only 200,000 rows at most are broadcast.
 3. Ids are put back by position through the table. A word too rare for it is encoded where it
    stands, with the same library: to ship it to a join and back costs more than to encode it.
 4. Decoding joins ids to pieces (one row for each id of the vocabulary, a bounded table) and reads
@@ -28,61 +28,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hilandera.llm.common import free_name, stored
+from hilandera.llm.common import free_name, most_frequent, stored
+from hilandera.llm.word_cache import PLAIN, WordCache, byte_letters, load, packed
 
-TABLE_WORDS = 300_000
+TABLE_WORDS = 200_000
 #: Words that a task remembers besides the table's.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+SLICE_ROWS = 512
 #: What Unicode calls white space, as the tokenizer's pattern reads \s.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]")
-#: A word of plain letters and marks behind them: two pieces that need no pre-tokenizer.
-PLAIN = re.compile(r"( ?[A-Za-z]+)([.,;:!?]*)")
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _load(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
-
-
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level pieces: itself if it prints, else one above 255."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
-
-
-class WordTable(dict):
-    """word -> its ids as little-endian unsigned 32-bit integers; words that it lacks are encoded and kept for a while."""
+class WordTable(WordCache):
+    """Words as strings; `encode` puts the ids of a text's words one after the other."""
 
     def __init__(self, path: str, known: dict[str, bytes]):
-        super().__init__(known)
-        self.known, self.tokenizer, self.limit = known, _load(path), len(known) + CACHE_WORDS
-        self.special = {t.content: np.uint32(i).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        super().__init__(path, known, CACHE_WORDS)
+        self.special = {t.content: packed([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.around = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.known)
+    def ids(self, word: str) -> bytes:
         plain = PLAIN.fullmatch(word)
-        if plain:
-            model = self.tokenizer.model
-            ids = [t.id for part in plain.groups() if part for t in model.tokenize(part.replace(" ", "Ġ"))]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
-        return out
+        if not plain:
+            return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        letters, marks = plain.groups()
+        return self[letters] + self[marks] if marks else self.piece(letters)
 
     def encode(self, text: str) -> bytes:
         if self.around is None or not self.around.search(text):
@@ -94,6 +69,13 @@ class WordTable(dict):
         return b"".join([*out, *map(self.__getitem__, UNIT.findall(text[start:]))])
 
 
+def _slices(batches):
+    """The batches in slices of SLICE_ROWS rows, which bounds what a step holds beside its input."""
+    for b in batches:
+        for start in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(start, SLICE_ROWS)
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, n: how often each word occurs in the texts."""
 
@@ -103,7 +85,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for t in batch.column(0).to_pylist():
                 seen.update(UNIT.findall(t or ""))
                 if len(seen) > 200_000:
@@ -117,24 +99,14 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 def word_table(docs: DataFrame, text: str = "text", path: str | None = None, size: int = TABLE_WORDS) -> DataFrame:
     """word, n, ids: at most `size` of the most frequent words, each encoded once."""
     path = path or default_tokenizer()
-    grade = F.floor(F.log2("n") * 8)
-    counts = stored(count_words(docs, text), "words")
-    # at most 8 * 64 grades
-    grades = sorted(((r["grade"], r["n"]) for r in counts.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    total, least = 0, None
-    for g, n in grades:
-        total += n
-        if total > size:
-            break
-        least = g
+    frequent, _ = most_frequent(stored(count_words(docs, text), "words"), "n", size)
 
     def encode(batches):
         own = WordTable(path, {})
-        for b in batches:
+        for b in _slices(batches):
             ids = [own[w] for w in b.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    frequent = counts.filter(grade >= F.lit(least)) if least is not None else counts.limit(0)
     return frequent.mapInArrow(encode, "word string, n long, ids binary")
 
 
@@ -147,7 +119,7 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
     def encode(batches):
         own = WordTable(path, known.value)
-        for b in batches:
+        for b in _slices(batches):
             ids = [own.encode(t or "") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.large_binary()).cast(pa.binary())], [*b.schema.names, out])
 
@@ -156,8 +128,8 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id's piece."""
-    vocabulary = _load(path).get_vocab(with_added_tokens=True)
-    byte = {c: bytes([b]) for b, c in enumerate(_byte_letters())}
+    vocabulary = load(path).get_vocab(with_added_tokens=True)
+    byte = {c: bytes([b]) for b, c in enumerate(byte_letters())}
     out = [b""] * (max(vocabulary.values()) + 1)
     for piece, i in vocabulary.items():
         out[i] = b"".join(byte.get(c) or c.encode() for c in piece)
@@ -171,7 +143,7 @@ def decode_documents(encoded: DataFrame, ids: str = "ids", path: str | None = No
 
     def decode(batches):
         piece = pieces(path)
-        for b in batches:
+        for b in _slices(batches):
             texts = [b"".join(map(piece.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.large_string()).cast(pa.string())], [*b.schema.names, out])
 
