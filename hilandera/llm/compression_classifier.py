@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = F.when(F.col("label") == 1, F.lit(sample_rows / counts[1])).otherwise(F.lit(sample_rows / counts[0]))
     known = known.withColumn("at", at).filter(F.col("at") < share * 900_000)
     start = (F.pmod(F.xxhash64(F.lit(6), "key"), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1).cast("int")
-    windows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(known, "key")
+    # some 0.9 * SAMPLE_ROWS rows for each label: small whatever the tables' sizes
+    windows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "key")
     rows = windows.select("key", "label", F.substring("text", start, F.lit(WINDOW)).alias("text"), F.xxhash64(F.lit(7), "key").alias("h")).toPandas()
     rows = rows.sort_values(["key", "text"]).drop_duplicates("key")
     build, y = (rows["h"] % 2 == 0).to_numpy(), rows["label"].to_numpy()
