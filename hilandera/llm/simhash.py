@@ -1,20 +1,21 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-1. Fingerprints: 64 bits of the hashes of a document's word shingles, by majority.
-2. Distinct fingerprints are sorted by Gray rank and cut into blocks of consecutive ranks: exact
-   copies are one entry from here on, and neighbours in Gray order share many bits.
-3. Upper nodes: a block's node is the bits in which all its fingerprints agree (mask and value). A
-   fingerprint visits a block only if it differs from the node in LIMIT bits at most; the rest of
-   the block is pruned unseen. Pairs of blocks are visited from one side.
-4. In a block, both sides are trees of such nodes over their Gray order, and pairs of nodes are
-   pruned from the top by the differences in their common masks; leaves are compared bit by bit.
-5. Only a star of each local component leaves a task; components of the stars are found by
+1. Fingerprints: 64 bits of the hashes of a document's word shingles, by majority. Exact copies are
+   one entry from here on.
+2. Two fingerprints within LIMIT = 2 bits agree in one of three segments of 21 or 22 bits. So they
+   are indexed in three rotations, each with another segment in front. Sorted by Gray rank, those
+   that share the front segment stand together, and a block is a range of ranks that does not part
+   them: every link lies within a block of some rotation, and nothing visits another block.
+3. A block is a tree over its Gray order: a node holds the bits in which all below it agree (mask
+   and value). Pairs of nodes are pruned from the top by the differences in their common masks, and
+   only the leaves that are left are compared bit by bit.
+4. Only a star of each local component leaves a task; components of the stars are found by
    large-star and small-star rounds.
 
-A block with many visitors is split by them (each part holds the block and VISITORS of them at
-most), so a dense region of fingerprints does not end up in one task; a part in which pruning finds
-too little to prune is solved by grouping fingerprints with those at one bit's distance, which is
-linear: two of them are within two bits just if some value is within one bit of either.
+A front segment that more than HOT_ROWS fingerprints share is cut once more, by the same argument,
+into the segments of its other bits. A block in which there is too little to prune is solved by
+grouping fingerprints with the values at one bit's distance, which is linear: two of them are within
+two bits just if some value is within one bit of either.
 
 Defined cases: a text without words, or a null one, has fingerprint zero and links like any other;
 a document without a key never names a component; rows that share a key keep one row each; an empty
@@ -37,12 +38,17 @@ SHINGLE = 3
 SEED = 42
 LIMIT = 2
 BLOCK_ROWS = 4096
-#: Nodes that are broadcast (24 bytes each); blocks grow beyond that.
-MAX_BLOCKS = 16_384
-VISITORS = 250_000
+#: Fingerprints with one front segment beyond which it is cut again.
+HOT_ROWS = 50_000
+#: Hot segments are broadcast up to this many, joined by shuffle beyond.
+BROADCAST_ROWS = 500_000
+#: Width of each rotation's front segment, and (offset, width) of the segments behind it.
+FRONTS = (21, 21, 22)
+BEHIND = (((28, 15), (14, 14), (0, 14)), ((28, 15), (14, 14), (0, 14)), ((28, 14), (14, 14), (0, 14)))
 LEAF, FAN = 16, 4
 #: Comparisons of leaves for each fingerprint beyond which a part counts as dense.
 DENSE = 20_000
+_U = np.uint64
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -153,68 +159,54 @@ def _by_neighbours(fps: np.ndarray):
     yield order[:-1][same] % n, order[1:][same] % n
 
 
-def local_stars(own: np.ndarray, visitors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, the first of its component) of all fingerprints with links among own or to visitors."""
-    own, visitors = (x[np.argsort(_rank(x), kind="stable")] for x in (own, visitors))
-    every, n = np.concatenate([own, visitors]), len(own)
+def local_stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, the first of its component) of all with links."""
+    fps = fps[np.argsort(_rank(fps), kind="stable")]
 
-    def links():
-        for other, base in ((own, 0), (visitors, n)):
-            for pair in near_pairs(own, other, most=DENSE * len(every)):
-                if pair is None:
-                    raise OverflowError
-                yield pair[0], pair[1] + base
+    def pairs():
+        for pair in near_pairs(fps, fps, most=DENSE * len(fps)):
+            if pair is None:
+                raise OverflowError
+            yield pair
 
     try:
-        label = local_components(len(every), links())
+        label = local_components(len(fps), pairs())
     except OverflowError:
-        label = local_components(len(every), _by_neighbours(every))
-    away = label != np.arange(len(every))
-    return every[away], every[label[away]]
+        label = local_components(len(fps), _by_neighbours(fps))
+    away = label != np.arange(len(fps))
+    return fps[away], fps[label[away]]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp) that connect all that lie within LIMIT bits."""
-    spark = distinct.sparkSession
-    n = distinct.count()
-    n_blocks = min(MAX_BLOCKS, max(1, math.ceil(n / BLOCK_ROWS)))
-
-    def number(batches):
-        from pyspark import TaskContext
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, TaskContext.get().partitionId(), np.int32))], ["fp", "block"])
+def _turned(fps: np.ndarray, by: int) -> np.ndarray:
+    """fps rotated left by some bits."""
+    by %= 64
+    return (fps << _U(by)) | (fps >> _U(64 - by)) if by else fps
 
-    ranked = distinct.select("fp", gray_rank(F.col("fp")).alias("rank"))
-    blocks = cut(ranked.repartitionByRange(n_blocks, "rank").select("fp").mapInArrow(number, "fp long, block int"))
-    # one row for each block, at most MAX_BLOCKS (or the session's partitions)
-    rows = sorted(blocks.groupBy("block").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).collect())
-    index = [np.array([r[k] for r in rows], np.int64) for k in ("block", "ones", "zeros")]
 
-    def route(batches):
-        """(block, fp) for each block that the fingerprint visits."""
-        numbers, ones, zeros = index[0], index[1].view(np.uint64), index[2].view(np.uint64)
-        for b in batches:
-            fps, mine = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            for s in range(0, len(fps), 1024):
-                f = fps[s : s + 1024, None]
-                apart = np.bitwise_count((f & zeros) | (~f & ones))
-                i, j = np.nonzero((apart <= LIMIT) & (numbers > mine[s : s + 1024, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[j].astype(np.int32)), pa.array(fps[s + i].view(np.int64))], ["block", "fp"])
-
-    visits = blocks.mapInArrow(route, "block int, fp long")
-    # one row for each block again: how many parts its visitors need
-    parts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts")).filter("parts > 1").collect()
-    parts = spark.createDataFrame([tuple(r) for r in parts], "block int, parts int")
-    own = blocks.join(F.broadcast(parts), "block", "left").select("block", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "fp", F.lit(True).alias("own"))
-    guest = visits.join(F.broadcast(parts), "block", "left").select("block", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "fp", F.lit(False).alias("own"))
+def links(distinct: DataFrame) -> DataFrame:
+    """Links a, b between distinct fingerprints (column fp) that connect all that lie within LIMIT bits."""
+    n_blocks = max(1, math.ceil(distinct.count() / BLOCK_ROWS))
+    block_bits = min(21, (n_blocks - 1).bit_length())
+    turned, start = [], 0
+    for k, width in enumerate(FRONTS):
+        rot = F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", 64 - start)) if start else F.col("fp")
+        behind = F.array(*(F.shiftrightunsigned(rot, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in BEHIND[k]))
+        rank = gray_rank(rot).bitwiseXOR(F.lit(-(1 << 63)))
+        block = F.shiftrightunsigned(rank, 64 - block_bits) if block_bits else F.lit(0).cast("long")
+        turned.append(F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(rot, 64 - width).alias("front"), block.alias("block"), behind.alias("behind")))
+        start += width
+    rows = distinct.select("fp", F.explode(F.array(*turned)).alias("x")).select("fp", "x.*")
+    hot = cut(rows.groupBy("turn", "front").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).drop("n").withColumn("hot", F.lit(True)))
+    rows = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, ["turn", "front"], "left")
+    plain = rows.filter("hot is null").select("turn", "block", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("segment"), "fp")
+    again = rows.filter("hot").select("turn", F.col("front").alias("block"), F.posexplode("behind").alias("part", "segment"), "fp")
 
     def join(group: pa.Table) -> pa.Table:
-        fps, is_own = group.column("fp").to_numpy().view(np.uint64), group.column("own").to_numpy()
-        a, b = local_stars(fps[is_own], fps[~is_own])
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        by = sum(FRONTS[: group.column("turn")[0].as_py()])
+        a, b = local_stars(_turned(group.column("fp").to_numpy().view(np.uint64), by))
+        return pa.table({"a": _turned(a, -by).view(np.int64), "b": _turned(b, -by).view(np.int64)})
 
-    return own.unionByName(guest).groupBy("block", "part").applyInArrow(join, "a long, b long")
+    return plain.unionByName(again).groupBy("turn", "block", "part", "segment").applyInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
