@@ -77,9 +77,11 @@ def test_trigram_query_forms():
 
 
 def texts(n, seed=0):
+    """Texts of set phrases between words at random."""
     random.seed(seed)
     words = ["the", "of", "and", *(f"w{i}" for i in range(300))]
-    return [(i, " ".join(random.choices(words, weights=[100, 60, 40, *[1] * 300], k=random.randint(0, 40)))) for i in range(n)]
+    phrases = [" ".join(random.choices(words, k=4)) for _ in range(60)]
+    return [(i, " ".join(random.choices(words + phrases, weights=[100, 60, 40, *[1] * 300, *[8] * 60], k=random.randint(0, 40)))) for i in range(n)]
 
 
 def check_scores(rows, found):
