@@ -18,4 +18,23 @@ QUERIES = {
     "op9_quality_rules": lambda spark, d: quality_rules.digest(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+#: The other operators draw at random, learn, or follow links: they are tested against brute force.
+ORACLES = {
+    "op9_quality_rules": r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+places AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM words WHERE len(w) > 2),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM places),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+measured AS (
+  SELECT words.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    len(l) AS n_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM words JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+failed AS (
+  SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 10 * n_words)::BIGINT
+    + 8 * (word_chars > 30 * n_words)::BIGINT + 16 * (100 * n_dup_lines > 90 * n_lines)::BIGINT AS fail_bits FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 > 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM failed
+""",
+}
