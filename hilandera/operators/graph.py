@@ -1,7 +1,8 @@
 """Word-graph traversals: breadth-first to a depth of a few hops, one join for each hop.
 
 A word's edges are those under its own part of speech. Traversals start once from each distinct
-word, whatever the number of documents it occurs in; documents join the result.
+word, whatever the number of documents it occurs in; documents join the result. A hop is read by the
+next one, by the anti-joins of all later ones and by the result, so each is checkpointed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hilandera import constants as C
+from hilandera.functions.lineage import cut
 from hilandera.operators.tokens import Assets, tag
 
 _FLOWS = {"up": ["hypernyms"], "down": ["hyponyms"], "bi": [r for r, _ in C.RELATIONS]}
@@ -22,18 +24,20 @@ def edges_of(assets: Assets, flow: str = "bi") -> DataFrame:
     rel = F.col("rel")
     order = reduce(lambda c, kv: c.when(rel == kv[1][0], kv[0]), enumerate(C.RELATIONS), F.when(F.lit(False), -1))
     label = reduce(lambda c, r: c.when(rel == r[0], r[1]), C.RELATIONS, F.when(F.lit(False), ""))
-    own = tag(assets.edges, "src", assets, "_tag").filter(F.col("pos") == F.col("_tag"))
+    # without a lexicon of parts of speech every node counts as a noun
+    tagged = assets.edges.withColumn("_tag", F.lit("n")) if assets.pos is None else tag(assets.edges, "src", assets, "_tag")
+    own = tagged.filter(F.col("pos") == F.col("_tag"))
     return own.filter(rel.isin(*_FLOWS[flow])).select("src", "dst", order.alias("rel_ord"), "ord", label.alias("label"))
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """seed, target, h: the fewest hops (1 to depth) from each distinct start (column seed); no seed reaches itself."""
-    links = edges.select(F.col("src").alias("at"), "dst").distinct()
-    front = starts.select("seed", F.col("seed").alias("at")).distinct()
+    links = cut(edges.select(F.col("src").alias("at"), "dst").distinct())
+    front = cut(starts.select("seed", F.col("seed").alias("at")).distinct())
     seen = front
     found = []
     for h in range(1, depth + 1):
-        step = front.join(links, "at").select("seed", F.col("dst").alias("at")).distinct().join(seen, ["seed", "at"], "left_anti")
+        step = cut(front.join(links, "at").select("seed", F.col("dst").alias("at")).distinct().join(seen, ["seed", "at"], "left_anti"))
         found.append(step.select("seed", F.col("at").alias("target"), F.lit(h).alias("h")))
         front, seen = step, seen.unionByName(step)
     return reduce(DataFrame.unionByName, found)
@@ -77,14 +81,14 @@ def expand_seeds(seeds: DataFrame, freqs: DataFrame, assets: Assets, depth: int
 
     A path's key lists (relation, order) hop by hop; the least key is the first arrival.
     """
-    edges = edges_of(assets).select(F.col("src").alias("at"), "dst", "label", F.struct("rel_ord", "ord").alias("step"))
+    edges = cut(edges_of(assets).select(F.col("src").alias("at"), "dst", "label", F.struct("rel_ord", "ord").alias("step")))
     front = seeds.select(F.col("word").alias("seed"), F.col("word").alias("at")).distinct().withColumn("key", F.array().cast("array<struct<rel_ord:int,ord:int>>"))
     seen, found = front.select("seed", "at"), []
     for h in range(1, depth + 1):
         step = front.join(edges, "at").select("seed", F.col("dst").alias("at"), "label", F.concat("key", F.array(F.col("step").cast("struct<rel_ord:int,ord:int>"))).alias("key"))
-        step = step.join(seen, ["seed", "at"], "left_anti").groupBy("seed", "at").agg(F.min(F.struct("key", "label")).alias("x")).select("seed", "at", "x.key", "x.label")
+        step = cut(step.join(seen, ["seed", "at"], "left_anti").groupBy("seed", "at").agg(F.min(F.struct("key", "label")).alias("x")).select("seed", "at", "x.key", "x.label"))
         found.append(step.select("seed", F.col("at").alias("word"), F.col("label").alias("rel"), F.lit(h).alias("dist")))
-        front, seen = step, seen.unionByName(step.select("seed", "at"))
+        front, seen = step.drop("label"), seen.unionByName(step.select("seed", "at"))
     paths = reduce(DataFrame.unionByName, found)
     here = freqs.select("doc_id", F.col("lemma").alias("seed")).join(paths, "seed")
     return here.join(freqs.select("doc_id", F.col("lemma").alias("word")), ["doc_id", "word"], "left_semi").select("doc_id", "seed", "word", "rel", "dist")

@@ -34,7 +34,7 @@ def bounds_of(parts: DataFrame, content: DataFrame) -> DataFrame:
 
 def all_segments(docs: DataFrame, n: int = C.SEGMENTS) -> DataFrame:
     """doc_id, seg for every segment, empty ones included."""
-    return docs.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("seg"))
+    return docs.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("seg"))
 
 
 def segment_counts(segmented: DataFrame, n: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hilandera import constants as C
+from hilandera.functions.lineage import cut
 from hilandera.operators.graph import distances, expand_seeds, pair_activation
 from hilandera.operators.stats import cooccurrence
 from hilandera.operators.tokens import Assets
@@ -38,7 +39,7 @@ def cells(content: DataFrame, terms: DataFrame, freqs: DataFrame, assets: Assets
 
 def weave(content: DataFrame, seeds: DataFrame, freqs: DataFrame, assets: Assets, **params) -> tuple[DataFrame, DataFrame]:
     """(terms, cells) for the seeds (ord, word)."""
-    terms = terms_of(seeds, expand_seeds(seeds, freqs, assets, params.get("depth", C.DEPTH)), freqs)
+    terms = cut(terms_of(seeds, expand_seeds(seeds, freqs, assets, params.get("depth", C.DEPTH)), freqs))
     return terms, cells(content, terms, freqs, assets, **params)
 
 

@@ -47,7 +47,7 @@ class Stage1:
     totals: DataFrame
 
     def persist(self) -> Stage1:
-        for d in (self.annotated, self.freqs, self.communities):
+        for d in (self.annotated, self.content, self.freqs, self.top, self.communities):
             d.persist()
         return self
 
@@ -58,6 +58,11 @@ class Stage2:
     enriched: DataFrame
     view: DataFrame
 
+    def persist(self) -> Stage2:
+        for d in (self.relevance, self.enriched):
+            d.persist()
+        return self
+
 
 def stage1(docs: DataFrame, assets: Assets = Assets(), top_n: int = C.TOP_N) -> Stage1:
     """docs: doc_id, text. Blank documents give no rows."""
@@ -77,9 +82,10 @@ def stage2(first: Stage1, assets: Assets, depth: int = C.DEPTH, decay: float = C
 
 
 def analyze(docs: DataFrame, assets: Assets = Assets(), params: Params = Params()) -> tuple[Stage1, Stage2]:
+    """Both stages, kept: another stage 2 can start from the first, views and sinks from the second."""
     p = params.clamped()
-    first = stage1(docs, assets, p.top_n)
-    return first, stage2(first, assets, p.depth, p.decay, p.flow)
+    first = stage1(docs, assets, p.top_n).persist()
+    return first, stage2(first, assets, p.depth, p.decay, p.flow).persist()
 
 
 @dataclass(frozen=True)
@@ -99,7 +105,7 @@ def segment_view(enriched: DataFrame, freqs: DataFrame, relevance: DataFrame, as
         cut, every = segments.equal_segments(content, params.segments), segments.all_segments(content, params.segments)
     else:
         cut, every = segments.custom_segments(content, bounds), bounds.select("doc_id", "seg")
-    counts = segments.segment_counts(cut, params.ngram)
+    counts = segments.segment_counts(cut, params.ngram).persist()
     single = params.ngram == 1
     totals = freqs.select("doc_id", F.col("lemma").alias("word"), "freq") if single else segments.total_counts(counts)
     if params.mode in ("seeds", "semillas") and seeds is not None:
@@ -111,7 +117,8 @@ def segment_view(enriched: DataFrame, freqs: DataFrame, relevance: DataFrame, as
         words = stats.select_words(totals, relevance if single else None, params.sort, most, params.ngram)
         if params.mode == "persistentes":
             words = segments.persistent(words, counts, params.top_n)
-    grid = segments.word_grid(words, every, counts, relevance if single else None, assets.vectors if single else None, params.decay)
+    words = words.persist()
+    grid = segments.word_grid(words, every, counts, relevance if single else None, assets.vectors if single else None, params.decay).persist()
     if single:
         words = words.join(vectors.clusters(words, assets.vectors).select("doc_id", "word", "cluster"), ["doc_id", "word"])
     return SegmentView(cut, words, grid, segments.segment_emotions(cut), segments.segment_tone(cut), segments.grid_maxima(grid, words))

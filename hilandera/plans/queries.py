@@ -7,6 +7,7 @@ synthetic.py. Scores are rounded to six decimals on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,33 +53,47 @@ class Work:
     def __init__(self, spark: SparkSession, d: str):
         self.docs = es(spark, d)
         self.tokens = tok.tokenize(self.docs)
-        words = self.tokens.filter("type = 'w'").select(F.lower("raw").alias("word")).distinct()
-        self.words = words
-        self.assets = synthetic.words_and_lemmas(words)
-        self.annotated = tok.annotate(self.tokens, self.assets)
+        self.words = self.tokens.filter("type = 'w'").select(F.lower("raw").alias("word")).distinct().persist()
+        self.assets = synthetic.words_and_lemmas(self.words)
+        # stage 1 is kept: what follows reads it again and again
+        self.annotated = tok.annotate(self.tokens, self.assets).persist()
         self.content = tok.content(self.annotated)
-        self.freqs = stats.frequencies(self.content)
-        self.lemmas = self.content.select("lemma").distinct()
+        self.freqs = stats.frequencies(self.content).persist()
+        self.lemmas = self.content.select("lemma").distinct().persist()
         self.full = synthetic.with_lemma_lexicons(self.assets, self.annotated.filter("type = 'w'").select("lemma").distinct())
-        self.graph = synthetic.with_lemma_lexicons(self.assets, self.lemmas)
+        lexicons = synthetic.with_lemma_lexicons(self.assets, self.lemmas)
+        self.graph = Assets(**lexicons.__dict__ | {"edges": lexicons.edges.persist()})
         self.toned = tok.negate(tok.add_sentiment(self.annotated.filter("type = 'w'"), self.full))
         self.segmented = segments.equal_segments(tok.content(self.toned))
-        self.counts = segments.segment_counts(self.segmented)
+        self.counts = segments.segment_counts(self.segmented).persist()
         self.named = self.freqs.select("doc_id", F.col("lemma").alias("word"), "freq")
 
-    @property
+    @cached_property
     def relevance(self) -> DataFrame:
-        return graph.spread_activation(self.freqs, self.graph)
+        return graph.spread_activation(self.freqs, self.graph).persist()
 
-    @property
+    @cached_property
     def seeds(self) -> DataFrame:
         """The six most frequent lemmas of seven letters or more."""
         n = self.content.filter(F.length("lemma") >= 7).groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
         top = n.orderBy(F.desc("n"), "lemma").limit(6)
-        return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "lemma")).alias("ord"), F.col("lemma").alias("word"))
+        return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "lemma")).alias("ord"), F.col("lemma").alias("word")).persist()
 
+    @cached_property
     def weave(self) -> tuple[DataFrame, DataFrame]:
-        return weave.weave(self.content, self.seeds, self.freqs, self.graph)
+        terms, cells = weave.weave(self.content, self.seeds, self.freqs, self.graph)
+        return terms.persist(), cells.persist()
+
+
+_WORK: dict[tuple[str, str], Work] = {}
+
+
+def work(spark: SparkSession, d: str) -> Work:
+    """One Work for each session and folder, so that queries share what it keeps."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WORK:
+        _WORK[key] = Work(spark, d)
+    return _WORK[key]
 
 
 _PLAIN = (sql.raw(), sql.PLAIN, sql.FLAGS, sql.FREQS)
@@ -114,18 +129,18 @@ def para_index(spark, d):
 
 @query(sql.query(sql.raw(), sql.VOCABULARY, select=f"SELECT word, {sql.tag_case('word', False)} AS tag FROM vocabulary"))
 def pos_suffix(spark, d):
-    return tok.tag(Work(spark, d).words, "word", Assets())
+    return tok.tag(work(spark, d).words, "word", Assets())
 
 
 @query(sql.query(sql.raw(), sql.LEXICON, select="SELECT word, tag, lemma FROM lemmas"))
 def lemma_lookup(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     return tok.lemmatize(tok.tag(w.words, "word", w.assets), "word", "tag", w.assets)
 
 
 @query(sql.query(*_LEX, select="SELECT doc_id, pos, raw AS surface, lemma, stop, neg FROM flagged"))
 def stop_neg_flags(spark, d):
-    return Work(spark, d).annotated.filter("type = 'w'").select("doc_id", "pos", "surface", "lemma", "stop", "neg")
+    return work(spark, d).annotated.filter("type = 'w'").select("doc_id", "pos", "surface", "lemma", "stop", "neg")
 
 
 @query(
@@ -146,12 +161,12 @@ def weave_view(spark, d):
 
 @query(sql.query(*_LEX, select="SELECT doc_id, lemma, freq FROM freqs"))
 def content_freq(spark, d):
-    return Work(spark, d).freqs.select("doc_id", "lemma", "freq")
+    return work(spark, d).freqs.select("doc_id", "lemma", "freq")
 
 
 @query(sql.query(*_LEX, select="SELECT doc_id, lemma, round(freq / sum(freq) OVER (PARTITION BY doc_id), 6) AS rel_freq FROM freqs"))
 def rel_freq(spark, d):
-    return Work(spark, d).freqs.select("doc_id", "lemma", *six("rel_freq"))
+    return work(spark, d).freqs.select("doc_id", "lemma", *six("rel_freq"))
 
 
 @query(sql.query(*_PLAIN, select=f"SELECT doc_id, rank, lemma, freq FROM freqs WHERE rank <= {C.TOP_N}"))
@@ -169,12 +184,12 @@ def _grams(n: int) -> str:
 
 @query(_grams(2))
 def bigrams(spark, d):
-    return stats.top_ngrams(Work(spark, d).content, 2).select("doc_id", "rank", "gram", "freq")
+    return stats.top_ngrams(work(spark, d).content, 2).select("doc_id", "rank", "gram", "freq")
 
 
 @query(_grams(3))
 def trigrams(spark, d):
-    return stats.top_ngrams(Work(spark, d).content, 3).select("doc_id", "rank", "gram", "freq")
+    return stats.top_ngrams(work(spark, d).content, 3).select("doc_id", "rank", "gram", "freq")
 
 
 def _pairs(of: str) -> str:
@@ -183,12 +198,12 @@ def _pairs(of: str) -> str:
 
 @query(sql.query(*_LEX, select=_pairs("content")))
 def cooc_window(spark, d):
-    return stats.cooccurrence(Work(spark, d).content)
+    return stats.cooccurrence(work(spark, d).content)
 
 
 @query(sql.query(*_LEX, f"kept AS (SELECT c.* FROM content c JOIN freqs f ON f.doc_id = c.doc_id AND f.lemma = c.lemma AND f.rank <= {C.TOP_N})", select=_pairs("kept")))
 def cooc_topn(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     return stats.cooccurrence(w.content, stats.top(w.freqs))
 
 
@@ -207,7 +222,7 @@ def event_bigrams(spark, d):
 
 @query(sql.query(*_TONE, select="SELECT doc_id, pos, lemma, round(polarity, 6) + 0 AS polarity FROM enriched"))
 def negation_scope(spark, d):
-    return Work(spark, d).toned.select("doc_id", "pos", "lemma", (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"))
+    return work(spark, d).toned.select("doc_id", "pos", "lemma", (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"))
 
 
 @query(
@@ -218,7 +233,7 @@ def negation_scope(spark, d):
 )
 def sentiment_join(spark, d):
     n = F.coalesce(F.size("emotions"), F.lit(0))
-    return Work(spark, d).toned.select("doc_id", "pos", *six("arousal", "intensity"), F.when(F.col("emotions").isNull(), 0).otherwise(n).alias("n_emotions"))
+    return work(spark, d).toned.select("doc_id", "pos", *six("arousal", "intensity"), F.when(F.col("emotions").isNull(), 0).otherwise(n).alias("n_emotions"))
 
 
 _N3 = sql.hexa("lemma", 3)
@@ -233,12 +248,12 @@ _TWO = f"substr('nvar', (({_N3} + 1) % 4 + 1)::INT, 1)"
     )
 )
 def swn_fallback(spark, d):
-    return Work(spark, d).toned.select("lemma", "tag", "payload").distinct()
+    return work(spark, d).toned.select("lemma", "tag", "payload").distinct()
 
 
 @query(sql.query(*_TONE, select="SELECT doc_id, lemma, round(avg(polarity), 6) + 0 AS polarity FROM enriched WHERE NOT stop AND polarity IS NOT NULL GROUP BY ALL"))
 def mean_polarity(spark, d):
-    return stats.mean_polarity(Work(spark, d).toned).select("doc_id", "lemma", (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"))
+    return stats.mean_polarity(work(spark, d).toned).select("doc_id", "lemma", (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"))
 
 
 # --- segments ---------------------------------------------------------------------------------
@@ -246,12 +261,12 @@ def mean_polarity(spark, d):
 
 @query(sql.query(*_SEG, select="SELECT doc_id, seg, count(*) AS n FROM segs GROUP BY ALL"))
 def segment_equal(spark, d):
-    return Work(spark, d).segmented.groupBy("doc_id", "seg").agg(F.count(F.lit(1)).alias("n"))
+    return work(spark, d).segmented.groupBy("doc_id", "seg").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql.query(*_SEG, select="SELECT doc_id, seg, word, freq, round(norm_freq, 6) AS norm_freq FROM seg_freq"))
 def segment_freq(spark, d):
-    return Work(spark, d).counts.select("doc_id", "seg", "word", "freq", *six("norm_freq"))
+    return work(spark, d).counts.select("doc_id", "seg", "word", "freq", *six("norm_freq"))
 
 
 @query(
@@ -262,12 +277,12 @@ def segment_freq(spark, d):
     )
 )
 def segment_ngrams(spark, d):
-    return segments.segment_counts(Work(spark, d).segmented, 2).select("doc_id", "seg", "word", "freq", *six("norm_freq"))
+    return segments.segment_counts(work(spark, d).segmented, 2).select("doc_id", "seg", "word", "freq", *six("norm_freq"))
 
 
 @query(sql.query(*_SEG, select="SELECT doc_id, seg, " + ", ".join(f"round(avg(CASE WHEN {sql.EMOTIONS[e]} THEN 1.0 ELSE 0.0 END), 6) AS {e}" for e in C.SEGMENT_EMOTIONS) + " FROM segs GROUP BY ALL"))
 def segment_emotion(spark, d):
-    return segments.segment_emotions(Work(spark, d).segmented).select("doc_id", "seg", *six(*C.SEGMENT_EMOTIONS))
+    return segments.segment_emotions(work(spark, d).segmented).select("doc_id", "seg", *six(*C.SEGMENT_EMOTIONS))
 
 
 @query(
@@ -278,7 +293,7 @@ def segment_emotion(spark, d):
     )
 )
 def segment_tone(spark, d):
-    return segments.segment_tone(Work(spark, d).segmented).select("doc_id", "seg", (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"), *six("arousal"))
+    return segments.segment_tone(work(spark, d).segmented).select("doc_id", "seg", (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"), *six("arousal"))
 
 
 _SELECT = "SELECT doc_id, lemma AS word, freq, 1.0 AS rel, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, lemma COLLATE es, lemma) AS rank FROM freqs WHERE length(lemma) >= 2"
@@ -287,14 +302,14 @@ _WORDS = f"selected AS (SELECT * FROM ({_SELECT}) WHERE rank <= {C.TOP_N})"
 
 @query(sql.query(*_LEX, f"every AS ({_SELECT})", "often AS (SELECT doc_id, word FROM seg_freq GROUP BY ALL HAVING count(*) >= 2)", select=f"SELECT doc_id, word, rank FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS rank FROM every SEMI JOIN often USING (doc_id, word)) WHERE rank <= {C.TOP_N}").replace("every AS", sql.SEGMENTS + ", every AS"))
 def persistent_words(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     every = stats.select_words(w.named, None, top_n=(1 << 31) - 1)
     return segments.persistent(every, w.counts).select("doc_id", "word", "rank")
 
 
 @query(sql.query(*_LEX, _WORDS, select="SELECT doc_id, word, freq, rank FROM selected"))
 def select_words_freq(spark, d):
-    return stats.select_words(Work(spark, d).named, None).select("doc_id", "word", "freq", "rank")
+    return stats.select_words(work(spark, d).named, None).select("doc_id", "word", "freq", "rank")
 
 
 _SPREAD = (*_GRAPH, sql.reach("SELECT lemma AS seed FROM freqs", C.DEPTH), f"""relevance AS (SELECT f.doc_id, f.lemma, 1 + coalesce(m.more, 0) AS rel FROM freqs f LEFT JOIN (
@@ -308,7 +323,7 @@ _SPREAD = (*_GRAPH, sql.reach("SELECT lemma AS seed FROM freqs", C.DEPTH), f"""r
     )
 )
 def select_words_relevance(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     return stats.select_words(w.named, w.relevance, "relevance").select("doc_id", "word", *six("rel"), "rank")
 
 
@@ -323,7 +338,7 @@ def _grid(w: Work, vec: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
 
 @query(sql.query(*_SEG, _WORDS, _EVERY, _GRID, select="SELECT doc_id, seg, word, freq, round(norm_freq, 6) AS norm_freq, round(rel, 6) AS rel FROM grid"))
 def seg_data_grid(spark, d):
-    return _grid(Work(spark, d))[1].select("doc_id", "seg", "word", "freq", *six("norm_freq", "rel"))
+    return _grid(work(spark, d))[1].select("doc_id", "seg", "word", "freq", *six("norm_freq", "rel"))
 
 
 def _cosine(a: str, b: str) -> str:
@@ -341,7 +356,7 @@ def _cosine(a: str, b: str) -> str:
     )
 )
 def seg_boost(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     return _grid(w, w.full.vectors)[1].select("doc_id", "seg", "word", F.round("freq", 5).alias("freq"))
 
 
@@ -378,7 +393,7 @@ def most_similar(spark, d):
     )
 )
 def cross_links(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     seen = _grid(w)[1].select("doc_id", F.col("seg").alias("col"), "word", (F.col("act") > 0).alias("is_real"))
     return vectors.cross_links(seen, w.full.vectors).select("doc_id", "col", "src", "dst", F.round("sim", 5).alias("sim"))
 
@@ -388,7 +403,7 @@ def cross_links(spark, d):
 
 @query(sql.query(*_SPREAD, select="SELECT doc_id, lemma, round(rel, 6) AS rel FROM relevance"))
 def spread_activation(spark, d):
-    return Work(spark, d).relevance.select("doc_id", "lemma", *six("rel"))
+    return work(spark, d).relevance.select("doc_id", "lemma", *six("rel"))
 
 
 @query(
@@ -398,7 +413,7 @@ def spread_activation(spark, d):
     )
 )
 def pair_activation(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     terms = w.freqs.select("doc_id", F.col("lemma").alias("word")).join(w.seeds, "word")
     return graph.pair_activation(w.freqs, terms, w.graph).select("doc_id", "seed", "target", *six("score"))
 
@@ -410,7 +425,7 @@ def pair_activation(spark, d):
     )
 )
 def syn_distance(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     pairs = w.lemmas.select(F.col("lemma").alias("b")).join(F.broadcast(w.seeds.select(F.col("word").alias("a"))))
     return graph.distances(pairs, w.graph, 3).select("a", "b", "d")
 
@@ -421,23 +436,23 @@ _CELLS = (*_WEAVE, sql.reach("SELECT word AS seed FROM terms", 2 * C.DEPTH), sql
 
 @query(sql.query(*_WEAVE, select="SELECT doc_id, seed, word, rel, dist FROM expansions"))
 def expand_seeds(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     return graph.expand_seeds(w.seeds, w.freqs, w.graph)
 
 
 @query(sql.query(*_CELLS, select="SELECT doc_id, a, b, cooc, round(activ, 6) AS activ, round(prox, 6) AS prox FROM cells"))
 def weave_cells(spark, d):
-    return Work(spark, d).weave()[1].select("doc_id", "a", "b", "cooc", *six("activ", "prox"))
+    return work(spark, d).weave[1].select("doc_id", "a", "b", "cooc", *six("activ", "prox"))
 
 
 @query(sql.query(*_WEAVE, select="SELECT seed, word, arg_min(rel, [CASE WHEN rel = 'seed' THEN 0 ELSE 1 END, dist, doc_id]) AS rel, arg_min(dist, [CASE WHEN rel = 'seed' THEN 0 ELSE 1 END, dist, doc_id]) AS dist FROM terms GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY seed, word")))
 def union_terms(spark, d):
-    return weave.union_terms(Work(spark, d).weave()[0])
+    return weave.union_terms(work(spark, d).weave[0])
 
 
 @query(sql.query(*_CELLS, select="SELECT a, b, sum(CASE WHEN cooc > 0 THEN 1 ELSE 0 END)::BIGINT AS docs, sum(cooc)::BIGINT AS sum_cooc, round(sum(activ), 6) AS sum_activ, round(sum(prox), 6) AS sum_prox FROM cells GROUP BY ALL"))
 def stack_weave(spark, d):
-    return weave.stack(Work(spark, d).weave()[1]).select("a", "b", "docs", "sum_cooc", *six("sum_activ", "sum_prox"))
+    return weave.stack(work(spark, d).weave[1]).select("a", "b", "docs", "sum_cooc", *six("sum_activ", "sum_prox"))
 
 
 @query(
@@ -479,7 +494,7 @@ _NODES = (*_SEG, _WORDS, _EVERY, _GRID, f"""bound AS (SELECT doc_id, coalesce(nu
 
 
 def _nodes(spark, d) -> DataFrame:
-    words, grid = _grid(Work(spark, d))
+    words, grid = _grid(work(spark, d))
     return layout.nodes(grid, words, segments.grid_maxima(grid, words))
 
 
@@ -507,12 +522,12 @@ def layout_labels(spark, d):
     )
 )
 def emotion_bars(spark, d):
-    return layout.emotion_bars(segments.segment_emotions(Work(spark, d).segmented)).select("doc_id", "seg", "emotion", *six("share", "height"))
+    return layout.emotion_bars(segments.segment_emotions(work(spark, d).segmented)).select("doc_id", "seg", "emotion", *six("share", "height"))
 
 
 @query(sql.query(*_SEG, _WORDS, select="SELECT doc_id, word, list_extract([" + ", ".join(f"'{c}'" for c in C.PALETTE) + "], ((rank - 1) % 10 + 1)::INT) AS colour FROM selected"))
 def word_colours(spark, d):
-    return layout.word_colours(stats.select_words(Work(spark, d).named, None), "rango").select("doc_id", "word", "colour")
+    return layout.word_colours(stats.select_words(work(spark, d).named, None), "rango").select("doc_id", "word", "colour")
 
 
 @query(
@@ -523,7 +538,7 @@ def word_colours(spark, d):
     )
 )
 def minimap_colours(spark, d):
-    tone = segments.segment_tone(Work(spark, d).segmented).select("doc_id", "seg", F.round("polarity", 6).alias("p"))
+    tone = segments.segment_tone(work(spark, d).segmented).select("doc_id", "seg", F.round("polarity", 6).alias("p"))
     return tone.select("doc_id", "seg", colour.polarity_rgb(F.col("p")).alias("c")).select("doc_id", "seg", "c.*")
 
 
@@ -532,12 +547,12 @@ def minimap_colours(spark, d):
 
 @query(sql.query(*_LEX, select="SELECT doc_id, pos, CASE WHEN contains(raw, ',') OR contains(raw, '\"') OR contains(raw, chr(10)) THEN '\"' || replace(raw, '\"', '\"\"') || '\"' ELSE raw END AS field FROM raw"))
 def csv_rows(spark, d):
-    return Work(spark, d).tokens.select("doc_id", "pos", csv_field("raw").alias("field"))
+    return work(spark, d).tokens.select("doc_id", "pos", csv_field("raw").alias("field"))
 
 
 @query(sql.query(*_LEX, select="SELECT doc_id, pos, replace(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM raw"))
 def tei_word(spark, d):
-    return Work(spark, d).tokens.select("doc_id", "pos", xml_escaped("raw").alias("escaped"))
+    return work(spark, d).tokens.select("doc_id", "pos", xml_escaped("raw").alias("escaped"))
 
 
 _SPLIT = """WITH marked AS (SELECT doc_id, 'before' || '---{0}: first ---' || replace(text, chr(10), '---{0}:more---') AS t FROM documents WHERE lang = 'es'),
@@ -563,24 +578,30 @@ def seg_split(spark, d):
 
 @query()
 def louvain(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     top = stats.top(w.freqs)
     return stats.communities(top, stats.cooccurrence(w.content, top))
 
 
 @query()
 def kmeans_clusters(spark, d):
-    w = Work(spark, d)
+    w = work(spark, d)
     return vectors.clusters(stats.select_words(w.named, None), w.full.vectors)
 
 
+_ANALYSIS: dict[tuple[str, str], tuple] = {}
+
+
 def _analysis(spark, d) -> tuple:
-    docs = es(spark, d)
-    words = tok.tokenize(docs).filter("type = 'w'").select(F.lower("raw").alias("word")).distinct()
-    assets = synthetic.words_and_lemmas(words)
-    first = analysis.stage1(docs, assets)
-    assets = synthetic.with_lemma_lexicons(assets, first.annotated.filter("type = 'w'").select("lemma").distinct())
-    return docs, assets, first, analysis.stage2(first, assets)
+    """(docs, assets, stage 1, stage 2) of a folder, once for each session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ANALYSIS:
+        docs, w = es(spark, d), work(spark, d)
+        first = analysis.stage1(docs, w.assets).persist()
+        lexicons = synthetic.with_lemma_lexicons(w.assets, first.annotated.filter("type = 'w'").select("lemma").distinct().persist())
+        assets = Assets(**lexicons.__dict__ | {"edges": lexicons.edges.persist()})
+        _ANALYSIS[key] = docs, assets, first, analysis.stage2(first, assets).persist()
+    return _ANALYSIS[key]
 
 
 @query()
