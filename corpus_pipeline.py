@@ -41,8 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(docs.select("doc_id", "source", "text")).drop("text")
-    return bpe.decode_documents(encoded).select(
+    return bpe.round_trip(docs.select("doc_id", "source", "text")).select(
         "doc_id",
         "source",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -110,20 +110,53 @@ def word_table(docs: DataFrame, text: str = "text", path: str | None = None, siz
     return frequent.mapInArrow(encode, "word string, n long, ids binary")
 
 
-def encode_documents(docs: DataFrame, text: str = "text", path: str | None = None, words: DataFrame | None = None) -> DataFrame:
-    """docs with `ids`: the text's token ids as little-endian unsigned 32-bit integers (binary)."""
-    path = path or default_tokenizer()
-    rows = (word_table(docs, text, path) if words is None else words).select("word", "ids").toArrow()
-    known = docs.sparkSession.sparkContext.broadcast(dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)))
-    out = free_name(docs, "ids")
-
+def _encoder(path: str, known, text: str, out: str):
     def encode(batches):
         own = WordTable(path, known.value)
         for b in _slices(batches):
             ids = [own.encode(t or "") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.large_binary()).cast(pa.binary())], [*b.schema.names, out])
 
-    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
+    return encode
+
+
+def _decoder(path: str, ids: str, out: str):
+    def decode(batches):
+        piece = pieces(path)
+        for b in _slices(batches):
+            texts = [b"".join(map(piece.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.large_string()).cast(pa.string())], [*b.schema.names, out])
+
+    return decode
+
+
+def _known(docs: DataFrame, text: str, path: str, words: DataFrame | None):
+    """The word table, TABLE_WORDS rows at most, for the workers."""
+    rows = (word_table(docs, text, path) if words is None else words).select("word", "ids").toArrow()
+    return docs.sparkSession.sparkContext.broadcast(dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)))
+
+
+def encode_documents(docs: DataFrame, text: str = "text", path: str | None = None, words: DataFrame | None = None) -> DataFrame:
+    """docs with `ids`: the text's token ids as little-endian unsigned 32-bit integers (binary)."""
+    path, out = path or default_tokenizer(), free_name(docs, "ids")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())])
+    return docs.mapInArrow(_encoder(path, _known(docs, text, path, words), text, out), schema)
+
+
+def decode_documents(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """encoded with `decoded`: the text that the ids stand for, special tokens included."""
+    path, out = path or default_tokenizer(), free_name(encoded, "decoded")
+    schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
+    return encoded.mapInArrow(_decoder(path, ids, out), schema)
+
+
+def round_trip(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """docs with `ids` and with `decoded`, which is read from the ids alone; one pass in one worker a task."""
+    path = path or default_tokenizer()
+    ids, out = free_name(docs, "ids"), free_name(docs, "decoded")
+    encode, decode = _encoder(path, _known(docs, text, path, None), text, ids), _decoder(path, ids, out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())])
+    return docs.mapInArrow(lambda batches: decode(encode(batches)), schema)
 
 
 def pieces(path: str) -> list[bytes]:
@@ -136,24 +169,9 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def decode_documents(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """encoded with `decoded`: the text that the ids stand for, special tokens included."""
-    path = path or default_tokenizer()
-    out = free_name(encoded, "decoded")
-
-    def decode(batches):
-        piece = pieces(path)
-        for b in _slices(batches):
-            texts = [b"".join(map(piece.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.large_string()).cast(pa.string())], [*b.schema.names, out])
-
-    return encoded.mapInArrow(decode, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))
-
-
 def digest(docs: DataFrame) -> DataFrame:
     """One row for each document: the number of its ids, their SHA-256 and that of the decoded text."""
-    encoded = encode_documents(docs.select("doc_id", "text")).drop("text")
-    return decode_documents(encoded).select(
+    return round_trip(docs.select("doc_id", "text")).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
