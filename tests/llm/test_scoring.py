@@ -118,7 +118,7 @@ def test_filter_never_undercounts(spark, monkeypatch):
     for size in (128 << 20, 2000):
         monkeypatch.setattr(bloom_lm, "FILTER_BYTES", size)
         model = bloom_lm.train(docs)
-        assert len(model.filter.data) - 1 <= size
+        assert 8 * (len(model.filter.data) - 1) <= size
         h = bloom_lm.WordHash().of(list(counts))
         got, want = model.filter.levels(bloom_lm.word_keys(h)), bloom_lm.level(np.array(list(counts.values())))
         assert (got >= want).all()
