@@ -11,9 +11,12 @@ one at most (but for false positives).
 
 Counting: a task turns its texts into 64-bit n-gram keys, sums equal ones (each word, hot or not, is
 one entry of a task's sum) and sends them as sorted arrays to the key's bucket; a bucket builds one
-segment of the filter. Segments have 2^k bits. Should the whole filter exceed FILTER_BYTES, all
-segments are folded in half until it fits, so the broadcast has a proven bound, at the price of
-more false positives, which `Filter.false_positives` states.
+segment of the filter. Segments have 2^k bits, BITS at least for each entry, so the filter grows with
+its entries and its false-positive rate does not depend on the size of the corpus.
+
+Scoring: the filter stays a table of segments, which is neither collected nor broadcast. A task puts
+its texts in chunks of some CHUNK tokens and stores them as numbers of words; a chunk sends each of
+its distinct n-grams once to the segment's bucket and gets one byte, the level, back.
 
 The exact base score needs exact counts: the most frequent words (HOT_WORDS at most) are broadcast;
 the others, which are rare, join a table of counts by shuffle, one row for each document and word.
@@ -27,11 +30,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hilandera.llm.common import most_frequent, stored
 
@@ -40,7 +45,10 @@ BASE = 1.5
 LEVELS = 80
 #: Bits set for an entry, and bits for each entry before rounding up to a power of two.
 PROBES, BITS = 4, 8
+#: Bytes of `Model.filter`, which is for use in one process; scoring probes the segments themselves.
 FILTER_BYTES = 64 << 20
+#: Tokens of a chunk of texts whose n-grams are probed together.
+CHUNK = 1_000_000
 HOT_WORDS = 100_000
 CACHE_WORDS = 150_000
 #: Pair counts that a task holds before it sends their sums on.
@@ -267,10 +275,12 @@ class Filter:
 
 @dataclass
 class Model:
-    """filter: of words and pairs; total: of the smoothed word counts; tokens, distinct: N and V;
-    hot: exact counts of the most frequent words; counts: those of all (a table)."""
+    """segments: the filter of words and pairs (a table), bits: top bits of a key that name its segment;
+    total: of the smoothed word counts; tokens, distinct: N and V; hot: exact counts of the most
+    frequent words; counts: those of all (a table)."""
 
-    filter: Filter
+    segments: DataFrame
+    bits: int
     total: float
     tokens: int
     distinct: int
@@ -278,6 +288,16 @@ class Model:
     counts: DataFrame
     rare: DataFrame
 
+    @cached_property
+    def filter(self) -> Filter:
+        """The filter in one process, folded in half until FILTER_BYTES hold it: its levels are those of
+        the segments or higher."""
+        size, times = self.segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0, 0
+        while size >> times > FILTER_BYTES:
+            times += 1
+        # at most FILTER_BYTES
+        return Filter.of(_folded(self.segments, times).toArrow(), self.bits)
+
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """The model of all the given texts."""
@@ -287,46 +307,100 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     low = F.ceil(F.pow(F.lit(BASE), F.floor(F.log("n") / math.log(BASE) + 1e-9)) - 1e-9)
     tokens, distinct, total = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(low + 1)).first()
     table = stored(segments(pair_counts(docs, bits, text).unionByName(word_counts_as_keys(counts, bits))), "lm-filter")
-    size, times = table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0, 0
-    while size >> times > FILTER_BYTES:
-        times += 1
-    # at most FILTER_BYTES
-    held = Filter.of(_folded(table, times).toArrow(), bits)
     frequent, rare = most_frequent(counts, "n", HOT_WORDS)
     hot = frequent.select("word", "n").toArrow()
-    return Model(held, float(total or 0) + 1, tokens or 0, distinct or 0, dict(zip(hot["word"].to_pylist(), hot["n"].to_pylist(), strict=True)), counts, rare)
+    return Model(table, bits, float(total or 0) + 1, tokens or 0, distinct or 0, dict(zip(hot["word"].to_pylist(), hot["n"].to_pylist(), strict=True)), counts, rare)
+
+
+def _chunk_row(uid: int, h: np.ndarray, sizes: np.ndarray) -> dict:
+    import zstandard
+
+    hashes, ids = np.unique(h, return_inverse=True)
+    return {"uid": uid, "sizes": sizes.astype("<i8").tobytes(), "hashes": hashes.astype("<u8").tobytes(), "ids": zstandard.compress(ids.astype("<u4").tobytes(), 1)}
+
+
+def _chunk(ids: bytes, hashes: bytes):
+    """(hashes of the chunk's tokens, numbers of their words, keys of its words and then of its pairs);
+    a chunk starts behind an end token."""
+    import xxhash
+    import zstandard
+
+    hashes, ids = np.frombuffer(hashes, "<u8"), np.frombuffer(zstandard.decompress(ids), "<u4")
+    h = hashes[ids]
+    before = np.r_[_U(xxhash.xxh3_64_intdigest(END)), h[:-1]]
+    return hashes, ids, np.concatenate([word_keys(hashes), pair_keys(before, h)])
+
+
+def _probes(chunks: DataFrame, bits: int) -> DataFrame:
+    """bucket, uid, keys: the distinct keys of each chunk, in order, by segment."""
+
+    def deal(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                keys = np.unique(_chunk(row["ids"], row["hashes"])[2])
+                dealt = _dealt(keys, np.empty(len(keys), "<u4"), bits)
+                yield pa.RecordBatch.from_arrays([dealt.column("bucket"), pa.array([row["uid"]] * dealt.num_rows, pa.int64()), dealt.column("keys")], ["bucket", "uid", "keys"])
+
+    return chunks.select("uid", "ids", "hashes").mapInArrow(deal, "bucket int, uid long, keys binary")
 
 
-def _levels(held: Filter, keys: np.ndarray) -> np.ndarray:
-    """Levels of keys, each distinct one probed once."""
-    each, place = np.unique(keys, return_inverse=True)
-    return held.levels(each)[place]
+def _probed(probes: DataFrame, table: DataFrame) -> DataFrame:
+    """uid, bucket, levels (a byte for each key) of the probes."""
 
+    def probe(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        data = np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint64) if segment.num_rows else np.zeros(1, np.uint64)
+        held = Filter(0, np.zeros(1, np.int64), np.array([len(data) - 1], np.uint64), data, 0)
+        # chunk by chunk: what a call holds does not grow with the corpus
+        levels = [held.levels(np.frombuffer(x.as_buffer(), "<u8")).astype(np.uint8).tobytes() for x in asked.column("keys")]
+        return pa.table({"uid": asked.column("uid"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
 
-def _log10_probabilities(held: Filter, total: float, end: int, h: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Of each token: h its hash, word the smallest count of its level; h starts behind an end token."""
-    before = np.r_[_U(end), h[:-1]]
-    pair = LOW[_levels(held, pair_keys(before, h))]
+    return probes.groupBy("bucket").cogroup(table.select("bucket", "bits").groupBy("bucket")).applyInArrow(probe, "uid long, bucket int, levels binary")
+
+
+def _log10_probabilities(levels: np.ndarray, total: float, end: int, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of each token of a chunk; levels: of its words and then of its pairs."""
+    low, pair = LOW[levels[: len(hashes)]], LOW[levels[len(hashes) :]]
+    word = low[ids]
     # a context's count is that of the word itself, taken at the upper end of its level
-    context = np.r_[LOW[held.levels(word_keys(before[:1]))], word[:-1]]
+    context = np.r_[low[np.searchsorted(hashes, _U(end))], word[:-1]]
     context = np.maximum(context, np.floor(context * BASE))
     pair = np.minimum(pair, context)
     trust = TRUST * context / (context + PRIOR)
     return np.log10(trust * pair / np.maximum(context, 1) + (1 - trust) * (word + 1) / total)
 
 
+def _scored(chunks: DataFrame, model: Model) -> DataFrame:
+    """uid, score of each text of the chunks."""
+    total = model.total
+
+    def each(chunk: pa.Table, probed: pa.Table) -> pa.Table:
+        import xxhash
+
+        (row,) = chunk.to_pylist()
+        hashes, ids, keys = _chunk(row["ids"], row["hashes"])
+        # segments are ranges of keys: their answers, one behind the other, are those of the sorted keys
+        answers = np.frombuffer(b"".join(probed.sort_by("bucket").column("levels").to_pylist()), np.uint8)
+        levels = answers[np.unique(keys, return_inverse=True)[1]]
+        p = _log10_probabilities(levels, total, xxhash.xxh3_64_intdigest(END), hashes, ids)
+        sizes = np.frombuffer(row["sizes"], "<i8")
+        return pa.table({"uid": row["uid"] + np.arange(len(sizes)), "score": np.add.reduceat(p, np.r_[0, np.cumsum(sizes)[:-1]])})
+
+    probed = _probed(_probes(chunks, model.bits), model.segments)
+    return chunks.groupBy("uid").cogroup(probed.groupBy("uid")).applyInArrow(each, "uid long, score double")
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((model.filter, model.total, model.hot))
+    shared = sc.broadcast(model.hot)
     kind = dict(docs.dtypes)[key]
 
     def each(batches):
         from pyspark import TaskContext
 
-        held, total, hot = shared.value
+        hot = shared.value
         hashes, uid = WordHash(), TaskContext.get().partitionId() << 40
-        end = hashes[END]
+        held, lengths, chunk = [], [], uid
         logs = {w: math.log10(n + 1) for w, n in hot.items()}
         for part, texts in _texts(batches, 1):
             each = [words_of(t) for t in texts]
@@ -334,12 +408,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             first = np.r_[0, np.cumsum(sizes)[:-1]]
             words = [x for w in each for x in w]
             h = hashes.of(words)
-            distinct, at, place = np.unique(h, return_index=True, return_inverse=True)
+            _, at, place = np.unique(h, return_index=True, return_inverse=True)
             names = [words[i] for i in at.tolist()]
-            low = LOW[held.levels(word_keys(distinct))][place]
             exact = np.array([logs.get(w, np.nan) for w in names])
             cold = np.isnan(exact)[place]
-            p = _log10_probabilities(held, total, end, h, low)
             sums = lambda x: np.add.reduceat(x, first)  # noqa: E731, B023
             # rare words of each text, with how often they occur in it
             text = np.repeat(np.arange(len(each)), sizes)[cold]
@@ -348,17 +420,36 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             items = pa.StructArray.from_arrays([pa.array(names, pa.binary()).take(pa.array(rare % len(names))), pa.array(times, pa.int64())], ["word", "n"])
             arrays = [
                 pa.array(np.arange(uid, uid + len(each))), part.column(0), pa.array(sizes, pa.int64()), pa.array(sums(np.nan_to_num(exact)[place])),
-                pa.array(sums((~cold).astype(np.int64))), pa.array(sums(p)), pa.ListArray.from_arrays(pa.array(ends), items),
+                pa.array(sums((~cold).astype(np.int64))), pa.ListArray.from_arrays(pa.array(ends), items),
             ]
             uid += len(each)
-            yield pa.RecordBatch.from_arrays(arrays, ["uid", "key", "n_tokens", "base", "known", "score", "rare"])
-
-    schema = f"uid long, key {kind}, n_tokens long, base double, known long, score double, rare array<struct<word:binary,n:long>>"
-    first = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(each, schema), "lm-scores")
+            held.append(h)
+            lengths.append(sizes)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(each), packed)], fields)
+            if sum(map(len, held)) >= CHUNK:
+                yield packed_row(chunk, held, lengths)
+                held, lengths, chunk = [], [], uid
+        if held:
+            yield packed_row(chunk, held, lengths)
+
+    fields = ["uid", "key", "n_tokens", "base", "known", "rare", "chunk"]
+    packed = pa.struct([("uid", pa.int64()), ("sizes", pa.binary()), ("ids", pa.binary()), ("hashes", pa.binary())])
+    key_type = to_arrow_type(docs.schema[key].dataType)
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+
+    def packed_row(uid, held, lengths):
+        row = pa.array([_chunk_row(uid, np.concatenate(held), np.concatenate(lengths))], packed)
+        kinds = [pa.int64(), key_type, pa.int64(), pa.float64(), pa.int64(), rare_type]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), row], fields)
+
+    schema = f"uid long, key {kind}, n_tokens long, base double, known long, rare array<struct<word:binary,n:long>>, chunk struct<uid:long,sizes:binary,ids:binary,hashes:binary>"
+    both = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(each, schema), "lm-scores")
+    first = both.filter("uid is not null").drop("chunk")
+    scores = _scored(both.filter("uid is null").select("chunk.*"), model)
     cold = first.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     joined = cold.join(model.rare, "word").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
     per_token = math.log10(model.tokens + model.distinct + 1)
-    return first.drop("rare").join(joined, "uid", "left").select(
+    return first.drop("rare").join(joined, "uid", "left").join(scores, "uid").select(
         F.col("key").alias(key),
         (fold("key") == HELD_OUT).alias("held_out"),
         "n_tokens",

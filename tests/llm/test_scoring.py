@@ -127,6 +127,16 @@ def test_filter_never_undercounts(spark, monkeypatch):
     assert all(bloom_lm.LOW[bloom_lm.level(np.array([c]))[0]] <= c < bloom_lm.LOW[bloom_lm.level(np.array([c]))[0]] * 1.5 + 1 for c in range(1, 3000))
 
 
+def test_scores_do_not_depend_on_the_memory_for_a_filter(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BUCKET_BYTES", 2000)
+    docs = spark.createDataFrame(texts(300, 1), "doc_id long, text string").repartition(3)
+    scores = []
+    for size in (64 << 20, 500):
+        monkeypatch.setattr(bloom_lm, "FILTER_BYTES", size)
+        scores.append({r.doc_id: r.score for r in bloom_lm.digest(docs).collect()})
+    assert len(scores[0]) == 300 and all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-12) for i in scores[0])
+
+
 def quality_rows(n=600):
     random.seed(7)
     words = ["river", "stone", "green", "walk", "little", "house", "under", "bright", "seven", "morning"]
