@@ -18,11 +18,12 @@ shard and slot get a trailing underscore where the table has such columns alread
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hilandera.llm.common import free_name, prefix_sums, table
+from hilandera.llm.common import dropped_shuffles, free_name, prefix_sums, shared_dir, table
 
 SEED = 6
 SHARDS = 40
@@ -30,6 +31,9 @@ SHARDS = 40
 BUCKET_BYTES = 8 << 20
 #: Partitions of the second pass at most; a partition then holds several buckets, one at a time.
 MAX_PARTITIONS = 20_000
+#: The table of offsets (a row a bucket) is broadcast up to this many buckets. Beyond, rows keep their
+#: places, but the partitions no longer follow one another in the order of places.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def byte_size(text: str = "text") -> Column:
@@ -48,10 +52,14 @@ def shuffled(rows: DataFrame, key: str, n_rows: int, n_bytes: int, shards: int =
     bucket, order = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n_buckets)), F.xxhash64(F.lit(seed + 1), F.col(key))
     counts = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     offsets = prefix_sums(counts, "bucket", "n", "offset").drop("n")
-    dealt = rows.select(bucket.alias("bucket"), F.struct(order.alias("order"), F.struct(*(F.col(c) for c in rows.columns)).alias("row")).alias("item"))
+    offsets = F.broadcast(offsets) if n_buckets <= BROADCAST_BUCKETS else offsets
+    n_parts = min(n_buckets, MAX_PARTITIONS)
+    # partitions are runs of buckets, in order
+    part = F.floor(bucket * F.lit(n_parts) / F.lit(n_buckets)).cast("int")
+    dealt = rows.select(bucket.alias("bucket"), part.alias("part"), F.struct(order.alias("order"), F.struct(*(F.col(c) for c in rows.columns)).alias("row")).alias("item"))
     held = (
-        dealt.repartition(min(n_buckets, MAX_PARTITIONS), "bucket")
-        .groupBy("bucket")
+        dealt.repartitionById(n_parts, "part")
+        .groupBy("part", "bucket")
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
         .sortWithinPartitions("bucket")
         .select("bucket", F.shuffle("items", seed).alias("items"))
@@ -74,16 +82,18 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, its rows in slot order through the numbered files."""
-    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder for each shard, its rows in slot order through the numbered files (sharded as
+    shuffled() gives it)."""
+    with dropped_shuffles(sharded.sparkSession):
+        sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
-    """One row for each document: its size, the crc32 of its text and where it goes."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", byte_size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
-    )
-    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).first()
-    return shuffled(docs, "doc_id", n["rows"], n["bytes"] or 0).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    """The documents' shards written to the shared folder; of each written record its size, the crc32
+    of its text and where it stands."""
+    sharded = shard_documents(table(spark, sf_dir, "documents"))
+    write_shards(sharded, path := f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return spark.read.schema(sharded.schema).parquet(path).select(
+        "doc_id", byte_size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )

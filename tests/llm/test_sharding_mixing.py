@@ -1,6 +1,8 @@
 import math
+import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from hilandera.llm import mixing, sharding
@@ -36,6 +38,25 @@ def test_written_shards(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/s").count() == 100
 
 
+def numbered_files(folder):
+    return sorted(f for f in folder.iterdir() if f.name.startswith("part-"))
+
+
+def test_the_query_writes_whole_records_in_slot_order(spark, tmp_path, monkeypatch):
+    docs = spark.range(1003).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"))
+    sharding.write_shards(sharding.shard_documents(docs, bucket_bytes=2000), f"file://{tmp_path}/s")
+    for shard in (tmp_path / "s").glob("shard=*"):
+        slots = [x for f in numbered_files(shard) for x in pq.ParquetFile(f).read()["slot"].to_pylist()]
+        assert slots == list(range(len(slots))) and len(slots) in (25, 26)
+    monkeypatch.setattr(sharding, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    docs.write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    rows = {r.doc_id: r for r in sharding.digest(spark, f"file://{tmp_path}/sf").collect()}
+    (written,) = (tmp_path / "shared").iterdir()
+    held = {r.doc_id: r for r in spark.read.parquet(f"file://{written}").collect()}
+    assert len(rows) == len(held) == 1003 and all((r.shard, r.slot) == (held[i].shard, held[i].slot) for i, r in rows.items())
+    assert all(held[i].text == f"some text {i}" and r.text_crc32 == zlib.crc32(held[i].text.encode()) for i, r in rows.items())
+
+
 def water(sizes, budget=1.5, weights=(5, 2, 1), epochs=2):
     """Targets by sharing the excess again and again."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
