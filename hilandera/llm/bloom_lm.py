@@ -331,6 +331,16 @@ def _chunk(ids: bytes, hashes: bytes):
     return hashes, ids, np.concatenate([word_keys(hashes), pair_keys(before, h)])
 
 
+def _thin(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte: the high bytes are zeros, which compress."""
+    return np.diff(keys, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _thick(data: pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _probes(chunks: DataFrame, bits: int) -> DataFrame:
     """bucket, uid, keys: the distinct keys of each chunk, in order, by segment."""
 
@@ -339,7 +349,8 @@ def _probes(chunks: DataFrame, bits: int) -> DataFrame:
             for row in b.to_pylist():
                 keys = np.unique(_chunk(row["ids"], row["hashes"])[2])
                 dealt = _dealt(keys, np.empty(len(keys), "<u4"), bits)
-                yield pa.RecordBatch.from_arrays([dealt.column("bucket"), pa.array([row["uid"]] * dealt.num_rows, pa.int64()), dealt.column("keys")], ["bucket", "uid", "keys"])
+                thin = pa.array([_thin(np.frombuffer(x.as_buffer(), "<u8")) for x in dealt.column("keys")], pa.binary())
+                yield pa.RecordBatch.from_arrays([dealt.column("bucket"), pa.array([row["uid"]] * dealt.num_rows, pa.int64()), thin], ["bucket", "uid", "keys"])
 
     return chunks.select("uid", "ids", "hashes").mapInArrow(deal, "bucket int, uid long, keys binary")
 
@@ -351,7 +362,7 @@ def _probed(probes: DataFrame, table: DataFrame) -> DataFrame:
         data = np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint64) if segment.num_rows else np.zeros(1, np.uint64)
         held = Filter(0, np.zeros(1, np.int64), np.array([len(data) - 1], np.uint64), data, 0)
         # chunk by chunk: what a call holds does not grow with the corpus
-        levels = [held.levels(np.frombuffer(x.as_buffer(), "<u8")).astype(np.uint8).tobytes() for x in asked.column("keys")]
+        levels = [held.levels(_thick(x.as_buffer())).astype(np.uint8).tobytes() for x in asked.column("keys")]
         return pa.table({"uid": asked.column("uid"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
 
     return probes.groupBy("bucket").cogroup(table.select("bucket", "bits").groupBy("bucket")).applyInArrow(probe, "uid long, bucket int, levels binary")
@@ -385,8 +396,9 @@ def _scored(chunks: DataFrame, model: Model) -> DataFrame:
         sizes = np.frombuffer(row["sizes"], "<i8")
         return pa.table({"uid": row["uid"] + np.arange(len(sizes)), "score": np.add.reduceat(p, np.r_[0, np.cumsum(sizes)[:-1]])})
 
-    probed = _probed(_probes(chunks, model.bits), model.segments)
-    return chunks.groupBy("uid").cogroup(probed.groupBy("uid")).applyInArrow(each, "uid long, score double")
+    # each is stored, so that only one step's shuffle is on disk at a time
+    probed = stored(_probed(_probes(chunks, model.bits), model.segments), "lm-levels")
+    return stored(chunks.groupBy("uid").cogroup(probed.groupBy("uid")).applyInArrow(each, "uid long, score double"), "lm-sums")
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
