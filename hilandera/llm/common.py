@@ -52,12 +52,12 @@ def dropped_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder as a table and read back: columns can then be pruned. Files of
     the shuffles that made it are dropped once it is written."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     with dropped_shuffles(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

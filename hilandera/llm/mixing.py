@@ -9,8 +9,9 @@
 3. Splitting tree: the block quotas of all sources are halved again and again among the output
    shards. Each split draws the left half's blocks without replacement from the node's, so a
    node's quotas are a multivariate hypergeometric draw that adds up exactly.
-4. Each shard draws its quota of disjoint blocks from the source's permuted list, and its rows are
-   shuffled locally by a seeded key.
+4. Each shard draws its quota of disjoint blocks from the source's permuted list. Its rows are
+   shuffled locally: they are dealt to partitions by ranges of a seeded key and sorted by it there, so
+   that the numbered partitions hold the shards one after the other, each in its order.
 
 No step gathers a source: blocks are sums of 256 rows a source, and a hot source is spread over its
 blocks. Only the table of sources is ordered as a whole (one row a source).
@@ -22,10 +23,12 @@ are kept, and shard, copy and draw get a trailing underscore where the table has
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hilandera.llm.common import SPACE, cut, free_name
+from hilandera.llm.common import SPACE, cut, free_name, stored
 
 SEED = 4
 WEIGHTS = (5, 2, 1)
@@ -37,6 +40,8 @@ SUB_BLOCKS = 4096
 LEVELS = 4
 #: The table of blocks is broadcast up to this many rows (some 100 bytes each), joined by shuffle beyond.
 BROADCAST_ROWS = 65_536
+#: Bytes of text in a partition of a shard, about.
+PART_BYTES = 32 << 20
 
 
 def word_count(text: str = "text") -> Column:
@@ -163,20 +168,43 @@ def planned(docs: DataFrame, the_plan: DataFrame, key: str = "doc_id", source: s
     return both.withColumn("mix__", mix).drop(*names.values(), "p__").withColumnRenamed("mix__", free_name(docs, "mix"))
 
 
-def mixture(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, levels: int = LEVELS) -> DataFrame:
-    """The mix: a row for each copy taken, with the columns of docs and copy (int, from 0),
-    shard (int) and draw (long): the order by draw is the shard's local shuffle."""
-    sized = docs.select(F.col(source).alias("source"), F.col(key).alias("key"), word_count(text).alias("size"))
-    the_plan = plan(cut(sized), "key", seed, levels)
+def _sized(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    return cut(docs.select(F.col(source).alias("source"), F.col(key).alias("key"), word_count(text).alias("size"), F.octet_length(text).alias("bytes")))
+
+
+def _drawn(docs: DataFrame, the_plan: DataFrame, n_bytes: int, source: str, key: str, seed: int, levels: int) -> DataFrame:
     out = planned(docs, the_plan, key, source, seed)
     mix = free_name(docs, "mix")
     shard, copy, draw = (free_name(docs, x) for x in ("shard", "copy", "draw"))
     taken = out.select(*docs.columns, F.posexplode(f"{mix}.shards").alias(copy, shard))
-    return taken.withColumn(draw, F.xxhash64(F.lit(seed + 5), F.col(key), F.col(copy)))
+    taken = taken.withColumn(draw, F.xxhash64(F.lit(seed + 5), F.col(key), F.col(copy)))
+    # ranges of draw of each shard
+    pieces = max(1, math.ceil(SHARE * n_bytes / (1 << levels) / PART_BYTES))
+    piece = F.least(F.floor((F.col(draw) / F.lit(2.0**64) + F.lit(0.5)) * F.lit(pieces)), F.lit(pieces - 1))
+    return taken.repartitionById(pieces << levels, (F.col(shard) * F.lit(pieces) + piece).cast("int")).sortWithinPartitions(shard, draw)
+
+
+def mixture(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, levels: int = LEVELS) -> DataFrame:
+    """The mix: a row for each copy taken, with the columns of docs and copy (int, from 0),
+    shard (int) and draw (long): rows are in the order of shard and draw, the shard's local shuffle."""
+    sized = _sized(docs, text, source, key)
+    n_bytes = sized.agg(F.sum("bytes")).first()[0] or 0
+    return _drawn(docs, plan(sized, "key", seed, levels), n_bytes, source, key, seed, levels)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row for each document: what the mix takes of it."""
-    sized = cut(docs.select("doc_id", "source", word_count().alias("size")))
-    out = planned(sized, plan(sized))
-    return out.select("doc_id", "size", "mix.source_size", "mix.target", (F.col("size") * F.col("mix.copies")).cast("long").alias("taken"), F.col("mix.copies").alias("copies"), F.array_join(F.col("mix.shards").cast("array<string>"), ",").alias("shards"))
+    """The mix written to the shared folder; one row for each document: what the written mix holds of it."""
+    docs = docs.select("doc_id", "source", "text")
+    sized = _sized(docs)
+    the_plan = plan(sized, "key")
+    n_bytes = sized.agg(F.sum("bytes")).first()[0] or 0
+    mix = stored(_drawn(docs, the_plan, n_bytes, "source", "doc_id", SEED, LEVELS), "mix", "zstd")
+    # rows that share key, source and size are taken alike
+    of = ["doc_id", "source", "size"]
+    copies = mix.groupBy("doc_id", "source", word_count().alias("size"), "copy").agg(F.max("shard").alias("shard"))
+    copies = copies.groupBy(*of).agg(F.sum("size").alias("taken"), F.count(F.lit(1)).cast("int").alias("copies"), F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("shards"))
+    goals = the_plan.select("source", "source_size", "target").distinct()
+    out = _null_safe(sized.select(F.col("key").alias("doc_id"), "source", "size"), copies, of, "left")
+    out = _null_safe(out, goals, ["source"])
+    listed = F.array_join(F.transform("shards", lambda x: x["shard"].cast("string")), ",")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce(listed, F.lit("")).alias("shards"))

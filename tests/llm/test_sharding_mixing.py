@@ -100,6 +100,20 @@ def test_mix_meets_its_targets(spark):
     assert {r.shard for r in mixed.collect()} == set(range(16))
 
 
+def test_the_mix_is_made_in_the_order_of_its_draws(spark, tmp_path, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("w "), 9).alias("text"))
+    monkeypatch.setattr(mixing, "PART_BYTES", 1000)
+    mixing.mixture(docs).write.parquet(f"file://{tmp_path}/mix")
+    rows = [(r["shard"], r["draw"]) for f in numbered_files(tmp_path / "mix") for r in pq.ParquetFile(f).read().to_pylist()]
+    assert len(numbered_files(tmp_path / "mix")) > 16 and rows == sorted(rows) and len(set(rows)) == len(rows)
+    made = []
+    monkeypatch.setattr(mixing, "stored", lambda df, *_: made.append(df.cache()) or made[-1])
+    digest = mixing.digest(docs).collect()
+    assert sorted(r.doc_id for r in made[0].collect()) == sorted(r.doc_id for r in digest for _ in range(r.copies)) and "text" in made[0].columns
+    shards = {(r.doc_id, r.copy): r.shard for r in made[0].collect()}
+    assert all(r.shards == ",".join(str(shards[r.doc_id, k]) for k in range(r.copies)) for r in digest)
+
+
 def test_odd_documents(odd, none):
     rows = by_id(mixing.digest(odd))
     assert rows[3][0].size == 0 and rows[4][0].size == 0 and len(rows[7]) == 2
