@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 return the columns of documents:
 
 1. quality rules: documents that the current policy rejects go;
-2. SimHash near-dedup: of each component the document of the smallest doc_id stays;
+2. near-dedup by five-word shingles, similarity 0.8: of each component the document of the smallest
+   doc_id stays;
 3. secret scans: secrets are replaced by [SECRET], and n_chars follows the text;
-4. mixing: a row for each copy that the mix takes of a document;
+4. mixing: a row for each copy that the mix takes of a document, in the order of shards and draws;
 5. BPE: the ids of each row's text and the text that they decode to, as digests, and the ids.
 """
 
@@ -17,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hilandera.llm import bpe, mixing, quality_rules, secret_scan, simhash
+from hilandera.llm import bpe, mixing, near_copies, quality_rules, secret_scan
 from hilandera.llm.common import shared_dir, table
 
 
@@ -26,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
