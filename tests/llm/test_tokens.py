@@ -73,6 +73,30 @@ def test_bpe_digest(spark, odd, none, byte_level):
     assert all((*found[i][0][1:],) == expected(t, byte_level) for i, t in rows)
 
 
+def test_each_distinct_word_is_encoded_once(byte_level):
+    class Counted(bpe.WordTable):
+        asked: list = []
+
+        def ids(self, word):
+            self.asked.append(word)
+            return super().ids(word)
+
+    table = Counted(bpe.default_tokenizer())
+    questions = [[" the", " fox", "!"], [" the", " fox", " sat"], [" sat", " the"]]
+    found = [np.split(bpe._numbers(ids), np.cumsum(bpe._numbers(sizes))[:-1]) for sizes, ids in bpe.answers(questions, table)]
+    assert [[x.tolist() for x in f] for f in found] == [[byte_level.encode(w, add_special_tokens=False).ids for w in q] for q in questions]
+    assert sorted(table.asked) == sorted({w for q in questions for w in q})
+
+
+def test_bpe_over_many_chunks_and_buckets(spark, odd, byte_level, monkeypatch):
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 4096)
+    rows = list(enumerate(random_texts(300) + [None, "", "word and other " * 3000]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = by_id(bpe.digest(docs))
+    assert len(found) == len(rows) and all((*found[i][0][1:],) == expected(t, byte_level) for i, t in rows)
+    assert bpe.round_trip(odd, keep=["source", "doc_id"]).columns == ["source", "doc_id", "ids_", "decoded_"]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1003, dtype=np.uint64).astype("<u4")
