@@ -42,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs.select("doc_id", "source", "text")).select(
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"]).select(
         "doc_id",
         "source",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
