@@ -14,7 +14,12 @@ SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Used where a session names no shared folder, as in tests on one machine.
 LOCAL_SHARED = "/tmp/checkpoints/hilandera"
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Rows of one key beyond which a join splits them.
+HOT_ROWS = 1_000_000
+#: Small tables are broadcast up to this many rows, joined by shuffle beyond.
+BROADCAST_ROWS = 500_000
+#: Folders that the operators wrote for their own use, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,17 +57,52 @@ def dropped_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name in the shared folder that nothing has yet; clean_up() deletes it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes what the operators have put in the shared folder for their own use. To be called when
+    the results of this application's queries have been read or written."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
+
+
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder as a table and read back: columns can then be pruned. Files of
     the shuffles that made it are dropped once it is written."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     with dropped_shuffles(df.sparkSession):
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def join_hot(many: DataFrame, one: DataFrame, on: str, counts: DataFrame | None = None) -> DataFrame:
+    """many joined with one, which has a row for each value of `on`.
+
+    Values that more than HOT_ROWS rows of `many` have are split: their rows are dealt by a hash to
+    parts of some HOT_ROWS, and one's row goes to each part. There are fewer hot values than rows by
+    that factor. counts: on, n (rows of many), where they are known already; `on` must not be null.
+    """
+    counts = many.groupBy(on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    part, parts = free_name(many, "_part"), free_name(many, "_parts")
+    hot = cut(counts.filter(F.col("n") > HOT_ROWS).select(on, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias(parts)))
+    n = hot.count()
+    if not n:
+        return many.join(one, on)
+    hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    dealt = many.join(hot, on, "left").withColumn(part, F.pmod(F.xxhash64(*many.columns), F.coalesce(parts, F.lit(1)))).drop(parts)
+    each = one.join(hot, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)).cast("long")).drop(parts)
+    return dealt.join(each, [on, part]).drop(part)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

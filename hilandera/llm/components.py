@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hilandera.llm.common import cut
+from hilandera.llm.common import cut, join_hot
 
 
 def local_components(n: int, pairs) -> np.ndarray:
@@ -33,14 +33,16 @@ def components(links: DataFrame) -> DataFrame:
 
     links: columns a and b of one orderable type. Large-star and small-star steps in turn: every
     link then leads to the root. Each step is a minimum, combined before the shuffle, joined back to
-    the links; the links of a node are never gathered, and each round's links are checkpointed.
+    the links; the links of a node are never gathered (a hub's are split for the join), and each round's
+    links are checkpointed.
     """
     links = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both, least.drop("n"), "u", least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # each node's links lead to smaller nodes here: one a round and star that it was in
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()

@@ -12,14 +12,16 @@
 4. Only a star of each local component leaves a task; components of the stars are found by
    large-star and small-star rounds.
 
-A front segment that more than HOT_ROWS fingerprints share is cut once more, by the same argument,
-into the segments of its other bits. A block in which there is too little to prune is solved by
-grouping fingerprints with the values at one bit's distance, which is linear: two of them are within
-two bits just if some value is within one bit of either.
+A block that more than HOT_ROWS fingerprints share is cut again: first into its front segments, which
+no link crosses; then, by the same argument as before, into the segments of the other bits; then into
+segments of the bits that are left, after which 2^19 distinct fingerprints at most can share one. In a
+task, a part of the tree where too little is pruned is cut in the same way, by thirds of the bits in
+which its fingerprints differ, and each third's groups are trees again.
 
 Defined cases: a text without words, or a null one, has fingerprint zero and links like any other;
 a document without a key never names a component; rows that share a key keep one row each; an empty
-table gives no rows.
+table gives no rows; other columns are not returned (by one_of_each: kept); a text of any length is one
+row's work, its shingles' hashes being all that is held of it.
 """
 
 from __future__ import annotations
@@ -31,23 +33,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hilandera.llm.common import cut, stored
+from hilandera.llm.common import BROADCAST_ROWS, cut, join_hot, stored
 from hilandera.llm.components import components, local_components
 
 SHINGLE = 3
 SEED = 42
 LIMIT = 2
 BLOCK_ROWS = 4096
-#: Fingerprints with one front segment beyond which it is cut again.
+#: Fingerprints of a block beyond which it is cut again.
 HOT_ROWS = 50_000
-#: Hot segments are broadcast up to this many, joined by shuffle beyond.
-BROADCAST_ROWS = 500_000
 #: Width of each rotation's front segment, and (offset, width) of the segments behind it.
 FRONTS = (21, 21, 22)
 BEHIND = (((28, 15), (14, 14), (0, 14)), ((28, 15), (14, 14), (0, 14)), ((28, 14), (14, 14), (0, 14)))
 LEAF, FAN = 16, 4
-#: Comparisons of leaves for each fingerprint beyond which a part counts as dense.
-DENSE = 20_000
+#: Comparisons for each fingerprint beyond which a part of the tree is cut again, and fingerprints up
+#: to which it is not.
+DENSE, SMALL = 4096, 2048
 _U = np.uint64
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -150,29 +151,36 @@ def near_pairs(a: np.ndarray, b: np.ndarray, limit: int = LIMIT, most: float = m
         yield m[near], n[near]
 
 
-def _by_neighbours(fps: np.ndarray):
-    """Chunks of links that connect what lies within two bits: fingerprints that share a value within one bit."""
-    n = len(fps)
-    values = np.concatenate([fps, *(fps ^ bit for bit in _BITS)])
-    order = np.argsort(values, kind="stable")
-    same = values[order][1:] == values[order][:-1]
-    yield order[:-1][same] % n, order[1:][same] % n
+def linked(fps: np.ndarray, at: np.ndarray):
+    """Chunks of pairs of `at` that connect all fps within LIMIT bits; fps are distinct, in Gray order."""
+    if len(fps) > SMALL:
+        for pair in near_pairs(fps, fps, most=DENSE * len(fps)):
+            if pair is None:
+                break
+            yield at[pair[0]], at[pair[1]]
+        else:
+            return
+        differ = np.bitwise_or.reduce(fps ^ fps[0])
+        bits = _BITS[differ & _BITS != 0]
+        if len(bits) <= LIMIT:
+            yield np.repeat(at[:1], len(at)), at
+            return
+        for third in np.array_split(bits, LIMIT + 1):
+            value = fps & third.sum(dtype=np.uint64)
+            order = np.argsort(value, kind="stable")
+            ends = np.r_[np.flatnonzero(np.diff(value[order])) + 1, len(fps)]
+            for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                if b - a > 1:
+                    yield from linked(fps[order[a:b]], at[order[a:b]])
+    else:
+        for i, j in near_pairs(fps, fps):
+            yield at[i], at[j]
 
 
 def local_stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, the first of its component) of all with links."""
     fps = fps[np.argsort(_rank(fps), kind="stable")]
-
-    def pairs():
-        for pair in near_pairs(fps, fps, most=DENSE * len(fps)):
-            if pair is None:
-                raise OverflowError
-            yield pair
-
-    try:
-        label = local_components(len(fps), pairs())
-    except OverflowError:
-        label = local_components(len(fps), _by_neighbours(fps))
+    label = local_components(len(fps), linked(fps, np.arange(len(fps))))
     away = label != np.arange(len(fps))
     return fps[away], fps[label[away]]
 
@@ -183,41 +191,95 @@ def _turned(fps: np.ndarray, by: int) -> np.ndarray:
     return (fps << _U(by)) | (fps >> _U(64 - by)) if by else fps
 
 
+def _rotated(turn: Column) -> Column:
+    """fp rotated left so that the turn's segment stands in front."""
+    out, start = F.col("fp"), 0
+    for k, width in enumerate(FRONTS[:-1], 1):
+        start += width
+        out = F.when(turn == k, F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", 64 - start))).otherwise(out)
+    return out
+
+
+def _bits(x: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _by_turn(each) -> Column:
+    """each(k) where column turn is k."""
+    return F.when(F.col("turn") == 0, each(0)).when(F.col("turn") == 1, each(1)).otherwise(each(2))
+
+
+def _by_front(rows: DataFrame) -> DataFrame:
+    """A block's rows by front segment: cells turn, front, -1."""
+    front = _by_turn(lambda k: F.shiftrightunsigned(_rotated(F.col("turn")), 64 - FRONTS[k]))
+    return rows.withColumn("cell", F.array(F.col("turn").cast("long"), front, F.lit(-1).cast("long")))
+
+
+def _by_behind(rows: DataFrame) -> DataFrame:
+    """A front segment's rows by each segment of the other bits: cells turn, front, part, segment."""
+    rot = _rotated(F.col("turn"))
+    behind = _by_turn(lambda k: F.array(*(_bits(rot, *x) for x in BEHIND[k])))
+    return rows.select("fp", "turn", "cell", F.posexplode(behind).alias("part", "segment")).withColumn("cell", F.concat(F.slice("cell", 1, 2), F.array(F.col("part").cast("long"), "segment"))).select("fp", "turn", "cell")
+
+
+def _by_rest(rows: DataFrame) -> DataFrame:
+    """And by thirds of the bits that neither segment has: cells of six."""
+    rot = _rotated(F.col("turn"))
+
+    def thirds(k: int, part: int) -> Column:
+        rest, width = None, 0
+        for i, (at, w) in enumerate(BEHIND[k]):
+            if i != part:
+                x = _bits(rot, at, w)
+                rest, width = (x if rest is None else F.shiftleft(rest, w).bitwiseOR(x)), width + w
+        return F.array(_bits(rest, 0, 10), _bits(rest, 10, 10), _bits(rest, 20, width - 20))
+
+    part = F.col("cell")[2]
+    segments = _by_turn(lambda k: F.when(part == 0, thirds(k, 0)).when(part == 1, thirds(k, 1)).otherwise(thirds(k, 2)))
+    return rows.select("fp", "turn", "cell", F.posexplode(segments).alias("third", "value")).withColumn("cell", F.concat("cell", F.array(F.col("third").cast("long"), "value"))).select("fp", "turn", "cell")
+
+
+def cells(distinct: DataFrame) -> DataFrame:
+    """fp, turn, cell: two fingerprints (column fp) within LIMIT bits share a cell, and no cell but of the
+    last cut holds more than HOT_ROWS of them."""
+    n_blocks = max(1, math.ceil(distinct.count() / BLOCK_ROWS))
+    block_bits = min(min(FRONTS), (n_blocks - 1).bit_length())
+    rows = distinct.select("fp", F.explode(F.array(*map(F.lit, range(len(FRONTS))))).alias("turn"))
+    rank = gray_rank(_rotated(F.col("turn"))).bitwiseXOR(F.lit(-(1 << 63)))
+    block = F.shiftrightunsigned(rank, 64 - block_bits) if block_bits else F.lit(0).cast("long")
+    rows, done = rows.withColumn("cell", F.array(F.col("turn").cast("long"), block)), None
+    for deeper in (_by_front, _by_behind, _by_rest):
+        hot = cut(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).select("cell", F.lit(True).alias("hot")))
+        n = hot.count()
+        if not n:
+            break
+        marked = rows.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, "cell", "left")
+        cool = marked.filter("hot is null").drop("hot").select("fp", "turn", "cell")
+        done = cool if done is None else done.unionByName(cool)
+        rows = deeper(marked.filter("hot").drop("hot"))
+    return rows if done is None else done.unionByName(rows.select("fp", "turn", "cell"))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that connect all that lie within LIMIT bits."""
-    n_blocks = max(1, math.ceil(distinct.count() / BLOCK_ROWS))
-    block_bits = min(21, (n_blocks - 1).bit_length())
-    turned, start = [], 0
-    for k, width in enumerate(FRONTS):
-        rot = F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", 64 - start)) if start else F.col("fp")
-        behind = F.array(*(F.shiftrightunsigned(rot, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in BEHIND[k]))
-        rank = gray_rank(rot).bitwiseXOR(F.lit(-(1 << 63)))
-        block = F.shiftrightunsigned(rank, 64 - block_bits) if block_bits else F.lit(0).cast("long")
-        turned.append(F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(rot, 64 - width).alias("front"), block.alias("block"), behind.alias("behind")))
-        start += width
-    rows = distinct.select("fp", F.explode(F.array(*turned)).alias("x")).select("fp", "x.*")
-    hot = cut(rows.groupBy("turn", "front").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).drop("n").withColumn("hot", F.lit(True)))
-    rows = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, ["turn", "front"], "left")
-    plain = rows.filter("hot is null").select("turn", "block", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("segment"), "fp")
-    again = rows.filter("hot").select("turn", F.col("front").alias("block"), F.posexplode("behind").alias("part", "segment"), "fp")
 
     def join(group: pa.Table) -> pa.Table:
         by = sum(FRONTS[: group.column("turn")[0].as_py()])
         a, b = local_stars(_turned(group.column("fp").to_numpy().view(np.uint64), by))
         return pa.table({"a": _turned(a, -by).view(np.int64), "b": _turned(b, -by).view(np.int64)})
 
-    return plain.unionByName(again).groupBy("turn", "block", "part", "segment").applyInArrow(join, "a long, b long")
+    return cells(distinct).groupBy("cell").applyInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp, component: of each document its fingerprint and the smallest key reachable over links."""
     each = stored(fingerprints(docs, key, text), "fingerprints")
-    classes = cut(each.groupBy("fp").agg(F.min("key").alias("least")))
+    classes = cut(each.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(classes.select("fp")))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_class = named.join(best, "root").select("fp", "component")
-    return each.join(by_class, "fp").select("key", "fp", "component")
+    by_class = cut(join_hot(named, best, "root").select("fp", "component"))
+    return join_hot(each, by_class, "fp", classes).select("key", "fp", "component")
 
 
 def hexadecimal(fp: Column) -> Column:

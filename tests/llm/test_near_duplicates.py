@@ -64,13 +64,38 @@ def test_links_connect_all_within_two_bits(spark, monkeypatch, hot):
     assert found == {v: min(g) for g in groups.values() if len(g) > 1 for v in g}
 
 
-def test_tree_and_neighbour_ways_agree():
+@pytest.mark.parametrize(("small", "dense"), [(2048, 4096), (30, 1), (2, 0)])
+def test_tree_finds_all_within_two_bits(monkeypatch, small, dense):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "DENSE", dense)
     x = clustered()
     x = x[np.argsort(simhash._rank(x), kind="stable")]
     linked = np.bitwise_count(x[:, None] ^ x) <= 2
     pairs = {(a, b) for i, j in simhash.near_pairs(x, x) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     assert pairs == set(zip(*(k.tolist() for k in np.nonzero(linked)), strict=True))
-    assert (cc.local_components(len(x), simhash._by_neighbours(x)) == plain_components(len(x), linked)).all()
+    assert (cc.local_components(len(x), simhash.linked(x, np.arange(len(x)))) == plain_components(len(x), linked)).all()
+
+
+def test_cells_hold_every_link_and_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 20)
+    rng = np.random.default_rng(3)
+    x = np.unique(np.uint64(0xABCDE << 44) ^ rng.integers(0, 1 << 14, 600, dtype=np.uint64) ^ (rng.integers(0, 3, 600, dtype=np.uint64) << np.uint64(40)))
+    held = by_id(simhash.cells(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")), "fp")
+    of = [{tuple(r.cell) for r in held[v]} for v in x.view(np.int64).tolist()]
+    assert any(len(c) == 6 for c in set().union(*of))
+    for a in range(0, len(x), 7):
+        assert all(of[a] & of[b] for b in np.flatnonzero(np.bitwise_count(x ^ x[a]) <= 2).tolist())
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from hilandera.llm import common
+
+    many = spark.createDataFrame([(i % 3 * (i % 2), i) for i in range(300)], "k long, v long")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, w string")
+    expected = sorted(map(tuple, many.join(one, "k").select("k", "v", "w").collect()))
+    for hot in (1_000_000, 60, 7):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        assert sorted(map(tuple, common.join_hot(many, one, "k").select("k", "v", "w").collect())) == expected
 
 
 def vectors(seed, n, m, spread, d=16):
