@@ -3,12 +3,14 @@
 Two zstandard dictionaries are built from good and from bad labelled text. A text is compressed in
 blocks of 4 KiB with either one; the normalised difference of the two sizes, and how far the text
 compresses at all, give a score through logistic regression, calibrated on labelled rows that the
-dictionaries have not seen and weighted by how frequent each label is.
+dictionaries have not seen and weighted by how frequent each label is. (What repeats itself compresses
+to nothing with either dictionary, so there the difference alone says little.)
 
-Only labelled rows of the training folds are learnt from, SAMPLE_ROWS for each label at most, one
-window of WINDOW characters each: this bounds what the driver gets (32 MB). They are chosen by a
-hash of doc_id, half for the dictionaries and half for the calibration. Scoring reads whole texts,
-row by row, without a shuffle.
+Only labelled rows of the training folds are learnt from, SAMPLE_ROWS for each label at most, chosen
+by a hash of doc_id; of each the whole text. Half of them give the dictionaries: these texts go to the
+driver, SAMPLE_BYTES for each label at most (in the order of the hash; a longer text is passed over).
+The other half calibrate: their sizes are taken on the executors, and a row of five numbers goes to
+the driver. Scoring reads whole texts, row by row, without a shuffle.
 
 Defined cases: a null text is scored as the empty text, an empty text gets the calibrated score of
 zero features; labels that are null are not learnt from; without labels of both kinds the score is
@@ -22,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hilandera.llm.common import free_name
+from hilandera.llm.common import free_name, stored
 
 SAMPLE_ROWS = 4000
-WINDOW = 2048
+SAMPLE_BYTES = 16 << 20
 BLOCK_BYTES = 4096
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
@@ -50,6 +52,10 @@ def fold(key: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
+def blocks(data: bytes) -> list[bytes]:
+    return [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
+
+
 class Sizes:
     """Compressed sizes of a text by the good and the bad dictionary."""
 
@@ -68,7 +74,7 @@ class Sizes:
         data = text.encode()
         if not data:
             return [1.0, 0.0, 0.0, 0.0, 0.0]
-        good, bad = (sum(len(c.compress(data[i : i + BLOCK_BYTES])) for i in range(0, len(data), BLOCK_BYTES)) for c in self.by)
+        good, bad = (sum(len(c.compress(x)) for x in blocks(data)) for c in self.by)
         n = len(data)
         return [1.0, 10 * (bad - good) / (bad + good), float(np.log((good + 8) / (n + 8))), float(np.log((bad + 8) / (n + 8))), float(np.log(n))]
 
@@ -106,20 +112,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     at = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1_000_000))
     share = F.when(F.col("label") == 1, F.lit(sample_rows / counts[1])).otherwise(F.lit(sample_rows / counts[0]))
     known = known.withColumn("at", at).filter(F.col("at") < share * 900_000)
-    start = (F.pmod(F.xxhash64(F.lit(6), "key"), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1).cast("int")
-    # some 0.9 * SAMPLE_ROWS rows for each label: small whatever the tables' sizes
-    windows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "key")
-    rows = windows.select("key", "label", F.substring("text", start, F.lit(WINDOW)).alias("text"), F.xxhash64(F.lit(7), "key").alias("h")).toPandas()
-    rows = rows.sort_values(["key", "text"]).drop_duplicates("key")
-    build, y = (rows["h"] % 2 == 0).to_numpy(), rows["label"].to_numpy()
-    (good, g), (bad, b) = (_dictionary([t.encode() for t in rows["text"][build & (y == k)]]) for k in (1, 0))
-    sizes, rest = Sizes(good, bad, (g, b)), ~build
-    if len(set(y[rest])) < 2:
+    # whole texts of some 0.9 * SAMPLE_ROWS rows for each label, whatever the tables' sizes
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "key")
+    rows = stored(rows.groupBy("key", "label").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64(F.lit(7), "key")), "labelled")
+    before = Window.partitionBy("label").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
+    some = rows.filter((F.pmod("h", F.lit(2)) == 0) & (F.octet_length("text") <= SAMPLE_BYTES))
+    some = some.filter("text <> ''").withColumn("upto", F.sum(F.octet_length("text")).over(before)).filter(F.col("upto") <= SAMPLE_BYTES)
+    texts = sorted((r["label"], r["h"], r["key"], r["text"].encode()) for r in some.drop("upto").collect())
+    (good, g), (bad, b) = (_dictionary([block for y, _, _, t in texts if y == k for block in blocks(t)]) for k in (1, 0))
+    held = Model(good, bad, (g, b), (), prior)
+
+    def measure(batches):
+        sizes = Sizes(held.good, held.bad, held.trained)
+        for x in batches:
+            found = [sizes.features(t) for t in x.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column("label"), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
+
+    rest = rows.filter(F.pmod("h", F.lit(2)) == 1).orderBy("h", "key").select("label", "text").mapInArrow(measure, "label int, x array<double>").collect()
+    y = np.array([r["label"] for r in rest])
+    if len(set(y.tolist())) < 2:
         return Model(b"", b"", (False, False), (), prior)
-    x = np.array([sizes.features(t) for t in rows["text"][rest]])
-    yr = y[rest]
-    w = np.where(yr == 1, prior / (yr == 1).mean(), (1 - prior) / (yr == 0).mean())
-    return Model(good, bad, (g, b), tuple(map(float, _logistic(x, yr, w))), prior)
+    w = np.where(y == 1, prior / (y == 1).mean(), (1 - prior) / (y == 0).mean())
+    return Model(good, bad, (g, b), tuple(map(float, _logistic(np.array([r["x"] for r in rest]), y, w))), prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
