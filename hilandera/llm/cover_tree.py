@@ -8,19 +8,24 @@ Cosine c of unit vectors is distance sqrt(2 - 2c), so links are pairs within a r
    nearest pivot; a cell's covering radius is the largest distance in it.
 3. Pairs of a vector and a cell are pruned by the covering radius and by the distance to the plane
    between the two pivots. What is left visits the cell, from one side only.
-4. In a cell a cover tree of nested levels with halving radii is walked down with all of its own
-   vectors and its visitors at once: a (vector, node) pair is dropped if even the node's covering
-   radius leaves it out of reach, taken as a whole if the radius leaves nothing out, else replaced
-   by the node's children. At the leaves the cosine itself decides.
+4. In a cell a cover tree of nested levels with halving radii stands over its own vectors, and others
+   over some NODE_ROWS of its visitors each (those of one home cell lie together). The tree is walked
+   down with itself and with each of theirs: a pair of nodes is dropped if even both covering radii
+   leave it out of reach, taken as a whole if they leave nothing out, else replaced by the pairs of
+   its children. At the leaves the cosine itself decides.
 5. A task returns sums of links and one star for each local component; stars are joined by
    large-star and small-star rounds.
 
 A cell with many visitors is split by them. Where vectors have no structure (random directions in
 many dimensions) no metric bound prunes much: the work is then a blocked matrix product.
 
+Pivots are MAX_PIVOTS at most, as each task holds them all; beyond MAX_PIVOTS * CELL_ROWS distinct
+vectors (16 million) cells grow, and with them what a task holds. No link is lost by that.
+
 Defined cases: null or zero vectors and those with null or non-finite components link with nothing;
 vectors of different lengths never link; a vector without an id counts as a link of others but
-names no component; an empty table gives no rows.
+names no component; an empty table gives no rows; vectors of any length are one row's work; other
+columns are not returned.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hilandera.llm.common import stored
+from hilandera.llm.common import join_hot, stored
 from hilandera.llm.components import components, local_components
 
 COSINE = 0.95
@@ -40,8 +45,12 @@ CELL_ROWS = 4096
 #: Pivots that are broadcast at most; cells grow beyond that.
 MAX_PIVOTS = 4096
 VISITORS = 50_000
+#: Visitors of a tree.
+NODE_ROWS = 4096
 EPS = 1e-9
 CHUNK = 1024
+#: Pairs of children from which on a pair of nodes is a matrix product of its own, and pairs listed at a time.
+DENSE, LISTED = 4096, 1 << 16
 
 
 def _units(raw: list[bytes]) -> np.ndarray:
@@ -75,7 +84,7 @@ class CoverTree:
             np.maximum.at(far, member, _distance((x * x[centres[member]]).sum(1)))
             level = {"centres": centres, "member": member, "radius": far, "weight": np.bincount(member, weight, len(centres))}
             if below is not None:
-                parent = own[below["centres"]]
+                below["parent"] = parent = own[below["centres"]]
                 order = np.argsort(parent, kind="stable")
                 level |= {"children": order, "first": np.searchsorted(parent[order], np.arange(len(centres) + 1))}
             self.levels.insert(0, level)
@@ -110,60 +119,112 @@ class CoverTree:
         return np.concatenate(chosen), own
 
 
-def _expand(level: dict, q: np.ndarray, node: np.ndarray):
-    first, last = level["first"][node], level["first"][node + 1]
-    n = last - first
-    q = np.repeat(q, n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    return q, level["children"][at]
-
-
-def cell_links(own: np.ndarray, weight: np.ndarray, visitors: np.ndarray, visitor_weight: np.ndarray, cosine: float = COSINE):
-    """(links of each vector, smallest linked index of each) over own and then visitors; links among
-    visitors are not looked for."""
-    n, every, r = len(own), np.concatenate([own, visitors]), math.sqrt(2 - 2 * cosine)
-    weights = np.concatenate([weight, visitor_weight])
-    links, edges = np.zeros(len(every)), []
-    tree = CoverTree(own, weight)
-    given = [np.zeros(len(level["centres"])) for level in tree.levels]  # to all of a node's vectors
-    whole = [np.zeros(len(level["centres"]), bool) for level in tree.levels]
-    for s in range(0, len(every), CHUNK):
-        q, node = np.arange(s, min(s + CHUNK, len(every))), np.zeros(min(s + CHUNK, len(every)) - s, np.int64)
-        for k, level in enumerate(tree.levels):
-            leaf = k == len(tree.levels) - 1
-            if not len(q):
-                break
-            if len(q) > 0.1 * CHUNK * len(level["centres"]):
-                dense = every[s : s + CHUNK] @ own[level["centres"]].T
-                c = dense[q - s, node]
+class Side:
+    """A tree in a traversal: what was found for whole nodes, and where its vectors start among all."""
+
+    def __init__(self, x: np.ndarray, weight: np.ndarray, offset: int):
+        self.tree, self.weight, self.offset = CoverTree(x, weight), weight, offset
+        self.levels, self.last = self.tree.levels, len(self.tree.levels) - 1
+        self.given = [np.zeros(len(level["centres"])) for level in self.levels]  # links of each vector of a node
+        self.within, self.whole = ([np.zeros(len(level["centres"]), bool) for level in self.levels] for _ in "ab")
+
+    def children(self, k: int, node: int, down: bool) -> np.ndarray:
+        level = self.levels[k]
+        return level["children"][level["first"][node] : level["first"][node + 1]] if down else np.array([node])
+
+    def settle(self, links: np.ndarray, edges: list) -> None:
+        """Adds what was found for nodes to their vectors."""
+        for level, given, within, whole in zip(self.levels, self.given, self.within, self.whole, strict=True):
+            own = slice(self.offset, self.offset + len(self.weight))
+            links[own] += given[level["member"]] - within[level["member"]] * self.weight
+            if whole.any():
+                inside = np.flatnonzero(whole[level["member"]])
+                edges.append((self.offset + inside, self.offset + level["centres"][level["member"][inside]]))
+
+
+def _child_pairs(a: Side, la: int, i: np.ndarray, down_a: bool, b: Side, lb: int, j: np.ndarray, down_b: bool):
+    """Chunks (nodes of a, nodes of b, their cosines or None) of the children's pairs of (i, j); a pair
+    of nodes with many children comes as nodes, nodes and a matrix of cosines."""
+
+    def counts(side, k, node, down):
+        level = side.levels[k]
+        return (level["first"][node], level["first"][node + 1] - level["first"][node]) if down else (node, np.ones(len(node), np.int64))
+
+    (fa, na), (fb, nb) = counts(a, la, i, down_a), counts(b, lb, j, down_b)
+    big = na * nb >= DENSE
+    for k in np.flatnonzero(big):
+        p, q = a.children(la, i[k], down_a), b.children(lb, j[k], down_b)
+        right = b.tree.x[b.levels[lb + down_b]["centres"][q]].T
+        for s in range(0, len(p), CHUNK):
+            yield p[s : s + CHUNK], q, a.tree.x[a.levels[la + down_a]["centres"][p[s : s + CHUNK]]] @ right
+    small = np.flatnonzero(~big)
+    cuts = np.searchsorted(np.cumsum((na * nb)[small]), np.arange(LISTED, (na * nb)[small].sum() + LISTED, LISTED))
+    for some in np.split(small, np.unique(cuts + 1)):
+        if len(some):
+            n = (na * nb)[some]
+            at = np.repeat(some, n)
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            p, q = fa[at] + k // nb[at], fb[at] + k % nb[at]
+            yield (a.levels[la]["children"][p] if down_a else p), (b.levels[lb]["children"][q] if down_b else q), None
+
+
+def _dual(a: Side, b: Side, cosine: float, links: np.ndarray, edges: list) -> None:
+    """Adds the links between the vectors of two sides, or among those of one (a is b; then each pair of
+    nodes is looked at once)."""
+    same, r = a is b, math.sqrt(2 - 2 * cosine)
+    waiting = [(0, 0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while waiting:
+        la, lb, i, j = waiting.pop()
+        down_a, down_b = la < a.last and (lb == b.last or la <= lb), lb < b.last and (la == a.last or lb <= la)
+        ka, kb = la + down_a, lb + down_b
+        ra, rb = a.levels[ka]["radius"], b.levels[kb]["radius"]
+        for p, q, c in _child_pairs(a, la, i, down_a, b, lb, j, down_b):
+            if c is None:
+                c = (a.tree.x[a.levels[ka]["centres"][p]] * b.tree.x[b.levels[kb]["centres"][q]]).sum(1)
             else:
-                c = np.concatenate([(every[q[i : i + 65536]] * own[level["centres"][node[i : i + 65536]]]).sum(1) for i in range(0, len(q), 65536)])
-            if leaf:
-                hit = (c >= cosine) & (q != node)
-                a, b = q[hit], node[hit]
-                np.add.at(links, a, weight[b])
-                guest = a >= n
-                np.add.at(links, b[guest], weights[a[guest]])
-                edges.append((a, b))
-                break
-            d, far = _distance(c), level["radius"][node]
-            all_in = d + far <= r - EPS
-            a, b = q[all_in], node[all_in]
-            if len(a):
-                mine = (a < n) & (level["member"][np.minimum(a, n - 1)] == b)
-                np.add.at(links, a, level["weight"][b] - np.where(mine, weights[a], 0))
-                guest = a >= n
-                np.add.at(given[k], b[guest], weights[a[guest]])
-                whole[k][b] = True
-                edges.append((a, level["centres"][b]))
-            go = ~all_in & (d - far <= r + EPS)
-            q, node = _expand(level, q[go], node[go])
-    for k, level in enumerate(tree.levels):
-        links[:n] += given[k][level["member"]]
-        if whole[k].any():
-            inside = np.flatnonzero(whole[k][level["member"]])
-            edges.append((inside, level["centres"][level["member"][inside]]))
-    return links.astype(np.int64), local_components(len(every), edges)
+                m, n = np.nonzero(c >= 1 - (ra[p][:, None] + (rb[q] + (r + EPS))) ** 2 / 2)
+                p, q, c = p[m], q[n], c[m, n]
+            far = ra[p] + rb[q]
+            near = c >= 1 - (r + EPS + far) ** 2 / 2
+            if same:  # children of one node pair both ways round
+                parent = a.levels[ka]["parent"]
+                near &= (parent[p] != parent[q]) | (p <= q)
+            p, q, c, far = p[near], q[near], c[near], far[near]
+            if ka == a.last and kb == b.last:
+                hit = (c >= cosine) & (p != q) if same else c >= cosine
+                p, q = p[hit], q[hit]
+                np.add.at(links, a.offset + p, b.weight[q])
+                np.add.at(links, b.offset + q, a.weight[p])
+                edges.append((a.offset + p, b.offset + q))
+                continue
+            all_in = _distance(c) + far <= r - EPS
+            x, y = p[all_in], q[all_in]
+            if len(x):
+                np.add.at(a.given[ka], x, b.levels[kb]["weight"][y])
+                other = x != y if same else slice(None)
+                np.add.at(b.given[kb], y[other], a.levels[ka]["weight"][x[other]])
+                if same:
+                    a.within[ka][x[x == y]] = True
+                a.whole[ka][x], b.whole[kb][y] = True, True
+                edges.append((a.offset + a.levels[ka]["centres"][x], b.offset + b.levels[kb]["centres"][y]))
+            p, q = p[~all_in], q[~all_in]
+            waiting += [(ka, kb, p[s : s + LISTED], q[s : s + LISTED]) for s in range(0, len(p), LISTED)]
+
+
+def cell_links(own: np.ndarray, weight: np.ndarray, visitors: np.ndarray, visitor_weight: np.ndarray, cosine: float = COSINE, among: bool = True):
+    """(links of each vector, smallest linked index of each) over own and then visitors; links among
+    visitors are not looked for, those among own vectors if `among`."""
+    n, edges = len(own), []
+    links = np.zeros(n + len(visitors))
+    home = Side(own, weight, 0)
+    if among:
+        _dual(home, home, cosine, links, edges)
+    for s in range(0, len(visitors), NODE_ROWS):
+        guest = Side(visitors[s : s + NODE_ROWS], visitor_weight[s : s + NODE_ROWS], n + s)
+        _dual(home, guest, cosine, links, edges)
+        guest.settle(links, edges)
+    home.settle(links, edges)
+    return np.rint(links).astype(np.int64), local_components(len(links), edges)
 
 
 def _pass(batches, pivots: np.ndarray, each):
@@ -207,26 +268,24 @@ def _same_length(entries: DataFrame, cosine: float) -> DataFrame:
             near = (d <= radius + r + 1e-7) & (plane <= r + 1e-7) & (radius >= 0) & (np.arange(len(p)) < h[:, None])
             i, j = np.nonzero(near)
             rows = b.slice(s, len(h)).take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("raw"), rows.column("n"), pa.array(j.astype(np.int32))], ["id", "raw", "n", "cell"])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("raw"), rows.column("n"), rows.column("cell"), pa.array(j.astype(np.int32))], ["id", "raw", "n", "home", "cell"])
 
-    columns = f"id {kind}, raw binary, n long, cell int"
+    columns = f"id {kind}, raw binary, n long, home int, cell int"
     visits = held.mapInArrow(lambda bs: _pass(bs, pivots, visit), columns)
     # one row for each cell again
     parts = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts")).filter("parts > 1").collect()
     parts = F.broadcast(spark.createDataFrame([tuple(x) for x in parts], "cell int, parts int"))
     each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     guest = F.pmod(F.xxhash64("raw"), F.coalesce("parts", F.lit(1))).cast("int")
-    own = held.join(parts, "cell", "left").select("cell", each.alias("part"), "id", "raw", "n", F.lit(True).alias("own"))
-    guests = visits.join(parts, "cell", "left").select("cell", guest.alias("part"), "id", "raw", "n", F.lit(False).alias("own"))
+    own = held.join(parts, "cell", "left").select("cell", each.alias("part"), "id", "raw", "n", F.lit(-1).alias("home"))
+    guests = visits.join(parts, "cell", "left").select("cell", guest.alias("part"), "id", "raw", "n", "home")
 
     def join(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.sort_by([("own", "descending"), ("id", "ascending")])
-        n_own = int(np.count_nonzero(group.column("own").to_numpy()))
+        group = group.sort_by([("home", "ascending"), ("id", "ascending")])
+        n_own = int(np.count_nonzero(group.column("home").to_numpy() < 0))
         x, w = _units(group.column("raw").to_pylist()), group.column("n").to_numpy().astype(float)
-        links, root = cell_links(x[:n_own], w[:n_own], x[n_own:], w[n_own:], cosine)
-        if key[1].as_py():  # links among the cell's own vectors count in part 0 alone
-            alone, _ = cell_links(x[:n_own], w[:n_own], x[:0], w[:0], cosine)
-            links[:n_own] -= alone
+        # links among the cell's own vectors count in part 0 alone
+        links, root = cell_links(x[:n_own], w[:n_own], x[n_own:], w[n_own:], cosine, among=not key[1].as_py())
         away = (links > 0) | (root != np.arange(len(root)))
         ids = group.column("id")
         return pa.table({"id": ids.filter(pa.array(away)), "links": links[away], "root": ids.take(pa.array(root[away]))})
@@ -262,9 +321,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "root")
     named = entries.select("raw", "id", "key", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = stored(named, "roots")
     best = named.groupBy("root").agg(F.min("key").alias("component"))
-    named = named.join(best, "root").join(links, "id", "left").select("raw", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return rows.join(named, "raw", "left").select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "key").alias("component"))
+    named = join_hot(named, best, "root").join(links, "id", "left").select("raw", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # vectors that link with nothing have no entry
+    unfit = rows.filter("raw is null").select("key", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast(kind).alias("component"))
+    fit = join_hot(rows.filter("raw is not null"), named, "raw", entries.select("raw", "n")).select("key", "n_links", "component")
+    return fit.unionByName(unfit).select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "key").alias("component"))
 
 
 def digest(vectors: DataFrame) -> DataFrame:

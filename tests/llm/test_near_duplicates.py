@@ -117,6 +117,35 @@ def test_cell_links(n, m, spread):
     assert (links == (near * w).sum(1)).all() and (root == plain_components(len(x), near)).all()
 
 
+@pytest.mark.parametrize("node_rows", [4096, 100])
+def test_cell_links_in_many_dimensions(monkeypatch, node_rows):
+    monkeypatch.setattr(cover_tree, "NODE_ROWS", node_rows)
+    x = vectors(4, 500, 900, 0.03, 64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x, w = np.random.default_rng(2).permutation(x), np.ones(len(x))
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 1000
+    for among in (True, False):
+        near[700:, 700:] = False
+        near[:700, :700] &= among
+        links, root = cover_tree.cell_links(x[:700], w[:700], x[700:], w[700:], among=among)
+        assert (links == near.sum(1)).all() and (root == plain_components(len(x), near)).all()
+
+
+def test_vectors_in_many_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "CELL_ROWS", 200)
+    monkeypatch.setattr(cover_tree, "VISITORS", 300)
+    x = vectors(6, 900, 900, 0.025, 64).astype(np.float32)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    root = plain_components(len(u), near)
+    found = {r.vec_id: r for r in cover_tree.digest(spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, n string")).collect()}
+    assert all((found[i].n_links, found[i].component_id) == (int(near[i].sum()), int(root[i])) for i in range(len(u))) and near.sum() > 1000
+
+
 @pytest.mark.parametrize(("cell", "visitors"), [(4096, 50_000), (40, 50_000), (40, 30)])
 def test_vectors(spark, monkeypatch, cell, visitors):
     monkeypatch.setattr(cover_tree, "CELL_ROWS", cell)
