@@ -41,12 +41,17 @@ def mask_of(rules) -> int:
     return reduce(lambda m, r: m | 1 << RULES[r], rules, 0)
 
 
+def _window_hash(window: Column) -> Column:
+    return F.xxhash64(window)
+
+
 def _with_repeat_words(docs: DataFrame, words: str, out: str) -> DataFrame:
     """docs with out = the words of array column `words` in a 3-word window found twice or more.
 
     A window becomes one long: the low bits of its hash above, its position below. Sorted, equal
     windows are neighbours (their words are compared once more), and sorted repeat positions p
-    cover sum(min(3, next p - p)) words, 3 for the last. Each step is a column of its own, so that
+    cover sum(min(3, next p - p)) words, 3 for the last. Where different windows meet under one hash,
+    the text's windows are sorted by their words instead. Each step is a column of its own, so that
     none is computed twice.
     """
     s, p, k = (free_name(docs, x) for x in ("_sorted", "_at", "_bits"))
@@ -54,15 +59,21 @@ def _with_repeat_words(docs: DataFrame, words: str, out: str) -> DataFrame:
     windows = F.arrays_zip(*(F.slice(words, i, n).alias(f"w{i}") for i in (1, 2, 3)))
     pairs = lambda c: (F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))))
     # positions take _bits bits; shiftleft by a column is SQL's to say
-    packed = F.transform(windows, lambda w, i: F.call_function("shiftleft", F.xxhash64(w), F.col(k)).bitwiseOR(i.cast("long")))
+    packed = F.transform(windows, lambda w, i: F.call_function("shiftleft", _window_hash(w), F.col(k)).bitwiseOR(i.cast("long")))
     at = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(k)) - 1).cast("int")
-    equal = lambda a, b: (F.call_function("shiftrightunsigned", a.bitwiseXOR(b), F.col(k)) == 0) & (F.slice(words, at(a) + 1, 3) == F.slice(words, at(b) + 1, 3))
+    one_hash = lambda a, b: F.call_function("shiftrightunsigned", a.bitwiseXOR(b), F.col(k)) == 0
+    equal = lambda a, b: F.slice(words, at(a) + 1, 3) == F.slice(words, at(b) + 1, 3)
+    places = lambda a, b: F.when(one_hash(a, b), F.when(equal(a, b), F.array(at(a), at(b))).otherwise(F.array(F.lit(-1))))
+    by_words = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    exact = F.zip_with(*pairs(by_words), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
+    repeats = lambda c: F.sort_array(F.array_distinct(F.flatten(F.array_compact(c))))
     covered = F.aggregate(F.zip_with(*pairs(F.col(p)), lambda a, b: F.least(b - a, F.lit(3))), F.lit(3), lambda t, x: t + x)
     return (
         docs.withColumn(k, F.length(F.bin(F.size(words).cast("long"))))
         .withColumn(s, F.sort_array(packed))
-        .withColumn(p, F.zip_with(*pairs(F.col(s)), lambda a, b: F.when(equal(a, b), F.array(at(a), at(b)))))
-        .withColumn(p, F.sort_array(F.array_distinct(F.flatten(F.array_compact(p)))))
+        .withColumn(p, F.zip_with(*pairs(F.col(s)), places))
+        .withColumn(p, repeats(p))
+        .withColumn(p, F.when(F.get(p, F.lit(0)) == -1, repeats(exact)).otherwise(F.col(p)))
         .withColumn(out, F.when(F.size(p) == 0, F.lit(0)).otherwise(covered).cast("long"))
         .drop(s, p, k)
     )
@@ -96,10 +107,10 @@ def ledger(docs: DataFrame, text: str = "text", out: str = "ledger") -> DataFram
         "repeated_lines": 100 * x("n_dup_lines") > 90 * x("n_lines"),
     }
     bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(c, F.lit(1 << RULES[k]).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in failed.items()))
-    # floor(rand) is 0; it keeps Catalyst from copying all of the above into a filter on these bits,
-    # where each mention would be computed again
-    bits = bits + F.floor(F.rand(0)).cast("long")
-    return measured.withColumn(out, F.struct(F.col(f"{m}.*"), bits.alias("fail_bits"))).drop(*({t, w, n, lines, m} - {out}))
+    # one row of an array: a filter on the bits stays above it, else Catalyst would copy all of the
+    # above into the filter and compute each mention again
+    rows = F.explode(F.array(F.struct(F.col(f"{m}.*"), bits.alias("fail_bits"))))
+    return measured.select("*", rows.alias(out)).drop(*({t, w, n, lines, m} - {out}))
 
 
 def passes(bits: Column, version: int = CURRENT) -> Column:

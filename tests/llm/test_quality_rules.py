@@ -50,3 +50,18 @@ def test_random_texts(spark):
         assert (r.failed, r.failed_alone) == (sum(b & bit > 0 for b in bits), sum(b & mask == bit for b in bits))
         assert r.kept_without == sum(b & mask & ~bit == 0 for b in bits)
     assert q.apply_policy(docs).count() == sum(b & mask == 0 for b in bits)
+
+
+def test_windows_of_one_hash(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(random.Random(i).choices("a b c d".split(), k=60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(map(tuple, q.digest(docs).collect()))
+    monkeypatch.setattr(q, "_window_hash", lambda w: F.lit(1).cast("long"))
+    assert sorted(map(tuple, q.digest(docs).collect())) == expected
+
+
+def test_a_filter_computes_nothing_again(odd):
+    plan = q.apply_policy(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and "rand(" not in plan
