@@ -14,7 +14,8 @@
    that the numbered partitions hold the shards one after the other, each in its order.
 
 No step gathers a source: blocks are sums of 256 rows a source, and a hot source is spread over its
-blocks. Only the table of sources is ordered as a whole (one row a source).
+blocks. Only the table of sources is ordered as a whole (one row a source). A row is one record of a
+shard, whatever its text's length.
 
 Defined cases: a null text has size 0; documents of size 0 follow their block; a null source is a
 source, last in order; repeated rows are taken alike; an empty table gives no rows; other columns
@@ -134,14 +135,28 @@ def _deal(units: DataFrame, seed: int, levels: int) -> DataFrame:
     """source, block, units -> source, block, shards: the output shard of each unit (pass over the block).
 
     The tree works on counts alone: quota blocks of each source in a node. A split ranks the node's
-    quota by a seeded hash and gives the first half to the left child.
+    quota by a seeded hash and gives the first half to the left child. Ranks are those within one of
+    4096 ranges of the hash, and the counts of the ranges before it: no task ranks a whole node.
     """
     quota = units.groupBy("source").agg(F.sum("units").cast("int").alias("quota")).withColumn("node", F.lit(0)).filter("quota > 0")
     for level in range(levels):
-        drawn = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(seed + 10 + level), "node", "source", "i"), F.col("source").asc_nulls_last(), "i")
-        quota = (
+        drawn = Window.partitionBy("node", "range").orderBy("h", F.col("source").asc_nulls_last(), "i")
+        units_of = (
             quota.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("quota"))))
-            .withColumn("right", (2 * F.row_number().over(drawn) > F.count(F.lit(1)).over(Window.partitionBy("node"))).cast("int"))
+            .withColumn("h", F.xxhash64(F.lit(seed + 10 + level), "node", "source", "i"))
+            .withColumn("range", F.shiftrightunsigned("h", 52))
+        )
+        # 4096 rows at most for each of the level's nodes
+        before = Window.partitionBy("node").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = (
+            units_of.groupBy("node", "range").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+            .withColumn("of", F.sum("n").over(Window.partitionBy("node")))
+            .drop("n")
+        )
+        quota = (
+            units_of.withColumn("rank", F.row_number().over(drawn)).join(F.broadcast(ranges), ["node", "range"])
+            .withColumn("right", (2 * (F.col("before") + F.col("rank")) > F.col("of")).cast("int"))
             .groupBy("source", (2 * F.col("node") + F.col("right")).alias("node"))
             .agg(F.count(F.lit(1)).cast("int").alias("quota"))
         )
