@@ -47,7 +47,8 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # through the end line or, where that is missing, the lines of base64
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=,:\s-]{0,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,80}){0,400})"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
