@@ -18,12 +18,11 @@ shard and slot get a trailing underscore where the table has such columns alread
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hilandera.llm.common import dropped_shuffles, free_name, prefix_sums, shared_dir, table
+from hilandera.llm.common import dropped_shuffles, free_name, new_folder, prefix_sums, table
 
 SEED = 6
 SHARDS = 40
@@ -92,7 +91,7 @@ def digest(spark, sf_dir: str) -> DataFrame:
     """The documents' shards written to the shared folder; of each written record its size, the crc32
     of its text and where it stands."""
     sharded = shard_documents(table(spark, sf_dir, "documents"))
-    write_shards(sharded, path := f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    write_shards(sharded, path := new_folder(spark, "shards"))
     return spark.read.schema(sharded.schema).parquet(path).select(
         "doc_id", byte_size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
