@@ -7,8 +7,9 @@ and streams the ids into one file, every id in the fewest bits that hold the voc
     on; then the footer: block offsets, document keys and first positions; then the footer's length.
 
 Any run of ids is read by seeking to its blocks and unpacking them with numpy. A file is written
-under a name of its own attempt and renamed when whole, so that a lost executor's task can run
-again; the folder's index (one row a file) is written last and makes the files visible. Files are
+under a hidden name and renamed when whole. Both names are those of the attempt, so a lost executor's
+task can run again; the folder's index (one row a file) is written last, names the files of the attempts
+that counted and makes them visible. Files are
 opened by URI in the shared folder, whatever file system that is.
 
 Words are encoded with the tokenizers library and remembered in a bounded cache: texts are cut at
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import math
 import struct
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hilandera.llm.common import shared_dir
+from hilandera.llm.common import new_folder
 from hilandera.llm.word_cache import PLAIN, WordCache, load, packed
 
 END_ID = 1
@@ -174,8 +174,8 @@ def write_token_files(docs: DataFrame, folder: str, key: str = "doc_id", text: s
         words, end, writer = WordIds(path, limit=CACHE_WORDS), np.array([end_id], "<u4").tobytes(), None
         place, name = _open(folder)
         task = TaskContext.get()
-        file = f"part-{task.partitionId():06d}.tid"
-        part = f"{name}/.{file}.{task.taskAttemptId()}"
+        file = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tid"
+        part = f"{name}/.{file}"
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 if writer is None:
@@ -227,7 +227,7 @@ _READ = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("ids", pa.binary
 
 def digest(docs: DataFrame) -> DataFrame:
     """Writes the files and, read back from them, gives one row for each document."""
-    folder = f"{shared_dir(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
+    folder = new_folder(docs.sparkSession, "token-ids")
     write_token_files(docs, folder)
     n = F.floor(F.octet_length("ids") / 4).cast("long")
     return read_token_files(docs.sparkSession, folder).select(F.col("key").alias("doc_id"), "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
