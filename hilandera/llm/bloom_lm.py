@@ -45,8 +45,6 @@ BASE = 1.5
 LEVELS = 80
 #: Bits set for an entry, and bits for each entry before rounding up to a power of two.
 PROBES, BITS = 4, 8
-#: Bytes of `Model.filter`, which is for use in one process; scoring probes the segments themselves.
-FILTER_BYTES = 64 << 20
 #: Tokens of a chunk of texts whose n-grams are probed together.
 CHUNK = 1_000_000
 HOT_WORDS = 100_000
@@ -55,7 +53,6 @@ CACHE_WORDS = 150_000
 FLUSH = 2_000_000
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 16 << 20
-MAX_BUCKETS = 1 << 16
 #: Most weight of a pair's relative frequency, and the context count that earns half of it.
 TRUST, PRIOR = 0.5, 2.0
 #: The end token, which no word can be.
@@ -213,23 +210,6 @@ def segments(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(build, "bucket int, entries long, bits binary")
 
 
-def _folded(table: DataFrame, times: int) -> DataFrame:
-    """The segments with their halves laid over each other, `times` times (8 bytes stay at least)."""
-
-    def fold_in_half(batches):
-        for b in batches:
-            out = []
-            for x in b.column("bits").to_pylist():
-                data = np.frombuffer(x, np.uint8)
-                for _ in range(times):
-                    if len(data) > 8:
-                        data = data[: len(data) // 2] | data[len(data) // 2 :]
-                out.append(data.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("entries"), pa.array(out, pa.binary())], ["bucket", "entries", "bits"])
-
-    return table.mapInArrow(fold_in_half, "bucket int, entries long, bits binary") if times else table
-
-
 @dataclass
 class Filter:
     """bits: top bits of a key that name a segment; first, mask: each segment's first word and its
@@ -290,19 +270,14 @@ class Model:
 
     @cached_property
     def filter(self) -> Filter:
-        """The filter in one process, folded in half until FILTER_BYTES hold it: its levels are those of
-        the segments or higher."""
-        size, times = self.segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0, 0
-        while size >> times > FILTER_BYTES:
-            times += 1
-        # at most FILTER_BYTES
-        return Filter.of(_folded(self.segments, times).toArrow(), self.bits)
+        """All segments in one process, for a corpus whose filter fits there; scoring does not use it."""
+        return Filter.of(self.segments.toArrow(), self.bits)
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """The model of all the given texts."""
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = int(min(MAX_BUCKETS, max(1, math.ceil(n_bytes / BUCKET_BYTES))) - 1).bit_length()
+    bits = (max(1, math.ceil(n_bytes / BUCKET_BYTES)) - 1).bit_length()
     counts = stored(count_words(docs, text), "lm-words")
     low = F.ceil(F.pow(F.lit(BASE), F.floor(F.log("n") / math.log(BASE) + 1e-9)) - 1e-9)
     tokens, distinct, total = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(low + 1)).first()

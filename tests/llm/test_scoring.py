@@ -115,26 +115,43 @@ def test_filter_never_undercounts(spark, monkeypatch):
     docs = spark.createDataFrame(texts(300, 1), "doc_id long, text string")
     monkeypatch.setattr(bloom_lm, "BUCKET_BYTES", 2000)
     counts = Counter(w for _, t in texts(300, 1) for w in bloom_lm.words_of(t.encode()))
-    for size in (128 << 20, 2000):
-        monkeypatch.setattr(bloom_lm, "FILTER_BYTES", size)
-        model = bloom_lm.train(docs)
-        assert 8 * (len(model.filter.data) - 1) <= size
-        h = bloom_lm.WordHash().of(list(counts))
-        got, want = model.filter.levels(bloom_lm.word_keys(h)), bloom_lm.level(np.array(list(counts.values())))
-        assert (got >= want).all()
-        if size > 10_000:
-            assert (got == want).mean() > 0.9 and model.filter.false_positives < 0.05
+    model = bloom_lm.train(docs)
+    assert model.bits > 3
+    h = bloom_lm.WordHash().of(list(counts))
+    got, want = model.filter.levels(bloom_lm.word_keys(h)), bloom_lm.level(np.array(list(counts.values())))
+    assert (got >= want).all() and (got == want).mean() > 0.9 and model.filter.false_positives < 0.05
     assert all(bloom_lm.LOW[bloom_lm.level(np.array([c]))[0]] <= c < bloom_lm.LOW[bloom_lm.level(np.array([c]))[0]] * 1.5 + 1 for c in range(1, 3000))
 
 
-def test_scores_do_not_depend_on_the_memory_for_a_filter(spark, monkeypatch):
-    monkeypatch.setattr(bloom_lm, "BUCKET_BYTES", 2000)
-    docs = spark.createDataFrame(texts(300, 1), "doc_id long, text string").repartition(3)
-    scores = []
-    for size in (64 << 20, 500):
-        monkeypatch.setattr(bloom_lm, "FILTER_BYTES", size)
-        scores.append({r.doc_id: r.score for r in bloom_lm.digest(docs).collect()})
-    assert len(scores[0]) == 300 and all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-12) for i in scores[0])
+def brute_scores(rows, train):
+    """The model's scores from exact counts, each taken at the lower end of its level."""
+    low = lambda n: max(x for x in [0, *(math.ceil(1.5**k - 1e-9) for k in range(60))] if x <= n)
+    tokens = {i: [*t.lower().split(), "\n"] for i, t in rows}
+    words = Counter(w for i in train for w in tokens[i])
+    # texts follow one another, so the first word of each stands behind an end token
+    pairs = Counter(p for i in train for p in zip(["\n", *tokens[i][:-1]], tokens[i], strict=True))
+    total = sum(low(n) + 1 for n in words.values()) + 1
+    out = {}
+    for i, found in tokens.items():
+        s = 0.0
+        for a, b in zip(["\n", *found[:-1]], found, strict=True):
+            context = max(low(words[a]), math.floor(low(words[a]) * 1.5))
+            trust = 0.5 * context / (context + 2)
+            s += math.log10(trust * min(low(pairs[a, b]), context) / max(context, 1) + (1 - trust) * (low(words[b]) + 1) / total)
+        out[i] = s
+    return out
+
+
+@pytest.mark.parametrize("bucket_bytes", [16 << 20, 2000])
+def test_scores_are_those_of_exact_counts(spark, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(bloom_lm, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(bloom_lm, "CHUNK", 3000)
+    rows = texts(400, 1)
+    found = {r.doc_id: r.score for r in bloom_lm.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    exact = brute_scores(rows, train)
+    held = [i for i in exact if i not in set(train)]
+    assert abs(sum(found[i] for i in held) / sum(exact[i] for i in held) - 1) < 0.02
 
 
 def quality_rows(n=600):
