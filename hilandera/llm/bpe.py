@@ -11,7 +11,7 @@
    worker holds; the join's probe is a gather by id) and reads the joined bytes as UTF-8.
 
 Chunks are written to the shared folder before anything is sent, so a lost executor's work is done
-again on the same numbers. A word goes to its bucket once for each chunk, however often it occurs; a
+again on the same numbers; what they sent is deleted once it is answered. A word goes to its bucket once for each chunk, however often it occurs; a
 bucket holds the words of some BUCKET_BYTES of text, so both stay bounded as the corpus grows. A text
 is never parted: a chunk holds CHUNK words, or one longer text.
 
@@ -33,16 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hilandera.llm.common import free_name, stored
+from hilandera.llm.common import delete, free_name, new_folder, stored
 from hilandera.llm.word_cache import PLAIN, WordCache, byte_letters, load, packed
 
 #: Words and distinct words of a chunk.
-CHUNK, CHUNK_WORDS = 1_000_000, 250_000
+CHUNK, CHUNK_WORDS = 2_000_000, 600_000
 #: Bytes of text for each bucket of the word table.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Ids that are decoded at a time.
 SLICE_IDS = 200_000
 SLICE_ROWS = 512
+#: Of zstandard, and the numbers of words that take one byte.
+LEVEL, SHORT = 9, 224
 #: What Unicode calls white space, as the tokenizer's pattern reads \s.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]")
@@ -136,16 +138,37 @@ def _empty_table(path: str) -> WordTable:
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32, byte plane by byte plane: the high bytes are mostly zeros."""
+    """Numbers below 2^32 in the fewest bytes that hold each, compressed, behind that width."""
     import zstandard
 
-    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    width = 4 if len(numbers) and numbers.max() >= 1 << 16 else 2 if len(numbers) and numbers.max() >= 1 << 8 else 1
+    return bytes([width]) + zstandard.compress(numbers.astype(f"<u{width}").tobytes(), LEVEL)
 
 
 def _numbers(data: bytes) -> np.ndarray:
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype("<u4")
+
+
+def _squeezed_ranks(ranks: np.ndarray) -> list[bytes]:
+    """Numbers of which small ones are frequent: a byte for those below SHORT; of the others the high
+    bits in that byte (or, beyond it, in a list of their own) and the two low bytes apart."""
+    long = ranks >= SHORT
+    rest = ranks[long].astype(np.int64) - SHORT
+    first, high = ranks.astype(np.uint8), rest >> 16
+    first[long] = np.minimum(SHORT + high, 255)
+    return [_squeezed(x) for x in (first, rest >> 8 & 255, rest & 255, high[high >= 255 - SHORT])]
+
+
+def _ranks(parts: list[bytes]) -> np.ndarray:
+    first, middle, low, higher = map(_numbers, parts)
+    out = first.astype(np.int64)
+    long = out >= SHORT
+    high = out[long] - SHORT
+    high[high == 255 - SHORT] = higher
+    out[long] = SHORT + (high << 16 | middle.astype(np.int64) << 8 | low)
+    return out
 
 
 class _Numbering(dict):
@@ -172,23 +195,29 @@ class Chunk:
         import xxhash
         import zstandard
 
+        # words are numbered anew, the frequent ones first
+        places = np.concatenate(self.places)
+        order = np.argsort(-np.bincount(places, minlength=len(self.number)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         words = list(self.number)
+        words = [words[i] for i in order.tolist()]
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(pa.Table.from_batches(self.kept))
-        yield {"uid": uid, "places": _squeezed(np.concatenate(self.places)), "sizes": _squeezed(np.array(self.sizes, np.int64)), "buckets": _squeezed(bucket), "kept": sink.getvalue().to_pybytes()}
+        yield {"uid": uid, "places": _squeezed_ranks(rank[places]), "sizes": _squeezed(np.array(self.sizes, np.int64)), "buckets": _squeezed(bucket), "kept": sink.getvalue().to_pybytes()}
         order = np.argsort(bucket, kind="stable")
         at = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(words) else np.empty(0, np.int64)
         for a, b in zip(at, [*at[1:], len(words)], strict=True):
             some = [words[i] for i in order[a:b].tolist()]
             lengths = _squeezed(np.array([len(w) for w in some]))
-            yield {"uid": uid, "bucket": int(bucket[order[a]]), "lengths": lengths, "words": zstandard.compress("".join(some).encode(), 3)}
+            yield {"uid": uid, "bucket": int(bucket[order[a]]), "lengths": lengths, "words": zstandard.compress("".join(some).encode(), LEVEL)}
 
 
-_CHUNKS = "uid long, places binary, sizes binary, buckets binary, kept binary, bucket long, lengths binary, words binary"
-_ARROW_CHUNKS = pa.schema([("uid", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("buckets", pa.binary()), ("kept", pa.binary()), ("bucket", pa.int64()), ("lengths", pa.binary()), ("words", pa.binary())])
+_CHUNKS = "uid long, places array<binary>, sizes binary, buckets binary, kept binary, bucket long, lengths binary, words binary"
+_ARROW_CHUNKS = pa.schema([("uid", pa.int64()), ("places", pa.list_(pa.binary())), ("sizes", pa.binary()), ("buckets", pa.binary()), ("kept", pa.binary()), ("bucket", pa.int64()), ("lengths", pa.binary()), ("words", pa.binary())])
 
 
 def _chunks(docs: DataFrame, text: str, path: str, bits: int, keep: list[str]) -> DataFrame:
@@ -268,7 +297,7 @@ def _joined(chunks: DataFrame, answered: DataFrame, fields: list, path: str, dec
 
     def each(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         (row,) = chunk.to_pylist()
-        places, sizes, bucket = _numbers(row["places"]), _numbers(row["sizes"]), _numbers(row["buckets"])
+        places, sizes, bucket = _ranks(row["places"]), _numbers(row["sizes"]), _numbers(row["buckets"])
         answer = answer.sort_by("bucket")
         counts = np.empty(len(bucket), np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -294,12 +323,19 @@ def _encode(docs: DataFrame, text: str, path: str | None, keep: list[str] | None
     out = [T.StructField(free_name(docs, "ids"), T.BinaryType())]
     if decode:
         out.append(T.StructField(free_name(docs, "decoded"), T.StringType()))
-    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     bits = (max(1, math.ceil(n_bytes / BUCKET_BYTES)) - 1).bit_length()
-    both = stored(_chunks(docs, text, path, bits, keep), "bpe-chunks")
-    asked = both.filter("bucket is not null").select("uid", "bucket", "lengths", "words")
-    answered = stored(_encoded_words(asked, path), "bpe-words")
-    chunks = both.filter("bucket is null").select("uid", "places", "sizes", "buckets", "kept")
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "bpe-chunks")
+    _chunks(docs, text, path, bits, keep).withColumn("asks", F.col("bucket").isNotNull()).write.partitionBy("asks").parquet(folder)
+
+    def read(asks: str, columns: str) -> DataFrame:
+        # a folder that no row went to is not there
+        there = n_docs if asks == "false" else n_bytes
+        return spark.read.schema(columns).parquet(f"{folder}/asks={asks}") if there else spark.createDataFrame([], columns)
+
+    answered = stored(_encoded_words(read("true", "uid long, bucket long, lengths binary, words binary"), path), "bpe-words")
+    delete(spark, f"{folder}/asks=true")
+    chunks = read("false", "uid long, places array<binary>, sizes binary, buckets binary, kept binary")
     return _joined(chunks, answered, [*(docs.schema[c] for c in keep), *out], path, decode)
 
 

@@ -88,6 +88,15 @@ def test_each_distinct_word_is_encoded_once(byte_level):
     assert sorted(table.asked) == sorted({w for q in questions for w in q})
 
 
+def test_squeezed_numbers():
+    rng = np.random.default_rng(0)
+    for top in (1, 200, 256, 70_000, 2**32 - 1):
+        x = rng.integers(0, top, 1000)
+        assert (bpe._numbers(bpe._squeezed(x)) == x).all()
+    x = np.r_[rng.integers(0, 300, 500), rng.integers(0, 1 << 25, 500), 223, 224, 223 + (31 << 16), 224 + (31 << 16), 224 + (32 << 16)]
+    assert (bpe._ranks(bpe._squeezed_ranks(x)) == x).all() and not len(bpe._ranks(bpe._squeezed_ranks(x[:0])))
+
+
 def test_bpe_over_many_chunks_and_buckets(spark, odd, byte_level, monkeypatch):
     monkeypatch.setattr(bpe, "BUCKET_BYTES", 4096)
     rows = list(enumerate(random_texts(300) + [None, "", "word and other " * 3000]))
