@@ -72,12 +72,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(_BITS[2 * counts > len(h)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """key, fp (the 64 bits as a signed long) of each document."""
 
     def each(batches):
         for b in batches:
-            fp = np.array([fingerprint(t or "") for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t or "", shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["key", "fp"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(each, f"key {dict(docs.dtypes)[key]}, fp long")
@@ -271,9 +271,9 @@ def links(distinct: DataFrame) -> DataFrame:
     return cells(distinct).groupBy("cell").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """key, fp, component: of each document its fingerprint and the smallest key reachable over links."""
-    each = stored(fingerprints(docs, key, text), "fingerprints")
+    each = stored(fingerprints(docs, key, text, shingle), "fingerprints")
     classes = cut(each.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(classes.select("fp")))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

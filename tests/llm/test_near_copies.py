@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from hilandera.llm import near_copies
@@ -17,7 +18,9 @@ def alike(a, b):
     return len(a & b) >= 0.8 * len(a | b)
 
 
-def test_the_stage_drops_near_copies_of_similarity_0_8(spark):
+@pytest.mark.parametrize("block", [1000, 2])
+def test_the_stage_drops_near_copies_of_similarity_0_8(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK_SETS", block)
     random.seed(3)
     words = [f"w{i}" for i in range(400)]
     rows = []
@@ -47,3 +50,12 @@ def test_near_sets_are_exact():
     found = {(int(a), int(b)) for i, j in near_copies.near_sets(sets) for a, b in zip(i, j, strict=True)}
     plain = [set(x.tolist()) for x in sets]
     assert found == {(i, j) for i, a in enumerate(plain) for j, b in enumerate(plain) if alike(a, b)}
+    for cut in (1, 30, 79):
+        found = {(int(a), int(b)) for i, j in near_copies.near_sets(sets[:cut], sets[cut:]) for a, b in zip(i, j, strict=True)}
+        assert found == {(i, j) for i, a in enumerate(plain[:cut]) for j, b in enumerate(plain) if j >= cut and alike(a, b)}
+
+
+def test_the_stage_bears_odd_rows(spark, odd, none):
+    kept = corpus_pipeline.near_duplicates(spark, odd, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 7, 8, 9] and kept.columns == odd.columns
+    assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
