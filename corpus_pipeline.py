@@ -4,22 +4,25 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 return the columns of documents:
 
 1. quality rules: documents that the current policy rejects go;
-2. near-dedup by five-word shingles, similarity 0.8: of each component the document of the smallest
-   doc_id stays;
+2. near-dedup by five-word shingles: SimHash components and pairs of similarity 0.8 or more; of each
+   component the document of the smallest doc_id stays;
 3. secret scans: secrets are replaced by [SECRET], and n_chars follows the text;
 4. mixing: a row for each copy that the mix takes of a document, in the order of shards and draws;
 5. BPE: the ids of each row's text and the text that they decode to, as digests, and the ids.
+
+Defined cases: a null or empty text has no words, so stage 1 drops it; a null doc_id is kept by stage 2
+and one document to the others; rows that share a doc_id go through stage 1 one by one, and one of them
+leaves stage 2; texts of any length are taken whole; a null source is a source; an empty table gives no
+rows; other columns than those of documents are carried to stage 4, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hilandera.llm import bpe, mixing, near_copies, quality_rules, secret_scan
-from hilandera.llm.common import shared_dir, table
+from hilandera.llm.common import new_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(path := f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
+            docs.write.parquet(path := new_folder(spark, "pipeline"))
             docs = spark.read.parquet(path)
     return docs
 
