@@ -80,10 +80,15 @@ def clean_up(spark: SparkSession) -> None:
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder as a table and read back: columns can then be pruned. Files of
     the shuffles that made it are dropped once it is written."""
+    return stored_at(df, label, compression)[0]
+
+
+def stored_at(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """The same, and the table's folder, for who deletes it before clean_up() does."""
     path = new_folder(df.sparkSession, label)
     with dropped_shuffles(df.sparkSession):
         df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def join_hot(many: DataFrame, one: DataFrame, on: str, counts: DataFrame | None = None) -> DataFrame:

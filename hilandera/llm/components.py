@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hilandera.llm.common import cut, join_hot
+from hilandera.llm.common import delete, join_hot, stored_at
 
 
 def local_components(n: int, pairs) -> np.ndarray:
@@ -34,9 +34,9 @@ def components(links: DataFrame) -> DataFrame:
     links: columns a and b of one orderable type. Large-star and small-star steps in turn: every
     link then leads to the root. Each step is a minimum, combined before the shuffle, joined back to
     the links; the links of a node are never gathered (a hub's are split for the join), and each round's
-    links are checkpointed.
+    links are written to the shared folder, in place of those of the round before.
     """
-    links = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    links, path = stored_at(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -46,7 +46,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        links = cut(small)
+        old = path
+        links, path = stored_at(small, "links")
+        delete(links.sparkSession, old)
         before, state = state, _state(links)
         if state == before:
             break

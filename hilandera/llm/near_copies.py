@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hilandera.llm import simhash
-from hilandera.llm.common import cut, join_hot, stored
+from hilandera.llm.common import join_hot, stored
 from hilandera.llm.components import components, local_components
 
 SHINGLE = 5
@@ -115,12 +115,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     distinct = stored(each.groupBy("cls").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands")), "shingle-bands")
     rows = distinct.select("cls", F.explode("bands").alias("band"))
     heads = rows.groupBy("band").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = stored(heads, "shingle-heads")
     linked = join_hot(rows, heads.drop("n"), "band", heads.select("band", "n")).filter("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    members = cut(components(linked).join(distinct.select(F.col("cls").alias("node"), "least"), "node"))
+    members = stored(components(linked).join(distinct.select(F.col("cls").alias("node"), "least"), "node"), "shingle-members")
     parts = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))
     block = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     # a block meets each block of its component, itself too where it is the only one
-    members = cut(join_hot(members, parts, "root").withColumn("block", block))
+    members = stored(join_hot(members, parts, "root").withColumn("block", block), "shingle-blocks")
 
     def sets(batches):
         for b in batches:
@@ -142,17 +143,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     held = texts.mapInArrow(sets, "root binary, cls binary, parts int, block int, sets binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     pairs = held.withColumn("other", other).select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls", "block", "sets")
-    exact = pairs.groupBy("root", "x", "y").applyInArrow(joined, "a binary, b binary")
+    exact = stored(pairs.groupBy("root", "x", "y").applyInArrow(joined, "a binary, b binary"), "shingle-links")
     # classes of one SimHash component are linked to the smallest of them
     alike = simhash.near_duplicates(named, key, text, SHINGLE).select("key", "component")
     alike = alike.distinct().join(each.select("key", "cls").distinct(), "key")
     alike = stored(alike.select("component", "cls").distinct(), "shingle-simhash")
-    first = alike.groupBy("component").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = stored(alike.groupBy("component").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "shingle-first")
     first = join_hot(alike, first.drop("n"), "component", first.select("component", "n")).filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b"))
     roots = components(exact.unionByName(first)).withColumnsRenamed({"node": "cls", "root": "of"})
-    of = cut(distinct.select("cls", "least", "n").join(roots, "cls", "left").withColumn("of", F.coalesce("of", "cls")))
+    of = stored(distinct.select("cls", "least", "n").join(roots, "cls", "left").withColumn("of", F.coalesce("of", "cls")), "shingle-roots")
     best = of.groupBy("of").agg(F.min("least").cast(kind).alias("component"))
-    by_class = cut(join_hot(of, best, "of").select("cls", "component"))
+    by_class = stored(join_hot(of, best, "of").select("cls", "component"), "shingle-components")
     return join_hot(each.select("key", "cls"), by_class, "cls", distinct.select("cls", "n")).select("key", "component")
 
 

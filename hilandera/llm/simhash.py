@@ -274,11 +274,11 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """key, fp, component: of each document its fingerprint and the smallest key reachable over links."""
     each = stored(fingerprints(docs, key, text, shingle), "fingerprints")
-    classes = cut(each.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")))
+    classes = stored(each.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     roots = components(links(classes.select("fp")))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = stored(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
     best = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_class = cut(join_hot(named, best, "root").select("fp", "component"))
+    by_class = stored(join_hot(named, best, "root").select("fp", "component"), "simhash-components")
     return join_hot(each, by_class, "fp", classes).select("key", "fp", "component")
 
 
