@@ -106,7 +106,7 @@ def join_hot(many: DataFrame, one: DataFrame, on: str, counts: DataFrame | None
         return many.join(one, on)
     hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
     dealt = many.join(hot, on, "left").withColumn(part, F.pmod(F.xxhash64(*many.columns), F.coalesce(parts, F.lit(1)))).drop(parts)
-    each = one.join(hot, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)).cast("long")).drop(parts)
+    each = one.join(hot, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(parts, F.lit(1)).cast("long") - 1))).drop(parts)
     return dealt.join(each, [on, part]).drop(part)
 
 
