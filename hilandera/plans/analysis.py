@@ -64,6 +64,11 @@ class Stage2:
         return self
 
 
+def totals(annotated: DataFrame) -> DataFrame:
+    """doc_id, words (all of them), content (those that are no stop words)."""
+    return annotated.filter("type = 'w'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum((~F.col("stop")).cast("bigint")).alias("content"))
+
+
 def stage1(docs: DataFrame, assets: Assets = Assets(), top_n: int = C.TOP_N) -> Stage1:
     """docs: doc_id, text. Blank documents give no rows."""
     annotated = tok.annotate(tok.tokenize(without_segment_markers(docs)), assets)
@@ -71,8 +76,7 @@ def stage1(docs: DataFrame, assets: Assets = Assets(), top_n: int = C.TOP_N) ->
     freqs = stats.frequencies(content)
     top = stats.top(freqs, top_n)
     pairs = stats.cooccurrence(content, top)
-    words = annotated.filter("type = 'w'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum((~F.col("stop")).cast("bigint")).alias("content"))
-    return Stage1(annotated, content, freqs, top, pairs, stats.communities(top, pairs), stats.top_ngrams(content, 2, top_n), stats.top_ngrams(content, 3, top_n), words)
+    return Stage1(annotated, content, freqs, top, pairs, stats.communities(top, pairs), stats.top_ngrams(content, 2, top_n), stats.top_ngrams(content, 3, top_n), totals(annotated))
 
 
 def stage2(first: Stage1, assets: Assets, depth: int = C.DEPTH, decay: float = C.DECAY, flow: str = C.FLOW) -> Stage2:

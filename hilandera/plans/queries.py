@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hilandera import constants as C
 from hilandera.functions import colour
 from hilandera.functions.text import csv_field, xml_escaped
-from hilandera.operators import graph, layout, segments, stats, vectors, weave
+from hilandera.operators import graph, layout, panels, segments, stats, vectors, weave
 from hilandera.operators import tokens as tok
 from hilandera.operators.tokens import Assets
 from hilandera.plans import analysis, sql, synthetic
@@ -217,9 +217,25 @@ def event_bigrams(spark, d):
     return stats.ngrams(seqs, 2).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("freq"))
 
 
+@query(sql.query(*_LEX, select="SELECT doc_id, count(*) AS words, sum(CASE WHEN stop THEN 0 ELSE 1 END)::BIGINT AS content FROM flagged GROUP BY doc_id"))
+def doc_totals(spark, d):
+    return analysis.totals(work(spark, d).annotated)
+
+
 # --- lexicons ---------------------------------------------------------------------------------
 
 
+@query(
+    sql.query(
+        *_TONE, f"top AS (SELECT doc_id, lemma, {sql.tag_case('lemma')} AS tag FROM freqs WHERE rank <= {C.TOP_N})", "known AS (SELECT DISTINCT lemma, p0, arousal FROM toned)",
+        select="SELECT doc_id, lemma, tag, round(p0, 6) AS polarity, round(arousal, 6) AS arousal FROM top JOIN known USING (lemma)",
+    )
+)
+def top_sentiments(spark, d):
+    w = work(spark, d)
+    return panels.top_sentiments(stats.top(w.freqs), w.full).select("doc_id", "lemma", "tag", *six("polarity", "arousal"))
+
+
 @query(sql.query(*_TONE, select="SELECT doc_id, pos, lemma, round(polarity, 6) + 0 AS polarity FROM enriched"))
 def negation_scope(spark, d):
     return work(spark, d).toned.select("doc_id", "pos", "lemma", (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"))
@@ -327,6 +343,46 @@ def select_words_relevance(spark, d):
     return stats.select_words(w.named, w.relevance, "relevance").select("doc_id", "word", *six("rel"), "rank")
 
 
+_PANEL = "row_number() OVER (PARTITION BY f.doc_id ORDER BY {0}f.lemma COLLATE es, f.lemma) AS {1}"
+
+
+@query(
+    sql.query(
+        *_SPREAD,
+        select=f"SELECT f.doc_id, f.lemma AS word, {_PANEL.format('', 'alpha')}, {_PANEL.format('rel DESC, freq DESC, ', 'relevance')}, {_PANEL.format('freq DESC, rel DESC, ', 'freq')} FROM freqs f JOIN relevance r ON r.doc_id = f.doc_id AND r.lemma = f.lemma",
+    )
+)
+def word_panel(spark, d):
+    w = work(spark, d)
+    words = w.named.join(w.relevance.withColumnRenamed("lemma", "word"), ["doc_id", "word"])
+    for sort in panels.ORDERS:
+        words = panels.word_panel(words, sort, f"by_{sort}")
+    return words.select("doc_id", "word", *(F.col(f"by_{sort}").alias(sort) for sort in panels.ORDERS))
+
+
+@query(
+    sql.query(
+        *_SPREAD, sql.TONE,
+        select="""SELECT e.doc_id, pos, raw AS surface, e.lemma, tag, stop, coalesce(f.freq, 0) AS freq, round(coalesce(r.rel, 0), 6) AS rel, round(polarity, 6) + 0 AS polarity, round(arousal, 6) AS arousal
+    FROM enriched e LEFT JOIN freqs f ON f.doc_id = e.doc_id AND f.lemma = e.lemma LEFT JOIN relevance r ON r.doc_id = e.doc_id AND r.lemma = e.lemma""",
+    )
+)
+def enriched_words(spark, d):
+    w = work(spark, d)
+    alone = w.freqs.select("doc_id", "lemma", F.lit(-1).alias("comm"))
+    words = tok.enrich(w.annotated, w.freqs.select("doc_id", "lemma", "freq"), w.relevance, alone, w.full)
+    return words.select("doc_id", "pos", "surface", "lemma", "tag", "stop", "freq", F.round("rel", 6).alias("rel"), (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"), F.round("arousal", 6).alias("arousal"))
+
+
+@query(sql.query(*_LEX, sql.SEEDS, select="SELECT f.doc_id, s.ord, s.word FROM seeds s JOIN freqs f ON f.lemma = s.word"))
+def seed_entry(spark, d):
+    w = work(spark, d)
+    entered = w.seeds.select("ord", F.concat(F.lit("  "), F.upper("word"), F.lit(" ")).alias("entry"))
+    again = w.seeds.select((F.col("ord") + 100).alias("ord"), F.col("word").alias("entry"))
+    unknown = w.seeds.select("ord", F.concat("word", F.lit("##")).alias("entry"))
+    return panels.enter_seeds(entered.unionByName(again).unionByName(unknown), w.freqs)
+
+
 _EVERY = f"every_seg AS (SELECT doc_id, unnest(range({C.SEGMENTS})) AS seg FROM texts)"
 _GRID = "grid AS (SELECT s.doc_id, e.seg, s.word, s.rank, coalesce(f.freq, 0)::DOUBLE AS freq, coalesce(f.norm_freq, 0) AS norm_freq, coalesce(f.norm_freq, 0) AS rel FROM selected s JOIN every_seg e ON e.doc_id = s.doc_id LEFT JOIN seg_freq f ON f.doc_id = s.doc_id AND f.seg = e.seg AND f.word = s.word)"
 
