@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Query vectors that go through the blocks together, about.
+QUERY_ROWS = 2000
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers; 0 where one is missing or zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -24,10 +31,20 @@ def similarities(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, among: DataFrame | None = None) -> DataFrame:
     """word, other, sim, rank: the k nearest of all words (or those of `among`) to each query word.
 
-    Vectors go through in blocks against the queries' matrix; each block keeps k candidates a query.
-    The queries are a stated set: they are broadcast, so their number must be small.
+    Vectors go through in blocks against the queries' matrix; each block keeps its k best for a query,
+    ties by the word. The queries are a stated set, taken QUERY_ROWS at a time: that many vectors at
+    most are on the driver and in a task.
     """
-    q = queries.select("word").distinct().join(vectors, "word").orderBy("word").toPandas()
+    asked = queries.select("word").distinct().join(vectors, "word")
+    n = math.ceil(asked.count() / QUERY_ROWS)
+    if n > 1:
+        part = F.pmod(F.xxhash64("word"), F.lit(n))
+        return reduce(DataFrame.unionByName, (_nearest(asked.filter(part == i), vectors, k, among) for i in range(n)))
+    return _nearest(asked, vectors, k, among)
+
+
+def _nearest(asked: DataFrame, vectors: DataFrame, k: int, among: DataFrame | None) -> DataFrame:
+    q = asked.select("word", "vec").orderBy("word").toPandas()
     if q.empty:
         return vectors.select("word", F.col("word").alias("other"), F.lit(0.0).alias("sim"), F.lit(1).cast("bigint").alias("rank")).limit(0)
     words, matrix = q["word"].tolist(), np.array(q["vec"].tolist(), float)
@@ -45,8 +62,10 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, among: Dat
             others = f["word"].to_numpy()
             for j, w in enumerate(words):
                 s = np.where(others == w, -2.0, sim[:, j])
-                best = np.argsort(-s, kind="stable")[: k + 1]
-                best = best[s[best] > -2]
+                # all that tie with the k-th stay in the running, then the smaller words
+                least = np.partition(s, -k)[-k] if len(s) > k else -2.0
+                best = np.flatnonzero((s >= least) & (s > -2))
+                best = best[np.lexsort((others[best], -s[best]))][:k]
                 yield pd.DataFrame({"word": w, "other": others[best], "sim": s[best]})
 
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("sim"), "other")).cast("bigint")

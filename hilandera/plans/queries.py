@@ -343,6 +343,32 @@ def select_words_relevance(spark, d):
     return stats.select_words(w.named, w.relevance, "relevance").select("doc_id", "word", *six("rel"), "rank")
 
 
+def _flow_sql(rel_ord: int) -> str:
+    return sql.query(*_SPREAD, select="SELECT doc_id, lemma, round(rel, 6) AS rel FROM relevance").replace("SELECT DISTINCT src, dst FROM edges", f"SELECT DISTINCT src, dst FROM edges WHERE rel_ord = {rel_ord}")
+
+
+@query(_flow_sql(0))
+def spread_up(spark, d):
+    w = work(spark, d)
+    return graph.spread_activation(w.freqs, w.graph, flow="up").select("doc_id", "lemma", *six("rel"))
+
+
+@query(_flow_sql(1))
+def spread_down(spark, d):
+    w = work(spark, d)
+    return graph.spread_activation(w.freqs, w.graph, flow="down").select("doc_id", "lemma", *six("rel"))
+
+
+@query(
+    sql.query(
+        *_SEG, "grams AS (SELECT doc_id, lemma || ' ' || lead(lemma) OVER (PARTITION BY doc_id, seg ORDER BY cpos) AS word FROM segs)",
+        select="SELECT doc_id, word, count(*) AS freq FROM grams WHERE word IS NOT NULL GROUP BY ALL",
+    )
+)
+def segment_bigrams(spark, d):
+    return segments.total_counts(segments.segment_counts(work(spark, d).segmented, 2)).select("doc_id", "word", F.col("freq").cast("bigint").alias("freq"))
+
+
 _PANEL = "row_number() OVER (PARTITION BY f.doc_id ORDER BY {0}f.lemma COLLATE es, f.lemma) AS {1}"
 
 

@@ -1,4 +1,6 @@
-from hilandera.operators import panels
+import pytest
+
+from hilandera.operators import panels, vectors
 
 
 def test_panel_orders(spark):
@@ -21,3 +23,12 @@ def test_toggling(spark):
     for value, after in [("a", ["a"]), ("b", ["a", "b"]), ("c", ["a", "b", "c"]), ("d", ["a", "b", "c"]), ("b", ["a", "c"]), ("d", ["a", "c", "d"])]:
         chosen = spark.createDataFrame(panels.toggled(chosen, "doc", value, panels.MOST_DOCUMENTS).collect(), "ord int, doc string")
         assert held(chosen) == after
+
+
+@pytest.mark.parametrize("rows", [2000, 2])
+def test_nearest_of_equal_vectors_are_the_smallest_words(spark, monkeypatch, rows):
+    monkeypatch.setattr(vectors, "QUERY_ROWS", rows)
+    held = spark.createDataFrame([(i, [1.0, 1.0] if i % 2 else [1.0, float(i)]) for i in reversed(range(200))], "word long, vec array<double>").coalesce(1)
+    found = vectors.most_similar(spark.createDataFrame([(i,) for i in (3, 5, 9, 11, 13)], "word long"), held, 4).collect()
+    for q in (3, 5, 9, 11, 13):
+        assert [r.other for r in sorted(found, key=lambda r: r["rank"]) if r.word == q] == [i for i in range(1, 20, 2) if i != q][:4]
