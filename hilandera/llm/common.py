@@ -18,6 +18,8 @@ LOCAL_SHARED = "/tmp/checkpoints/hilandera"
 HOT_ROWS = 1_000_000
 #: Small tables are broadcast up to this many rows, joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 4 << 20
 #: Folders that the operators wrote for their own use, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -46,15 +48,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def dropped_shuffles(spark: SparkSession):
-    """What is written meanwhile leaves no shuffle files behind."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def lean_writes(spark: SparkSession):
+    """What is written meanwhile leaves no shuffle files behind, and Arrow batches hold some ARROW_BYTES
+    (one row at least), so that neither an executor nor its Python workers keep 10,000 long texts at once."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -86,7 +94,7 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 def stored_at(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """The same, and the table's folder, for who deletes it before clean_up() does."""
     path = new_folder(df.sparkSession, label)
-    with dropped_shuffles(df.sparkSession):
+    with lean_writes(df.sparkSession):
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hilandera.llm.common import dropped_shuffles, free_name, new_folder, prefix_sums, table
+from hilandera.llm.common import free_name, lean_writes, new_folder, prefix_sums, table
 
 SEED = 6
 SHARDS = 40
@@ -83,7 +83,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder for each shard, its rows in slot order through the numbered files (sharded as
     shuffled() gives it)."""
-    with dropped_shuffles(sharded.sparkSession):
+    with lean_writes(sharded.sparkSession):
         sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
