@@ -48,7 +48,7 @@ def test_the_query_writes_whole_records_in_slot_order(spark, tmp_path, monkeypat
     for shard in (tmp_path / "s").glob("shard=*"):
         slots = [x for f in numbered_files(shard) for x in pq.ParquetFile(f).read()["slot"].to_pylist()]
         assert slots == list(range(len(slots))) and len(slots) in (25, 26)
-    monkeypatch.setattr(sharding, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(sharding, "new_folder", lambda spark, label: f"file://{tmp_path}/shared/{label}")
     docs.write.parquet(f"file://{tmp_path}/sf/documents.parquet")
     rows = {r.doc_id: r for r in sharding.digest(spark, f"file://{tmp_path}/sf").collect()}
     (written,) = (tmp_path / "shared").iterdir()
