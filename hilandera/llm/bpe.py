@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hilandera.llm.common import delete, free_name, new_folder, stored
+from hilandera.llm.common import delete, free_name, lean_writes, new_folder, stored
 from hilandera.llm.word_cache import PLAIN, WordCache, byte_letters, load, packed
 
 #: Words and distinct words of a chunk.
@@ -326,7 +326,8 @@ def _encode(docs: DataFrame, text: str, path: str | None, keep: list[str] | None
     n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     bits = (max(1, math.ceil(n_bytes / BUCKET_BYTES)) - 1).bit_length()
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "bpe-chunks")
-    _chunks(docs, text, path, bits, keep).withColumn("asks", F.col("bucket").isNotNull()).write.partitionBy("asks").parquet(folder)
+    with lean_writes(spark):
+        _chunks(docs, text, path, bits, keep).withColumn("asks", F.col("bucket").isNotNull()).write.partitionBy("asks").parquet(folder)
 
     def read(asks: str, columns: str) -> DataFrame:
         # a folder that no row went to is not there
