@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from hilandera import constants as C
 from hilandera.functions.colour import palette, polarity_colour
 
+# fixed values: the segment minimap's height and margin
+BAR_HEIGHT, BAR_MARGIN = 28, 3
+
 
 @dataclass(frozen=True)
 class View:
@@ -104,12 +107,57 @@ def segment_names(bounds: DataFrame) -> DataFrame:
     return bounds.withColumn("name", F.when(F.col("label").isNotNull(), F.concat(F.lit("S"), number)).otherwise(number))
 
 
+def link_boxes(of: DataFrame) -> DataFrame:
+    """doc_id, word, rank, src_col, left, right, top, bottom: the box between a word's neighbouring nodes."""
+    there = F.when(F.col("is_real"), F.struct("x", "y", (F.col("y") + F.col("h")).alias("end")))
+    both = of.withColumn("_next", F.lead(there).over(_along())).filter(F.col("is_real") & F.col("_next").isNotNull())
+    return both.select(
+        "doc_id", "word", "rank", F.col("col").alias("src_col"), (F.col("x") + F.col("w")).alias("left"), F.col("_next.x").alias("right"),
+        F.least("y", "_next.y").alias("top"), F.greatest(F.col("y") + F.col("h"), F.col("_next.end")).alias("bottom"),
+    )
+
+
 def hit(of: DataFrame, x: float, y: float) -> DataFrame:
-    """The word under a point, the first by rank, in each document."""
-    inside = of.filter((F.col("x") <= x) & (x <= F.col("x") + F.col("w")) & (F.col("y") <= y) & (y <= F.col("y") + F.col("h")) & F.col("is_real"))
+    """The word whose node or link is under a point, the first by rank, in each document."""
+    node = of.filter("is_real").select("doc_id", "word", "rank", F.col("x").alias("left"), (F.col("x") + F.col("w")).alias("right"), F.col("y").alias("top"), (F.col("y") + F.col("h")).alias("bottom"))
+    boxes = node.unionByName(link_boxes(of).drop("src_col"))
+    inside = boxes.filter(F.lit(x).between(F.col("left"), F.col("right")) & F.lit(y).between(F.col("top"), F.col("bottom")))
     return inside.groupBy("doc_id").agg(F.min_by("word", "rank").alias("word"))
 
 
+def arousal_line(tone: DataFrame, every: DataFrame, segments: int = C.SEGMENTS, width: float = 800.0) -> DataFrame:
+    """doc_id, seg, x, y of the minimap's line: arousal over the document's largest, 0 where a segment of
+    `every` has none."""
+    low, span = BAR_HEIGHT - BAR_MARGIN, BAR_HEIGHT - 2 * BAR_MARGIN
+    known = every.join(tone.select("doc_id", "seg", "arousal"), ["doc_id", "seg"], "left").withColumn("arousal", F.coalesce("arousal", F.lit(0.0)))
+    most = F.max("arousal").over(Window.partitionBy("doc_id"))
+    share = F.col("arousal") / F.when(most > 0, most).otherwise(1.0)
+    return known.select("doc_id", "seg", ((F.col("seg") + 0.5) * (width / segments)).alias("x"), (low - share * span).alias("y"))
+
+
+def window_start(x: Column, width: float, segments: int = C.SEGMENTS, size: int = C.VIEW) -> Column:
+    """The first visible segment after a click on the minimap: the one clicked comes to the middle."""
+    clicked = F.floor(x / width * segments)
+    return F.greatest(F.lit(0), F.least(clicked - size // 2, F.lit(max(0, segments - size)))).cast("bigint")
+
+
+@dataclass(frozen=True)
+class Layout:
+    """A window's columns, nodes with their colours, links and labels."""
+
+    columns: DataFrame
+    nodes: DataFrame
+    links: DataFrame
+    labels: DataFrame
+
+
+def windowed(grid: DataFrame, words: DataFrame, maxima: DataFrame, view: View = View(), mode: str = "rango", values: DataFrame | None = None) -> Layout:
+    """The layout of the segments that a view shows; mode and values: see word_colours."""
+    of = nodes(grid, words, maxima, view)
+    coloured = of.join(word_colours(words, mode, values).select("doc_id", "word", "colour"), ["doc_id", "word"])
+    return Layout(columns(grid.sparkSession, view), coloured, links(of), labels(of))
+
+
 def emotion_bars(emotions: DataFrame) -> DataFrame:
     """doc_id, seg, emotion, share, height: each share over the document's largest."""
     pairs = ", ".join(f"'{e}', {e}" for e in C.SEGMENT_EMOTIONS)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hilandera import constants as C
 from hilandera.functions import colour
 from hilandera.functions.text import csv_field, xml_escaped
-from hilandera.operators import graph, layout, panels, segments, stats, vectors, weave
+from hilandera.operators import graph, layout, panels, reader, segments, stats, vectors, weave
 from hilandera.operators import tokens as tok
 from hilandera.operators.tokens import Assets
 from hilandera.plans import analysis, sql, synthetic
@@ -369,6 +369,12 @@ def segment_bigrams(spark, d):
     return segments.total_counts(segments.segment_counts(work(spark, d).segmented, 2)).select("doc_id", "word", F.col("freq").cast("bigint").alias("freq"))
 
 
+def _enriched(w: Work) -> DataFrame:
+    """The enriched words without communities, which SQL cannot find."""
+    alone = w.freqs.select("doc_id", "lemma", F.lit(-1).alias("comm"))
+    return tok.enrich(w.annotated, w.freqs.select("doc_id", "lemma", "freq"), w.relevance, alone, w.full)
+
+
 _PANEL = "row_number() OVER (PARTITION BY f.doc_id ORDER BY {0}f.lemma COLLATE es, f.lemma) AS {1}"
 
 
@@ -394,10 +400,58 @@ def word_panel(spark, d):
     )
 )
 def enriched_words(spark, d):
+    return _enriched(work(spark, d)).select("doc_id", "pos", "surface", "lemma", "tag", "stop", "freq", F.round("rel", 6).alias("rel"), (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"), F.round("arousal", 6).alias("arousal"))
+
+
+_SHOWN = (*_SPREAD, sql.TONE, """shown AS (SELECT e.*, f.freq, r.rel, max(f.freq) OVER (PARTITION BY e.doc_id) AS top, max(r.rel) OVER (PARTITION BY e.doc_id) AS top_rel,
+    count(*) OVER (PARTITION BY e.doc_id) AS n, row_number() OVER (PARTITION BY e.doc_id ORDER BY pos) - 1 AS i
+    FROM enriched e JOIN freqs f ON f.doc_id = e.doc_id AND f.lemma = e.lemma JOIN relevance r ON r.doc_id = e.doc_id AND r.lemma = e.lemma WHERE NOT stop)""")
+_INK = f"CASE WHEN polarity > 0.05 THEN '{C.POSITIVE}' WHEN polarity < -0.05 THEN '{C.NEGATIVE}' WHEN polarity IS NOT NULL THEN '{C.NEUTRAL}' END"
+
+
+def _list(of: dict) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {sql.EMOTIONS[e]} THEN '{x}' END" for e, x in of.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    sql.query(
+        *_SHOWN,
+        select=f"""SELECT doc_id, pos, round(i / n * greatest(100, n), 6) AS y, round(greatest(1, greatest(100, n) / n), 6) AS height, round(0.2 + freq / top * 0.8, 6) AS strength, {_INK} AS ink,
+    round(CASE WHEN polarity IS NOT NULL THEN least(1, abs(polarity) * 2 + 0.1) END, 6) AS ink_strength, array_to_string(({_list(reader.EMOTION_COLOURS)})[1:{reader.most_dots()}], ',') AS dots FROM shown""",
+    )
+)
+def reader_minimap(spark, d):
+    return reader.minimap(_enriched(work(spark, d))).select("doc_id", "pos", *six("y", "height", "strength"), "ink", *six("ink_strength"), F.array_join("dots", ",").alias("dots"))
+
+
+@query(
+    sql.query(
+        *_SHOWN,
+        select=f"""SELECT doc_id, pos, raw || ' ' || lemma || ' · ' || tag AS title, 'Frec: ' || freq || ' · Rel: ' || printf('%.1f', round(rel, 1))
+    || coalesce(' · Pol: ' || CASE WHEN polarity > 0 THEN '+' ELSE '' END || printf('%.3f', polarity), '') || coalesce(' · Act: ' || printf('%.3f', arousal), '') AS line,
+    array_to_string({_list({e: e for e in C.EMOTIONS})}, ',') AS emotions FROM shown""",
+    )
+)
+def word_details(spark, d):
+    return reader.details(_enriched(work(spark, d))).drop("community")
+
+
+@query(
+    sql.query(
+        *_SHOWN,
+        select=f"SELECT doc_id, pos, round(0.3 + 0.7 * freq / top, 6) AS brightness, rel / top_rel > 0.3 AS bold, round(CASE WHEN abs(arousal) > 0.01 THEN 1 + least(1, abs(arousal) * 2) * 2 END, 6) AS border, {_INK} AS ink FROM shown",
+    )
+)
+def reader_strength(spark, d):
+    marks = layout.reader_marks(_enriched(work(spark, d)))
+    return marks.filter("not stop").select("doc_id", "pos", *six("brightness"), "bold", *six("border"), "ink")
+
+
+@query(sql.query(*_LEX, sql.SEEDS, select="SELECT doc_id, lemma AS word, lemma IN (SELECT word FROM seeds) AS lit FROM freqs"))
+def lit_words(spark, d):
     w = work(spark, d)
-    alone = w.freqs.select("doc_id", "lemma", F.lit(-1).alias("comm"))
-    words = tok.enrich(w.annotated, w.freqs.select("doc_id", "lemma", "freq"), w.relevance, alone, w.full)
-    return words.select("doc_id", "pos", "surface", "lemma", "tag", "stop", "freq", F.round("rel", 6).alias("rel"), (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"), F.round("arousal", 6).alias("arousal"))
+    first, *rest = [r["word"] for r in w.seeds.orderBy("ord").collect()]
+    return reader.lit(w.named.select("doc_id", "word"), first, rest[:2], rest[2:])
 
 
 @query(sql.query(*_LEX, sql.SEEDS, select="SELECT f.doc_id, s.ord, s.word FROM seeds s JOIN freqs f ON f.lemma = s.word"))
@@ -567,12 +621,20 @@ def layout_columns(spark, d):
     return layout.columns(spark)
 
 
-_NODES = (*_SEG, _WORDS, _EVERY, _GRID, f"""bound AS (SELECT doc_id, coalesce(nullif(max(norm_freq), 0), 1) AS mf, coalesce(nullif(max(rel), 0), 1) AS mr FROM grid GROUP BY 1),
-    counted AS (SELECT doc_id, greatest(10.0, {_VIEW.chart_height} - (count(*) - 1) * 2) / count(*) AS base FROM selected GROUP BY 1),
-    sized AS (SELECT g.doc_id, word, rank - 1 AS rank, seg - {_VIEW.start} AS col, seg, base, freq > 0 AS is_real,
+def _nodes_sql(v: layout.View) -> tuple[str, ...]:
+    return (*_SEG, _WORDS, _EVERY, _GRID, f"""bound AS (SELECT doc_id, coalesce(nullif(max(norm_freq), 0), 1) AS mf, coalesce(nullif(max(rel), 0), 1) AS mr FROM grid GROUP BY 1),
+    counted AS (SELECT doc_id, greatest(10.0, {v.chart_height} - (count(*) - 1) * 2) / count(*) AS base FROM selected GROUP BY 1),
+    sized AS (SELECT g.doc_id, word, rank - 1 AS rank, seg - {v.start} AS col, seg, base, freq > 0 AS is_real,
       CASE WHEN freq > 0 THEN 1 + norm_freq / mf * (greatest(2, base * 2) - 1) ELSE 0 END AS h, CASE WHEN freq > 0 THEN 0.25 + rel / mr * 0.75 ELSE 0 END AS opacity
-      FROM grid g JOIN bound b ON b.doc_id = g.doc_id JOIN counted c ON c.doc_id = g.doc_id),
-    nodes AS (SELECT *, {_VIEW.left} + col / {_VIEW.columns - 1} * {_VIEW.chart_width} - {_VIEW.node_width} / 2 AS x, {_VIEW.top} + rank * (base + 2) + (base - h) / 2 AS y FROM sized)""")
+      FROM grid g JOIN bound b ON b.doc_id = g.doc_id JOIN counted c ON c.doc_id = g.doc_id WHERE seg BETWEEN {v.start} AND {v.start + v.columns - 1}),
+    nodes AS (SELECT *, {v.left} + col / {v.columns - 1} * {v.chart_width} - {v.node_width} / 2 AS x, {v.top} + rank * (base + 2) + (base - h) / 2 AS y FROM sized)""")
+
+
+_NODES = _nodes_sql(_VIEW)
+_PART = layout.View(width=640.0, height=400.0, start=3, size=5)
+_BOXES = f"""boxes AS (SELECT a.doc_id, a.word, a.rank, a.col AS src_col, a.x + {_VIEW.node_width} AS "left", b.x AS "right", least(a.y, b.y) AS top, greatest(a.y + a.h, b.y + b.h) AS bottom
+    FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.word = b.word AND b.col = a.col + 1 AND a.is_real AND b.is_real)"""
+_POINT = (120.0, 28.5)
 
 
 def _nodes(spark, d) -> DataFrame:
@@ -595,6 +657,55 @@ def layout_labels(spark, d):
     return layout.labels(_nodes(spark, d))
 
 
+@query(sql.query(*_NODES, _BOXES, select='SELECT doc_id, word, src_col, round("left", 6) AS "left", round("right", 6) AS "right", round(top, 6) AS top, round(bottom, 6) AS bottom FROM boxes'))
+def layout_link_boxes(spark, d):
+    return layout.link_boxes(_nodes(spark, d)).select("doc_id", "word", "src_col", *six("left", "right", "top", "bottom"))
+
+
+@query(
+    sql.query(
+        *_NODES, _BOXES,
+        f"""every_box AS (SELECT doc_id, word, rank, "left", "right", top, bottom FROM boxes UNION ALL SELECT doc_id, word, rank, x, x + {_VIEW.node_width}, y, y + h FROM nodes WHERE is_real)""",
+        select=f'SELECT doc_id, arg_min(word, rank) AS word FROM every_box WHERE {_POINT[0]} BETWEEN "left" AND "right" AND {_POINT[1]} BETWEEN top AND bottom GROUP BY 1',
+    )
+)
+def layout_hit(spark, d):
+    return layout.hit(_nodes(spark, d), *_POINT)
+
+
+@query(
+    sql.query(
+        *_nodes_sql(_PART),
+        select="SELECT doc_id, word, rank, col, round(x, 6) AS x, round(y, 6) AS y, round(h, 6) AS h, round(opacity, 6) AS opacity, list_extract([" + ", ".join(f"'{c}'" for c in C.PALETTE) + "], (rank % 10 + 1)::INT) AS colour, "
+        "is_real AND coalesce(lead(is_real) OVER w, false) AS linked, is_real AND NOT coalesce(lag(is_real) OVER w, false) AS labelled FROM nodes WINDOW w AS (PARTITION BY doc_id, word ORDER BY col)",
+    )
+)
+def windowed_layout(spark, d):
+    words, grid = _grid(work(spark, d))
+    of = layout.windowed(grid, words, segments.grid_maxima(grid, words), _PART)
+    linked = of.links.select("doc_id", "word", F.col("src_col").alias("col"), F.lit(True).alias("linked"))
+    rows = of.nodes.join(linked, ["doc_id", "word", "col"], "left").join(of.labels.withColumn("labelled", F.lit(True)), ["doc_id", "word", "col"], "left")
+    return rows.na.fill(False, ["linked", "labelled"]).select("doc_id", "word", "rank", "col", *six("x", "y", "h", "opacity"), "colour", "linked", "labelled")
+
+
+@query(
+    sql.query(
+        *_SEG, sql.TONE, _EVERY,
+        "tone AS (SELECT s.doc_id, s.seg, coalesce(avg(e.arousal), 0) AS a FROM segs s JOIN enriched e ON e.doc_id = s.doc_id AND e.pos = s.pos GROUP BY ALL)",
+        "known AS (SELECT doc_id, seg, coalesce(a, 0) AS a FROM every_seg LEFT JOIN tone USING (doc_id, seg))",
+        select=f"SELECT doc_id, seg, round((seg + 0.5) * {800 / C.SEGMENTS}, 6) AS x, round(25 - a / coalesce(nullif(max(a) OVER (PARTITION BY doc_id), 0), 1) * 22, 6) AS y FROM known",
+    )
+)
+def arousal_line(spark, d):
+    w = work(spark, d)
+    return layout.arousal_line(segments.segment_tone(w.segmented), segments.all_segments(w.docs)).select("doc_id", "seg", *six("x", "y"))
+
+
+@query(f"SELECT range AS x, greatest(0, least(floor(range / 800 * {C.SEGMENTS}) - 2, {C.SEGMENTS - 4}))::BIGINT AS start FROM range(800)")
+def minimap_click(spark, d):
+    return spark.range(800).select(F.col("id").alias("x"), layout.window_start(F.col("id"), 800.0, size=4).alias("start"))
+
+
 @query(
     sql.query(
         *_SEG,

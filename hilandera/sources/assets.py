@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +96,20 @@ def load_assets(spark: SparkSession, folder: str) -> Assets:
         swn=use(get("swn", "string"), lambda d: split(d).select(F.col("head").alias("lemma"), "pos", F.col("v").alias("payload"))),
         vectors=load_vectors(spark, path["vocabulary"], path["vectors"]),
     )
+
+
+def put(df: DataFrame, folder: str, key: str) -> bool:
+    """Keeps a table under a key, in place of what was there; False if it can't be written."""
+    try:
+        df.write.mode("overwrite").parquet(f"{folder}/{key}")
+    except (AnalysisException, Py4JJavaError):
+        return False
+    return True
+
+
+def get(spark: SparkSession, folder: str, key: str) -> DataFrame | None:
+    """The table kept under a key; None if there is none."""
+    try:
+        return spark.read.parquet(f"{folder}/{key}")
+    except AnalysisException:
+        return None
