@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hilandera.llm import bloom_lm, bpe, compression_classifier, cover_tree, mixing, periodic_runs, quality_rules, secret_scan, sharding, simhash, token_counts, token_files
+from hilandera.llm import bloom_lm, bpe, compression_classifier, cover_tree, mixing, periodic_runs, quality_rules, releases, secret_scan, sharding, simhash, token_counts, token_files
 from hilandera.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op4_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op6_sharding": lambda spark, d: sharding.digest(spark, d),
     "op9_quality_rules": lambda spark, d: quality_rules.digest(table(spark, d, "documents")),
+    "op11_releases": lambda spark, d: releases.digest(table(spark, d, "conversations")),
     "op12_token_counts": lambda spark, d: token_counts.digest(table(spark, d, "documents")),
     "op13_periodic_runs": lambda spark, d: periodic_runs.digest(table(spark, d, "documents")),
 }
