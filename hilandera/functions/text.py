@@ -16,6 +16,12 @@ WORD = f"[{C.WORD_CHARS}]"
 TOKEN = f"{WORD}+|{SPACE}+|[^{C.WORD_CHARS}{_SPACES}]+"
 
 
+def part(size: int) -> str:
+    """A pattern whose matches, one after the other, are a text in parts of `size` characters or somewhat
+    more: a part ends where a token does."""
+    return f"(?s).{{1,{size}}}+(?:(?<={WORD}){WORD}*+|(?<={SPACE}){SPACE}*+|(?<=[^{C.WORD_CHARS}{_SPACES}])[^{C.WORD_CHARS}{_SPACES}]*+)"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hilandera import constants as C
 from hilandera.functions.text import integer_key
-from hilandera.operators.tokens import in_order
+from hilandera.operators.tokens import BLOCK, in_order
 
 
 def ranked(counts: DataFrame, item: str = "lemma", n: str = "freq") -> DataFrame:
@@ -21,7 +21,9 @@ def ranked(counts: DataFrame, item: str = "lemma", n: str = "freq") -> DataFrame
 
 def frequencies(content: DataFrame) -> DataFrame:
     """doc_id, lemma, freq, rel_freq, rank."""
-    counts = content.groupBy("doc_id", "lemma").agg(F.count(F.lit(1)).alias("freq"), F.min("cpos").alias("first"))
+    # positions order as the numbers of content words do, and need no numbering
+    place = "pos" if "pos" in content.columns else "cpos"
+    counts = content.groupBy("doc_id", "lemma").agg(F.count(F.lit(1)).alias("freq"), F.min(place).alias("first"))
     share = F.col("freq") / F.sum("freq").over(Window.partitionBy("doc_id"))
     return ranked(counts).withColumn("rel_freq", share).drop("first")
 
@@ -30,11 +32,19 @@ def top(freqs: DataFrame, n: int = C.TOP_N) -> DataFrame:
     return freqs.filter(F.col("rank") <= n)
 
 
+def in_blocks(sequence: DataFrame, reach: int, by: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, Window]:
+    """sequence in blocks of BLOCK places (_block), each with the `reach` places behind it (_own false),
+    and the order within blocks: windows that look so far ahead find what a whole sequence has."""
+    block = F.floor(F.col("cpos") / BLOCK).cast("bigint")
+    both = F.when((F.col("cpos") % BLOCK < reach) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    return sequence.withColumn("_block", F.explode(both)).withColumn("_own", F.col("_block") == block), Window.partitionBy(*by, "_block").orderBy("cpos")
+
+
 def ngrams(sequence: DataFrame, n: int, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The n-grams of each sequence, at the position of their first item."""
-    order = Window.partitionBy(*by).orderBy("cpos")
+    rows, order = in_blocks(sequence.select(*by, "cpos", "lemma"), n - 1, by)
     parts = [F.col("lemma"), *(F.lead("lemma", k).over(order) for k in range(1, n))]
-    return sequence.select(*by, "cpos", F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts)).alias("gram")).filter("gram is not null")
+    return rows.select(*by, "cpos", "_own", F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts)).alias("gram")).filter("_own and gram is not null").drop("_own")
 
 
 def top_ngrams(sequence: DataFrame, n: int, limit: int = C.TOP_N) -> DataFrame:
@@ -46,14 +56,20 @@ def top_ngrams(sequence: DataFrame, n: int, limit: int = C.TOP_N) -> DataFrame:
 def cooccurrence(sequence: DataFrame, vocabulary: DataFrame | None = None, window: int = C.WINDOW) -> DataFrame:
     """doc_id, a, b, n: ordered pairs within `window` places; both ends in the vocabulary (doc_id, lemma).
 
-    Offsets are exploded, so that the band join is an equality on (doc_id, cpos).
+    One ordered pass: each item looks at the next `window` ones, and a pair counts once, in the order of
+    its words, before it is turned around. The sequence is shuffled once for it.
     """
     kept = sequence.select("doc_id", "cpos", "lemma")
     if vocabulary is not None:
         kept = kept.join(vocabulary.select("doc_id", "lemma").distinct(), ["doc_id", "lemma"], "left_semi")
-    offsets = F.array(*(F.lit(k) for k in range(-window, window + 1) if k))
-    left = kept.withColumn("by", F.explode(offsets)).select("doc_id", F.col("lemma").alias("a"), (F.col("cpos") + F.col("by")).alias("cpos"))
-    return left.join(kept.withColumnRenamed("lemma", "b"), ["doc_id", "cpos"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    rows, order = in_blocks(kept, window)
+    ahead = F.array(*(F.lead(F.struct("cpos", "lemma"), k).over(order) for k in range(1, window + 1)))
+    near = rows.select("doc_id", "cpos", "lemma", "_own", ahead.alias("ahead")).filter("_own")
+    pairs = near.select("doc_id", "lemma", F.explode(F.filter("ahead", lambda x: x["cpos"] <= F.col("cpos") + window)["lemma"]).alias("other"))
+    counts = pairs.groupBy("doc_id", F.least("lemma", "other").alias("a"), F.greatest("lemma", "other").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    one, two = F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n")
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", (2 * F.col("n")).alias("n")))).otherwise(F.array(one, two))
+    return counts.select("doc_id", F.explode(both).alias("pair")).select("doc_id", "pair.*")
 
 
 def _modularity_labels(weights: np.ndarray, sweeps: int = 20) -> list[int]:

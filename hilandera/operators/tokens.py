@@ -1,17 +1,25 @@
 """Token streams: texts as rows (doc_id, pos), tagged, lemmatized, flagged.
 
-All windows are partitioned by document and ordered by position.
+Windows are partitioned by document and ordered by position. A text of more than BLOCK characters is cut
+into parts where tokens end, and its rows carry `long`: whatever runs along such a text (positions,
+paragraphs, numbers of content words, open negations) runs within blocks of BLOCK tokens and is carried
+from block to block, so one huge document keeps many tasks busy. A doc_id is not null and names one text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hilandera import constants as C
-from hilandera.functions.text import SPACE, TOKEN, WORD, straight_quotes, suffix_tag
+from hilandera.functions.scans import carried, taken_over
+from hilandera.functions.text import SPACE, TOKEN, WORD, part, straight_quotes, suffix_tag
+
+#: Characters of a text, and tokens of a block, beyond which a text is analysed in blocks.
+BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -37,17 +45,57 @@ def in_order(*keys: str) -> Window:
     return Window.partitionBy("doc_id").orderBy(*(keys or ("pos",)))
 
 
+def by_length(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], blocked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """whole(the rows of short texts) and blocked(those of long ones, with _block) together."""
+    if "long" not in rows.columns:
+        return whole(rows)
+    block = F.floor(F.col("pos") / BLOCK).cast("bigint")
+    return whole(rows.filter("not long")).unionByName(blocked(rows.filter("long").withColumn("_block", block)).drop("_block"))
+
+
+def in_block() -> Window:
+    return Window.partitionBy("doc_id", "_block").orderBy("pos")
+
+
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """rows (doc_id, pos) numbered from 0 in each document."""
+
+    def blocked(of: DataFrame) -> DataFrame:
+        before = carried(of.groupBy("doc_id", "_block").agg(F.count(F.lit(1)).alias("_before")), ["doc_id"], "_block", {"_before": "sum"})
+        own = of.withColumn(out, F.row_number().over(in_block()) - 1)
+        return taken_over(own, before, ["doc_id", "_block"]).withColumn(out, (F.col(out) + F.col("_before")).cast("bigint")).drop("_before")
+
+    return by_length(rows, lambda of: of.withColumn(out, (F.row_number().over(in_order()) - 1).cast("bigint")), blocked)
+
+
+def _kinds(tokens: DataFrame) -> DataFrame:
+    first = F.substring("raw", 1, 1)
+    kind = F.when(first.rlike(WORD), "w").when(first.rlike(SPACE), F.when(_breaks(F.col("raw")), "p").otherwise("s")).otherwise("x")
+    return tokens.withColumn("pos", F.col("pos").cast("bigint")).withColumn("type", kind)
+
+
+def _breaks(raw: Column) -> Column:
+    return F.contains(raw, F.lit("\n\n")) | F.contains(raw, F.lit("\r\n\r\n"))
+
+
 def tokenize(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, raw, type (w word, s space, p paragraph break, x other), para.
+    """doc_id, pos, raw, type (w word, s space, p paragraph break, x other), para, long.
 
     The raw tokens of a text, put together, are the text with straight quotes.
     """
-    t = docs.select("doc_id", F.posexplode(F.regexp_extract_all(straight_quotes("text"), F.lit(TOKEN), F.lit(0))).alias("pos", "raw"))
-    first = F.substring("raw", 1, 1)
-    breaks = F.contains("raw", F.lit("\n\n")) | F.contains("raw", F.lit("\r\n\r\n"))
-    kind = F.when(first.rlike(WORD), "w").when(first.rlike(SPACE), F.when(breaks, "p").otherwise("s")).otherwise("x")
-    t = t.withColumn("pos", F.col("pos").cast("bigint")).withColumn("type", kind)
-    return t.withColumn("para", F.sum((F.col("type") == "p").cast("bigint")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    text = straight_quotes("text")
+    tokens_of = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    size, so_far = F.length("text"), F.sum((F.col("type") == "p").cast("bigint"))
+    short = _kinds(docs.filter(size <= BLOCK).select("doc_id", F.posexplode(tokens_of(text)).alias("pos", "raw")))
+    short = short.withColumn("para", so_far.over(in_order().rowsBetween(Window.unboundedPreceding, 0))).withColumn("long", F.lit(False))
+    # parts are dealt out before their tokens are rows
+    parts = docs.filter(size > BLOCK).select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(part(BLOCK)), F.lit(0))).alias("_part", "part")).repartition("doc_id", "_part")
+    sizes = parts.select("doc_id", "_part", F.size(tokens_of(F.col("part"))).cast("bigint").alias("_at"), F.size(F.filter(tokens_of(F.col("part")), _breaks)).cast("bigint").alias("_para"))
+    placed = taken_over(parts, carried(sizes, ["doc_id"], "_part", {"_at": "sum", "_para": "sum"}), ["doc_id", "_part"])
+    long = _kinds(placed.select("doc_id", "_part", "_at", "_para", F.posexplode(tokens_of(F.col("part"))).alias("pos", "raw")))
+    here = so_far.over(Window.partitionBy("doc_id", "_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    long = long.withColumn("para", F.col("_para") + here).withColumn("pos", F.col("_at") + F.col("pos")).withColumn("long", F.lit(True))
+    return short.unionByName(long.select(*short.columns))
 
 
 def tag(words: DataFrame, word: str, assets: Assets, out: str = "tag") -> DataFrame:
@@ -84,14 +132,18 @@ def annotate(tokens: DataFrame, assets: Assets = Assets()) -> DataFrame:
         F.when(word, F.col("tag")).otherwise("x").alias("tag"),
         F.when(word, is_stop(F.col("lemma"), F.col("low"))).otherwise(True).alias("stop"),
         F.when(word, F.col("low").isin(*C.NEGATION)).otherwise(False).alias("neg"),
-        "type", "para",
+        "type", "para", *(c for c in ("long",) if c in tokens.columns),
     )
 
 
 def content(annotated: DataFrame) -> DataFrame:
     """Words that are no stops, numbered from 0 in each document (cpos)."""
-    kept = annotated.filter((F.col("type") == "w") & ~F.col("stop"))
-    return kept.withColumn("cpos", (F.row_number().over(in_order()) - 1).cast("bigint"))
+    return numbered(annotated.filter((F.col("type") == "w") & ~F.col("stop")), "cpos")
+
+
+def words(annotated: DataFrame) -> DataFrame:
+    """The words, stops among them, numbered from 0 in each document (i)."""
+    return numbered(annotated.filter("type = 'w'"), "i")
 
 
 def add_sentiment(words: DataFrame, assets: Assets) -> DataFrame:
@@ -118,9 +170,23 @@ def add_sentiment(words: DataFrame, assets: Assets) -> DataFrame:
 def negate(words: DataFrame, scope: int = C.NEGATION_SCOPE) -> DataFrame:
     """words (pos, neg, stop, polarity) with the polarity of the first `scope` content words after a
     negation turned; another negation starts anew. Zero stays zero."""
-    rows = in_order().rowsBetween(Window.unboundedPreceding, 0)
-    n = words.withColumn("_c", F.sum((~F.col("stop")).cast("bigint")).over(rows))
-    n = n.withColumn("_c0", F.last(F.when(F.col("neg"), F.col("_c")), ignorenulls=True).over(rows))
+
+    def counted(of: DataFrame, order: Window) -> DataFrame:
+        rows = order.rowsBetween(Window.unboundedPreceding, 0)
+        n = of.withColumn("_c", F.sum((~F.col("stop")).cast("bigint")).over(rows))
+        return n.withColumn("_c0", F.last(F.when(F.col("neg"), F.col("_c")), ignorenulls=True).over(rows))
+
+    def blocked(of: DataFrame) -> DataFrame:
+        # content words before the block, and how many there were at the last negation
+        own, on = counted(of, in_block()), ["doc_id", "_block"]
+        totals = own.groupBy(*on).agg(F.max("_c").alias("_before"), F.max("_c0").alias("_open"))
+        before = carried(totals.drop("_open"), ["doc_id"], "_block", {"_before": "sum"})
+        opened = taken_over(totals.drop("_before"), before, on).withColumn("_open", F.col("_open") + F.col("_before"))
+        carry = carried(opened, ["doc_id"], "_block", {"_open": "max"})
+        whole = taken_over(own, carry, on)
+        return whole.withColumn("_c", F.col("_c") + F.col("_before")).withColumn("_c0", F.coalesce(F.col("_c0") + F.col("_before"), "_open")).drop("_before", "_open")
+
+    n = by_length(words, lambda of: counted(of, in_order()), blocked)
     inside = ~F.col("stop") & (F.col("_c") - F.col("_c0")).between(1, scope)
     turned = F.when(F.coalesce(inside, F.lit(False)), -F.col("polarity")).otherwise(F.col("polarity")) + F.lit(0.0)
     return n.withColumn("polarity", turned).drop("_c", "_c0")

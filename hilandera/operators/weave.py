@@ -70,17 +70,23 @@ def passages(words: DataFrame, a: str, b: str, window: int = C.WINDOW, most: int
     words; a passage reaches `context` words to either side. Scan order is by the first, then the
     second place; equal spans count once.
     """
+    reach = 3 * window
     hits = words.filter((~F.col("stop")) & F.col("lemma").isin(a, b)).select("doc_id", "i", "lemma")
     n = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    other = hits.select("doc_id", F.col("i").alias("j"), F.col("lemma").alias("lemma_j"))
+    # a hit meets those of its own bucket of `reach` places and of the two beside it
+    bucket = F.floor(F.col("i") / reach).cast("bigint")
+    left = hits.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    right = hits.select("doc_id", bucket.alias("bucket"), F.col("i").alias("j"), F.col("lemma").alias("lemma_j"))
     # the same lemma on both sides counts if a and b are one word
     fits = (F.col("lemma") != F.col("lemma_j")) if a != b else (F.col("i") != F.col("j"))
-    pairs = hits.join(other, "doc_id").filter(fits & F.abs(F.col("i") - F.col("j")).between(1, 3 * window)).join(n, "doc_id")
+    pairs = left.join(right, ["doc_id", "bucket"]).filter(fits & F.abs(F.col("i") - F.col("j")).between(1, reach)).join(n, "doc_id")
     start = F.greatest(F.least("i", "j") - context, F.lit(0))
     end = F.least(F.greatest("i", "j") + context + 1, F.col("n"))
     spans = pairs.groupBy("doc_id", start.cast("bigint").alias("start"), end.cast("bigint").alias("end")).agg(F.min(F.struct("i", "j")).alias("at"))
     order = Window.partitionBy("doc_id").orderBy("at")
     first = spans.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= most).drop("at")
-    inside = first.join(words, "doc_id").filter((F.col("i") >= F.col("start")) & (F.col("i") < F.col("end")))
+    # the few places of the few spans, then the words there
+    places = first.withColumn("i", F.explode(F.sequence("start", F.col("end") - 1)))
+    inside = words.select("doc_id", "i", "surface").join(places, ["doc_id", "i"])
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "surface"))), lambda x: x["surface"]), " ")
     return inside.groupBy("doc_id", "rank", "start", "end").agg(text.alias("passage"))

@@ -606,7 +606,7 @@ def stack_weave(spark, d):
 def find_passages(spark, d):
     annotated = tok.annotate(tok.tokenize(es(spark, d)))
     top = [r["lemma"] for r in tok.content(annotated).groupBy("lemma").count().orderBy(F.desc("count"), "lemma").limit(2).collect()]
-    words = annotated.filter("type = 'w'").withColumn("i", (F.row_number().over(tok.in_order()) - 1).cast("bigint"))
+    words = tok.words(annotated)
     a, b = (top + ["", ""])[:2]
     return weave.passages(words, a, b)
 

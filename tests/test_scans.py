@@ -11,7 +11,7 @@ def test_totals_are_carried(spark, fan):
     rng = random.Random(fan)
     rows = [(k, b, rng.randint(-9, 9), rng.choice([None, rng.randint(0, 99)]), rng.choice([None, f"v{b}"])) for k in ("a", "b", None) for b in range(60) if rng.random() < 0.8]
     totals = spark.createDataFrame(rows, "k string, block long, n long, top long, seen string")
-    got = {(r.k, r.block): (r.n, r.top, r.seen) for r in carried(totals, ["k"], "block", {"n": "sum", "top": "max", "seen": "last"}, fan).collect()}
+    got = {(r.k, r.block): (r.n, r.top, r.seen) for r in carried(totals, ["k"], "block", {"n": "sum", "top": "max", "seen": "last"}, fan, nulls=True).collect()}
     assert len(got) == len(rows)
     for k, b, *_ in rows:
         before = [r for r in rows if r[0] == k and r[1] < b]
@@ -22,5 +22,5 @@ def test_totals_are_carried(spark, fan):
 def test_blocks_take_over_by_null_keys_too(spark):
     rows = spark.createDataFrame([(None, 0, 1), (None, 1, 2), ("a", 0, 3)], "k string, block long, v long")
     carry = rows.groupBy("k", "block").agg(F.sum("v").alias("base"))
-    assert sorted(map(str, taken_over(rows, carry, ["k", "block"]).collect())) == sorted(map(str, rows.withColumn("base", F.col("v")).collect()))
+    assert sorted(map(str, taken_over(rows, carry, ["k", "block"], nulls=True).collect())) == sorted(map(str, rows.withColumn("base", F.col("v")).collect()))
     assert carried(carry.limit(0), ["k"], "block", {"base": "sum"}).count() == 0
