@@ -43,11 +43,11 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     made = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("at", F.monotonically_increasing_id())
     # the write fixes the ranges, however often they are read again
     made = stored(made.withColumn("part", F.shiftright("at", 33)), "turns")
-    parts = made.groupBy(group, "part").agg(F.min("at").alias("begin"), F.count(F.lit(1)).alias("n"))
+    parts = stored(made.groupBy(group, "part").agg(F.min("at").alias("begin"), F.count(F.lit(1)).alias("n")), "turns")
     base = carried(parts.groupBy("part").agg(F.sum("n").alias("base")).withColumn("all", F.lit(0)), ["all"], "part", {"base": "sum"}).drop("all")
     before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = taken_over(parts.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))), base, ["part"]).drop("n")
-    whole = taken_over(made, parts, [group, "part"])
+    whole = taken_over(made, parts, [group, "part"], nulls=True)
     p, at = F.col("at") - F.col("begin") + F.col("earlier"), F.col("base") + F.col("at").bitwiseAND(F.lit(_WITHIN))
     return whole.select(*rows.columns, at.alias("id"), (at - p).alias("first"), p.alias("p"))
 
@@ -90,8 +90,9 @@ def bounded(turns: DataFrame) -> DataFrame:
     own = F.when(faulty, F.greatest(F.col("repair"), F.col("arrival")) + F.array_max(held)).otherwise(F.col("arrival"))
     rows = turns.withColumn("block", F.floor(F.col("p") / BLOCK).cast("long")).withColumn("delay", delay.cast("long")).withColumn("own", own)
     to_here = Window.partitionBy("first", "block").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("s", F.sum("delay").over(to_here)).withColumn("m", F.max(F.col("own") - F.col("s")).over(to_here)).drop("delay", "own")
-    totals = rows.groupBy("first", "block").agg(F.max("s").alias("s0"), F.max("m").alias("top"))
+    # several tables follow from the rows, and more from the totals
+    rows = stored(rows.withColumn("s", F.sum("delay").over(to_here)).withColumn("m", F.max(F.col("own") - F.col("s")).over(to_here)).drop("delay", "own"), "bounds")
+    totals = stored(rows.groupBy("first", "block").agg(F.max("s").alias("s0"), F.max("m").alias("top")), "bounds")
     sums = carried(totals.drop("top"), ["first"], "block", {"s0": "sum"})
     tops = taken_over(totals.drop("s0"), sums, ["first", "block"]).withColumn("m0", F.col("top") - F.col("s0")).drop("top")
     carry = carried(tops, ["first"], "block", {"m0": "max"})
@@ -106,7 +107,7 @@ def deliver(turns: DataFrame) -> DataFrame:
     holds: whether each attempt holds once the fault is repaired.
     """
     nodes = bounded(turns.select("id", "first", "p", "parent", "arrival", "repair", "holds"))
-    ends = times(nodes.select("id", "parent", delivery(F.col("arrival"), F.col("repair"), F.col("holds")).alias("fn"), "latest"))
+    ends = times(stored(nodes.select("id", "parent", delivery(F.col("arrival"), F.col("repair"), F.col("holds")).alias("fn"), "latest"), "nodes"))
     told = turns.join(ends.select(F.col("id").alias("parent"), F.lit(True).alias("known"), F.col("at").alias("since")).hint("merge"), "parent", "left")
     blocked = F.col("known").isNotNull() & F.col("since").isNull()
     start = F.when(~blocked, F.greatest(F.col("arrival"), F.col("since")))
@@ -126,7 +127,7 @@ def released(turns: DataFrame, order: list[str], weight: str) -> DataFrame:
     rows = rows.withColumn("k", F.row_number().over(by_time).cast("long"))
     rows = rows.withColumn("w", F.sum(big(weight)).over(here).cast("decimal(19,0)")).withColumn("kw", F.sum(F.col("k") * F.col(weight)).over(here).cast("decimal(38,0)"))
     rows = stored(rows, "releases")
-    totals = rows.groupBy("first", "span").agg(F.max("k").alias("k0"), F.max("w").alias("w_all"), F.max("kw").alias("kw_all"))
+    totals = stored(rows.groupBy("first", "span").agg(F.max("k").alias("k0"), F.max("w").alias("w_all"), F.max("kw").alias("kw_all")), "releases")
     counts = carried(totals.select("first", "span", "k0"), ["first"], "span", {"k0": "sum"})
     sums = taken_over(totals.drop("k0"), counts, ["first", "span"]).withColumn("s0", (big("k0") * F.col("w_all") + F.col("kw_all")).cast("decimal(38,0)")).drop("w_all", "kw_all")
     carry = carried(sums, ["first"], "span", {"s0": "sum"})
@@ -151,7 +152,7 @@ def digest(conversations: DataFrame) -> DataFrame:
         F.when(h(1) % 101 < 50, arrival + h(2) % 101).alias("repair"),
         F.array(*(h(a + 2) % 3 != 0 for a in range(1, len(ATTEMPTS) + 1))).alias("holds"),
     )
-    done = stored(deliver(turns), "deliveries")
+    done = stored(deliver(stored(turns, "turns")), "deliveries")
     out = ["conv_id", "turn", "status", "attempts", "first_at", "last_at", "release_no", "state"]
     free = done.filter("status = 'delivered'").select("conv_id", "turn", "status", "attempts", "first_at", "last_at", "first", "p", "weight")
     rest = done.filter("status <> 'delivered'").withColumns({"release_no": F.lit(None).cast("long"), "state": F.lit(None).cast("long")})

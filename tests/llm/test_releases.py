@@ -52,7 +52,7 @@ def test_query_equals_the_replay(spark):
 def test_one_long_conversation_and_odd_turns(spark, monkeypatch):
     # several levels of blocks within the long conversation; its states go beyond 64 bits
     monkeypatch.setattr(releases, "BLOCK", 32)
-    monkeypatch.setattr(scans.carried, "__defaults__", (8,))
+    monkeypatch.setattr(scans, "FAN", 8)
     rng = random.Random(4)
     rows = [(9, 3 * i - 500, f"text {rng.randrange(40)}") for i in range(9000)]
     rows += [(None, None, "x"), (None, 3, None), (None, 3, ""), (2, 7, "a"), (2, 7, "a"), (2, 7, "b"), (2, None, "z"), (3, -5, None)]
