@@ -1,9 +1,11 @@
 """Token streams: texts as rows (doc_id, pos), tagged, lemmatized, flagged.
 
 Windows are partitioned by document and ordered by position. A text of more than BLOCK characters is cut
-into parts where tokens end, and its rows carry `long`: whatever runs along such a text (positions,
-paragraphs, numbers of content words, open negations) runs within blocks of BLOCK tokens and is carried
-from block to block, so one huge document keeps many tasks busy. A doc_id is not null and names one text.
+into parts where tokens end: whatever runs along such a text (positions, paragraphs, numbers of content
+words, open negations) runs within blocks of BLOCK tokens and is carried from block to block, so one huge
+document keeps many tasks busy. Where there are such texts, rows tell by `long` whether theirs is one.
+What is carried, a row for each block of a long text, is checkpointed, as several plans read it. A
+doc_id is not null and names one text.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hilandera import constants as C
+from hilandera.functions.lineage import cut
 from hilandera.functions.scans import carried, taken_over
 from hilandera.functions.text import SPACE, TOKEN, WORD, part, straight_quotes, suffix_tag
 
 #: Characters of a text, and tokens of a block, beyond which a text is analysed in blocks.
-BLOCK = 1 << 16
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -61,7 +64,7 @@ def numbered(rows: DataFrame, out: str) -> DataFrame:
     """rows (doc_id, pos) numbered from 0 in each document."""
 
     def blocked(of: DataFrame) -> DataFrame:
-        before = carried(of.groupBy("doc_id", "_block").agg(F.count(F.lit(1)).alias("_before")), ["doc_id"], "_block", {"_before": "sum"})
+        before = carried(cut(of.groupBy("doc_id", "_block").agg(F.count(F.lit(1)).alias("_before"))), ["doc_id"], "_block", {"_before": "sum"})
         own = of.withColumn(out, F.row_number().over(in_block()) - 1)
         return taken_over(own, before, ["doc_id", "_block"]).withColumn(out, (F.col(out) + F.col("_before")).cast("bigint")).drop("_before")
 
@@ -78,24 +81,28 @@ def _breaks(raw: Column) -> Column:
     return F.contains(raw, F.lit("\n\n")) | F.contains(raw, F.lit("\r\n\r\n"))
 
 
-def tokenize(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, raw, type (w word, s space, p paragraph break, x other), para, long.
+def tokenize(docs: DataFrame, blocks: bool | None = None) -> DataFrame:
+    """doc_id, pos, raw, type (w word, s space, p paragraph break, x other), para, and long if there are long texts.
 
-    The raw tokens of a text, put together, are the text with straight quotes.
+    The raw tokens of a text, put together, are the text with straight quotes. blocks: whether there
+    are long texts; by default one is looked for, which a single one found ends.
     """
     text = straight_quotes("text")
     tokens_of = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
     size, so_far = F.length("text"), F.sum((F.col("type") == "p").cast("bigint"))
-    short = _kinds(docs.filter(size <= BLOCK).select("doc_id", F.posexplode(tokens_of(text)).alias("pos", "raw")))
-    short = short.withColumn("para", so_far.over(in_order().rowsBetween(Window.unboundedPreceding, 0))).withColumn("long", F.lit(False))
+    blocks = not docs.filter(size > BLOCK).isEmpty() if blocks is None else blocks
+    short = _kinds((docs.filter(size <= BLOCK) if blocks else docs).select("doc_id", F.posexplode(tokens_of(text)).alias("pos", "raw")))
+    short = short.withColumn("para", so_far.over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    if not blocks:
+        return short
     # parts are dealt out before their tokens are rows
     parts = docs.filter(size > BLOCK).select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(part(BLOCK)), F.lit(0))).alias("_part", "part")).repartition("doc_id", "_part")
     sizes = parts.select("doc_id", "_part", F.size(tokens_of(F.col("part"))).cast("bigint").alias("_at"), F.size(F.filter(tokens_of(F.col("part")), _breaks)).cast("bigint").alias("_para"))
-    placed = taken_over(parts, carried(sizes, ["doc_id"], "_part", {"_at": "sum", "_para": "sum"}), ["doc_id", "_part"])
+    placed = taken_over(parts, carried(cut(sizes), ["doc_id"], "_part", {"_at": "sum", "_para": "sum"}), ["doc_id", "_part"])
     long = _kinds(placed.select("doc_id", "_part", "_at", "_para", F.posexplode(tokens_of(F.col("part"))).alias("pos", "raw")))
     here = so_far.over(Window.partitionBy("doc_id", "_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    long = long.withColumn("para", F.col("_para") + here).withColumn("pos", F.col("_at") + F.col("pos")).withColumn("long", F.lit(True))
-    return short.unionByName(long.select(*short.columns))
+    long = long.withColumn("para", F.col("_para") + here).withColumn("pos", F.col("_at") + F.col("pos"))
+    return short.withColumn("long", F.lit(False)).unionByName(long.select(*short.columns, F.lit(True).alias("long")))
 
 
 def tag(words: DataFrame, word: str, assets: Assets, out: str = "tag") -> DataFrame:
@@ -179,7 +186,7 @@ def negate(words: DataFrame, scope: int = C.NEGATION_SCOPE) -> DataFrame:
     def blocked(of: DataFrame) -> DataFrame:
         # content words before the block, and how many there were at the last negation
         own, on = counted(of, in_block()), ["doc_id", "_block"]
-        totals = own.groupBy(*on).agg(F.max("_c").alias("_before"), F.max("_c0").alias("_open"))
+        totals = cut(own.groupBy(*on).agg(F.max("_c").alias("_before"), F.max("_c0").alias("_open")))
         before = carried(totals.drop("_open"), ["doc_id"], "_block", {"_before": "sum"})
         opened = taken_over(totals.drop("_before"), before, on).withColumn("_open", F.col("_open") + F.col("_before"))
         carry = carried(opened, ["doc_id"], "_block", {"_open": "max"})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hilandera import constants as C
 from hilandera.functions.lineage import cut
-from hilandera.operators.graph import distances, expand_seeds, pair_activation
+from hilandera.operators.graph import Hops, edges_of, in_corpus, labelled, nowhere, reach
 from hilandera.operators.stats import cooccurrence
 from hilandera.operators.tokens import Assets
 
@@ -20,27 +20,35 @@ def terms_of(seeds: DataFrame, expansions: DataFrame, freqs: DataFrame) -> DataF
     return every.withColumn("rank", F.row_number().over(order).cast("bigint")).drop("ord")
 
 
-def cells(content: DataFrame, terms: DataFrame, freqs: DataFrame, assets: Assets, depth: int = C.DEPTH, decay: float = C.DECAY, flow: str = C.FLOW, window: int = C.WINDOW) -> DataFrame:
-    """doc_id, a, b, cooc, activ, prox for every ordered pair of a document's terms (a few dozen)."""
+def cells(content: DataFrame, terms: DataFrame, freqs: DataFrame, assets: Assets, depth: int = C.DEPTH, decay: float = C.DECAY, flow: str = C.FLOW, window: int = C.WINDOW, hops: Hops | None = None) -> DataFrame:
+    """doc_id, a, b, cooc, activ, prox for every ordered pair of a document's terms (a few dozen).
+
+    One walk of 2 * depth hops from the terms serves proximity and, where it follows all relations,
+    activation; hops: what has been walked already.
+    """
     words = terms.select("doc_id", "word").distinct()
-    grid = words.withColumnRenamed("word", "a").join(words.withColumnRenamed("word", "b"), "doc_id")
+    own = words.join(freqs.select("doc_id", F.col("lemma").alias("word"), "freq"), ["doc_id", "word"], "left")
+    grid = own.select("doc_id", F.col("word").alias("a"), F.col("freq").alias("_fa")).join(own.select("doc_id", F.col("word").alias("b"), F.col("freq").alias("_fb")), "doc_id")
     together = cooccurrence(content, words.withColumnRenamed("word", "lemma"), window)
-    act = pair_activation(freqs, words, assets, depth, decay, flow) if assets.edges is not None else None
     grid = grid.join(together, ["doc_id", "a", "b"], "left").withColumn("cooc", F.coalesce("n", F.lit(0))).drop("n")
-    if act is None:
-        grid = grid.withColumn("activ", F.lit(0.0))
-    else:
-        for k, (a, b) in (("_x", "ab"), ("_y", "ba")):
-            grid = grid.join(act.select("doc_id", F.col("seed").alias(a), F.col("target").alias(b), F.col("score").alias(k)), ["doc_id", "a", "b"], "left")
-        grid = grid.withColumn("activ", F.greatest(F.coalesce("_x", F.lit(0.0)), F.coalesce("_y", F.lit(0.0)))).drop("_x", "_y")
-    d = distances(words.withColumnRenamed("word", "a").join(words.withColumnRenamed("word", "b"), "doc_id").select("a", "b").distinct(), assets, 2 * depth)
-    return grid.join(d, ["a", "b"]).select("doc_id", "a", "b", "cooc", "activ", F.when(F.col("d") >= 0, 1 / (1 + F.col("d"))).otherwise(0.0).alias("prox"))
+    if assets.edges is None:
+        return grid.select("doc_id", "a", "b", "cooc", F.lit(0.0).alias("activ"), F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0).alias("prox"))
+    starts = words.select(F.col("word").alias("seed"))
+    walked = (hops or nowhere(assets)).extended(starts, 2 * depth).table
+    led = walked.filter(F.col("h") <= depth) if flow == "bi" else reach(starts, edges_of(assets, flow), depth, words)
+    for k, (a, b) in (("_x", "ab"), ("_y", "ba")):
+        energy = F.pow(F.lit(decay), "h") * F.col(f"_f{a}")
+        grid = grid.join(led.select(F.col("seed").alias(a), F.col("target").alias(b), "h"), ["a", "b"], "left").withColumn(k, F.coalesce(energy, F.lit(0.0))).drop("h")
+    near = walked.select(F.col("seed").alias("a"), F.col("target").alias("b"), F.col("h").alias("d"))
+    prox = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce(1 / (1 + F.col("d")), F.lit(0.0)))
+    return grid.join(near, ["a", "b"], "left").select("doc_id", "a", "b", "cooc", F.greatest("_x", "_y").alias("activ"), prox.alias("prox"))
 
 
 def weave(content: DataFrame, seeds: DataFrame, freqs: DataFrame, assets: Assets, **params) -> tuple[DataFrame, DataFrame]:
-    """(terms, cells) for the seeds (ord, word)."""
-    terms = cut(terms_of(seeds, expand_seeds(seeds, freqs, assets, params.get("depth", C.DEPTH)), freqs))
-    return terms, cells(content, terms, freqs, assets, **params)
+    """(terms, cells) for the seeds (ord, word). The seeds' walk for the terms is extended for the cells."""
+    paths, hops = labelled(seeds, assets, params.get("depth", C.DEPTH))
+    terms = cut(terms_of(seeds, in_corpus(paths, freqs), freqs))
+    return terms, cells(content, terms, freqs, assets, **params, hops=hops)
 
 
 def cell_maxima(of: DataFrame) -> DataFrame:
