@@ -41,7 +41,7 @@ CHUNK, OVERLAP, WIDER = 1 << 15, 1 << 10, 4
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 2 << 20
 LIMIT = 4096
-_TOKENS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("id", pa.int64())]))
+_TOKENS = pa.list_(pa.int64())
 _NUMBERED = [("uid", pa.int64()), ("i", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_())]
 _CUT = pa.schema([*_NUMBERED, ("base", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string())])
 _ENCODED = pa.schema([*_NUMBERED, ("n", pa.int64()), ("head", _TOKENS), ("tail", _TOKENS), ("tail_at", pa.int64())])
@@ -100,8 +100,9 @@ def encoded(row: dict, model, overlap: int) -> dict:
     tail_at = len(pieces)
     while not row["last"] and tail_at and pieces[tail_at - 1][0] >= row["stop"] - overlap:
         tail_at -= 1
-    named = lambda part: [dict(zip(("start", "stop", "id"), p, strict=True)) for p in part]
-    return {"uid": row["uid"], "i": row["i"], "first": row["first"], "last": row["last"], "n": len(pieces), "head": named(head), "tail": named(pieces[tail_at:]), "tail_at": tail_at}
+    # a token's place and kind in one number; one without width is one of several bytes of a character and no place
+    named = lambda part, none: [start << 24 | kind if stop > start else none for start, stop, kind in part]
+    return {"uid": row["uid"], "i": row["i"], "first": row["first"], "last": row["last"], "n": len(pieces), "head": named(head, -1), "tail": named(pieces[tail_at:], -2), "tail_at": tail_at}
 
 
 def _encode(batches, path: str, overlap: int):
@@ -118,9 +119,7 @@ def spliced(parts: DataFrame) -> DataFrame:
     shares none."""
     left = parts.filter(~F.col("last")).select("uid", F.col("i").alias("at"), "tail", "tail_at")
     right = parts.filter(~F.col("first")).select("uid", (F.col("i") - 1).alias("at"), "head")
-    # a token without width is one of several bytes of a character: it does not mark a place
-    wide = lambda c: F.filter(c, lambda t: t["stop"] > t["start"])
-    shared = left.join(right, ["uid", "at"]).withColumn("token", F.try_element_at(F.array_intersect(wide("tail"), wide("head")), F.lit(1)))
+    shared = left.join(right, ["uid", "at"]).withColumn("token", F.try_element_at(F.array_intersect("tail", "head"), F.lit(1)))
     place = shared.select(
         "uid",
         "at",

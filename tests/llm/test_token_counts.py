@@ -30,7 +30,7 @@ def by_splices(text, model, size, overlap):
     rows = [token_counts.encoded({"uid": 0, "i": i, "first": i == 0, "last": stop == len(data), "base": base, "start": start, "stop": stop, "text": part.decode()}, model, overlap) for i, base, start, stop, part in parts]
     total, behind = 0, 0
     for a, b in zip(rows, rows[1:], strict=False):
-        shared = [t for t in a["tail"] if t["stop"] > t["start"] and t in b["head"]]
+        shared = [t for t in a["tail"] if t in b["head"]]
         if not shared:
             return None
         total += a["tail_at"] + a["tail"].index(shared[0]) + 1 - behind
