@@ -56,6 +56,13 @@ def columns(spark: SparkSession, view: View = View()) -> DataFrame:
     return c.select("col", (F.col("col") + view.start).alias("seg"), view.x(F.col("col")).cast("double").alias("x"))
 
 
+def columns_of(docs: DataFrame, view: View = View()) -> DataFrame:
+    """doc_id, col, seg, x of each visible segment of each document."""
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(view.columns - 1).cast("bigint")) if view.columns else F.array().cast("array<bigint>")
+    c = docs.select("doc_id", F.explode(places).alias("col"))
+    return c.select("doc_id", "col", (F.col("col") + view.start).alias("seg"), view.x(F.col("col")).cast("double").alias("x"))
+
+
 def nodes(grid: DataFrame, words: DataFrame, maxima: DataFrame, view: View = View()) -> DataFrame:
     """doc_id, word, rank (from 0), col, seg, x, y, w, h, opacity, is_real of each word in each visible segment."""
     n = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))

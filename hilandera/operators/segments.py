@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hilandera import constants as C
+from hilandera.functions.scans import carried, taken_over
 from hilandera.operators.stats import ngrams
-from hilandera.operators.vectors import similarities
+from hilandera.operators.vectors import alike
+
+#: Content words that share a bucket of bounds, and parts whose sizes are summed in one block.
+BUCKET, PARTS = 64, 4096
 
 
 def equal_segments(content: DataFrame, n: int = C.SEGMENTS) -> DataFrame:
@@ -18,18 +22,27 @@ def equal_segments(content: DataFrame, n: int = C.SEGMENTS) -> DataFrame:
 
 
 def custom_segments(content: DataFrame, bounds: DataFrame) -> DataFrame:
-    """content with seg and label, from bounds (doc_id, seg, label, start_token, end_token; the end excluded)."""
+    """content with seg and label, from bounds (doc_id, seg, label, start_token, end_token; the end excluded).
+
+    Bounds are dealt to the buckets of BUCKET places that they touch, so a word meets the few of its own
+    bucket. Bounds may overlap: a word is in each of its segments.
+    """
+    first, last = (F.floor(c / BUCKET).cast("bigint") for c in (F.col("start_token"), F.col("end_token") - 1))
+    dealt = bounds.filter("end_token > start_token").withColumn("_bucket", F.explode(F.sequence(first, last)))
     inside = (F.col("cpos") >= F.col("start_token")) & (F.col("cpos") < F.col("end_token"))
-    return content.join(bounds, "doc_id").filter(inside).drop("start_token", "end_token")
+    return content.withColumn("_bucket", F.floor(F.col("cpos") / BUCKET).cast("bigint")).join(dealt, ["doc_id", "_bucket"]).filter(inside).drop("start_token", "end_token", "_bucket")
 
 
 def bounds_of(parts: DataFrame, content: DataFrame) -> DataFrame:
     """Bounds for custom_segments from parts (doc_id, part, label) of texts that were cut at markers and
-    the content (doc_id, part, ...) of each: running sums of the parts' content words."""
+    the content (doc_id, part, ...) of each: running sums of the parts' content words, in blocks of parts."""
     n = content.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n"))
     sized = parts.select("doc_id", "part", "label").join(n, ["doc_id", "part"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    end = F.sum("n").over(Window.partitionBy("doc_id").orderBy("part"))
-    return sized.withColumn("end_token", end).select("doc_id", F.col("part").alias("seg"), "label", (F.col("end_token") - F.col("n")).alias("start_token"), "end_token")
+    sized = sized.withColumn("_block", F.floor(F.col("part") / PARTS).cast("bigint"))
+    before = carried(sized.groupBy("doc_id", "_block").agg(F.sum("n").alias("_base")), ["doc_id"], "_block", {"_base": "sum"})
+    own = F.sum("n").over(Window.partitionBy("doc_id", "_block").orderBy("part"))
+    whole = taken_over(sized.withColumn("end_token", own), before, ["doc_id", "_block"]).withColumn("end_token", F.col("end_token") + F.col("_base"))
+    return whole.select("doc_id", F.col("part").alias("seg"), "label", (F.col("end_token") - F.col("n")).alias("start_token"), "end_token")
 
 
 def all_segments(docs: DataFrame, n: int = C.SEGMENTS) -> DataFrame:
@@ -81,12 +94,12 @@ def word_grid(words: DataFrame, segments: DataFrame, counts: DataFrame, relevanc
     grid = words.select("doc_id", "word").join(segments, "doc_id").join(counts, ["doc_id", "seg", "word"], "left")
     grid = grid.withColumns({"freq": F.coalesce(F.col("freq").cast("double"), F.lit(0.0)), "norm_freq": F.coalesce("norm_freq", F.lit(0.0))})
     if vectors is not None:
-        # each pair of words is compared once a document, and only pairs with vectors
+        # pairs of words with vectors; the same pair of many documents is compared once
         known = vectors.select(F.col("word").alias("b")).distinct()
         lemmas = counts.select("doc_id", F.col("word").alias("b")).distinct().join(known, "b", "left_semi")
         pairs = words.select("doc_id", F.col("word").alias("a")).join(known.withColumnRenamed("b", "a"), "a", "left_semi").join(lemmas, "doc_id")
-        alike = similarities(pairs, vectors).filter(F.col("sim") > least)
-        lent = alike.join(counts.withColumnRenamed("word", "b"), ["doc_id", "b"])
+        near = pairs.join(alike(pairs.select("a", "b"), vectors, least), ["a", "b"])
+        lent = near.join(counts.withColumnRenamed("word", "b"), ["doc_id", "b"])
         amount = F.col("sim") * F.col("freq") * decay
         best = lent.groupBy("doc_id", "seg", F.col("a").alias("word")).agg(F.max(amount).alias("boost"), F.max_by(F.col("sim") * F.col("norm_freq") * decay, amount).alias("norm_boost"))
         grid = grid.join(best, ["doc_id", "seg", "word"], "left")

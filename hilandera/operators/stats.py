@@ -32,6 +32,12 @@ def top(freqs: DataFrame, n: int = C.TOP_N) -> DataFrame:
     return freqs.filter(F.col("rank") <= n)
 
 
+def maxima(freqs: DataFrame, relevance: DataFrame) -> DataFrame:
+    """doc_id, max_freq, max_rel: what views divide by; a relevance of 0 counts as 1."""
+    both = freqs.select("doc_id", "lemma", "freq").join(relevance.select("doc_id", "lemma", "rel"), ["doc_id", "lemma"], "left")
+    return both.groupBy("doc_id").agg(F.max("freq").alias("max_freq"), F.coalesce(F.nullif(F.max("rel"), F.lit(0.0)), F.lit(1.0)).alias("max_rel"))
+
+
 def in_blocks(sequence: DataFrame, reach: int, by: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, Window]:
     """sequence in blocks of BLOCK places (_block), each with the `reach` places behind it (_own false),
     and the order within blocks: windows that look so far ahead find what a whole sequence has."""

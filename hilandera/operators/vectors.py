@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a vector whose norms bound its similarities.
+PARTS = 8
 #: Query vectors that go through the blocks together, about.
 QUERY_ROWS = 2000
 
@@ -28,6 +30,27 @@ def similarities(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(va, "a", "left").join(vb, "b", "left").withColumn("sim", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
+def profile(vec: Column, parts: int = PARTS) -> Column:
+    """The norms of a vector's parts over its own norm; null for a zero vector."""
+    squares = F.transform(vec, lambda x: x.cast("double") * x.cast("double"))
+    width = F.greatest(F.ceil(F.size(vec) / parts), F.lit(1)).cast("int")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total(squares) > 0, F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.sqrt(total(F.slice(squares, k * width + 1, width)) / total(squares))))
+
+
+def alike(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """a, b, sim of the distinct pairs (a, b) whose similarity is above `least` (0 or more).
+
+    A pair is compared once, whoever asks for it. By Cauchy and Schwarz a cosine is no larger than the sum
+    of products of the two vectors' profiles; pairs that this leaves below `least` never meet their vectors.
+    """
+    forms = vectors.select("word", profile(F.col("vec")).alias("form")).filter("form is not null")
+    one, two = (forms.select(F.col("word").alias(k), F.col("form").alias(f"_{k}")) for k in "ab")
+    bound = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").filter(bound > least - 1e-9).select("a", "b")
+    return similarities(near, vectors).filter(F.col("sim") > least)
+
+
 def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, among: DataFrame | None = None) -> DataFrame:
     """word, other, sim, rank: the k nearest of all words (or those of `among`) to each query word.
 

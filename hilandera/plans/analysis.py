@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hilandera import constants as C
 from hilandera.operators import graph, segments, stats, vectors
 from hilandera.operators import tokens as tok
 from hilandera.operators.tokens import Assets
+from hilandera.sources import assets as tables
 from hilandera.sources.texts import without_segment_markers
 
 
@@ -92,6 +94,45 @@ def analyze(docs: DataFrame, assets: Assets = Assets(), params: Params = Params(
     return first, stage2(first, assets, p.depth, p.decay, p.flow).persist()
 
 
+class Stage1Store:
+    """Stage 1 by text: a folder that keeps what was analysed, under the digest of each text.
+
+    refresh() analyses the texts that the folder does not have, each distinct one once, and keeps them as a
+    run of its own; the run's digests are listed last, so a run that fails leaves nothing behind that is
+    read. Results depend on the text, the lexicons and top_n alone: a folder is for one choice of these.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, assets: Assets = Assets(), top_n: int = C.TOP_N):
+        self.spark, self.folder, self.assets, self.top_n = spark, folder, assets, top_n
+
+    def known(self) -> DataFrame:
+        """digest, run: where each text's results are; of runs that met the first by name counts."""
+        none = self.spark.createDataFrame([], "digest string, run string")
+        listed = tables.get(self.spark, self.folder, "runs")
+        return none if listed is None else listed.groupBy("digest").agg(F.min("run").alias("run"))
+
+    def refresh(self, docs: DataFrame) -> tuple[Stage1, DataFrame]:
+        """(stage 1 of docs (doc_id, text), the digests of the texts that were analysed for it)."""
+        keyed = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+        run = uuid.uuid4().hex
+        texts = keyed.select("digest", "text").dropDuplicates(["digest"]).join(self.known(), "digest", "left_anti")
+        new = tables.kept(texts.select(F.col("digest").alias("doc_id"), "text"), self.folder, f"{run}/texts")
+        if not new.isEmpty():
+            part = stage1(new, self.assets, self.top_n)
+            for f in fields(Stage1):
+                tables.kept(getattr(part, f.name), self.folder, f"{run}/{f.name}")
+            new.select(F.col("doc_id").alias("digest"), F.lit(run).alias("run")).write.mode("append").parquet(f"{self.folder}/runs")
+        at = keyed.select("doc_id", "digest").join(self.known(), "digest")
+        return Stage1(**{f.name: self._of(at, f.name) for f in fields(Stage1)}), new.select(F.col("doc_id").alias("digest"))
+
+    def _of(self, at: DataFrame, name: str) -> DataFrame:
+        """The rows of docs in one of the tables."""
+        path = F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/[^/]+/[^/]+$", 1)
+        every = self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/*/{name}")
+        rows = every.select(F.col("doc_id").alias("digest"), path.alias("run"), *(c for c in every.columns if c != "doc_id"))
+        return at.join(rows, ["digest", "run"]).select("doc_id", *(c for c in every.columns if c != "doc_id"))
+
+
 @dataclass(frozen=True)
 class SegmentView:
     segmented: DataFrame

@@ -616,9 +616,9 @@ def find_passages(spark, d):
 _VIEW = layout.View()
 
 
-@query(f"SELECT range AS col, range + {_VIEW.start} AS seg, {_VIEW.left} + range / {_VIEW.columns - 1} * {_VIEW.chart_width} AS x FROM range({_VIEW.columns})")
+@query(f"SELECT doc_id, range AS col, range + {_VIEW.start} AS seg, {_VIEW.left} + range / {_VIEW.columns - 1} * {_VIEW.chart_width} AS x FROM documents, range({_VIEW.columns}) WHERE lang = 'es'")
 def layout_columns(spark, d):
-    return layout.columns(spark)
+    return layout.columns_of(es(spark, d))
 
 
 def _nodes_sql(v: layout.View) -> tuple[str, ...]:
@@ -701,9 +701,10 @@ def arousal_line(spark, d):
     return layout.arousal_line(segments.segment_tone(w.segmented), segments.all_segments(w.docs)).select("doc_id", "seg", *six("x", "y"))
 
 
-@query(f"SELECT range AS x, greatest(0, least(floor(range / 800 * {C.SEGMENTS}) - 2, {C.SEGMENTS - 4}))::BIGINT AS start FROM range(800)")
+@query(f"SELECT click_id, greatest(0, least(floor((click_id % 800) / 800 * {C.SEGMENTS}) - 2, {C.SEGMENTS - 4}))::BIGINT AS start FROM clicks")
 def minimap_click(spark, d):
-    return spark.range(800).select(F.col("id").alias("x"), layout.window_start(F.col("id"), 800.0, size=4).alias("start"))
+    """The window that each click asks for, its place on the minimap following from its number."""
+    return table(spark, d, "clicks").select("click_id", layout.window_start(F.col("click_id") % 800, 800.0, size=4).alias("start"))
 
 
 @query(

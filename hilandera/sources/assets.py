@@ -107,6 +107,12 @@ def put(df: DataFrame, folder: str, key: str) -> bool:
     return True
 
 
+def kept(df: DataFrame, folder: str, key: str) -> DataFrame:
+    """A table kept under a key that has none yet, read back from there; it fails if it can't be written."""
+    df.write.parquet(f"{folder}/{key}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{key}")
+
+
 def get(spark: SparkSession, folder: str, key: str) -> DataFrame | None:
     """The table kept under a key; None if there is none."""
     try:

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 REPO = Path(__file__).parent.parent
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["top_lemmas", "para_index", "bigrams", "cooc_topn", "negation_scope", "segment_ngrams", "spread_activation", "expand_seeds", "weave_cells", "find_passages", "layout_nodes", "doc_split", "most_similar"]
+SAMPLE = ["top_lemmas", "para_index", "bigrams", "cooc_topn", "negation_scope", "segment_ngrams", "spread_activation", "expand_seeds", "weave_cells", "find_passages", "layout_nodes", "doc_split", "most_similar", "turn_segments", "csv_communities", "tei_communities", "report_communities", "layout_by_relevance"]
 
 
 def test_names():
