@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hilandera.functions.lineage import cut
 
 #: Parts of a vector whose norms bound its similarities.
 PARTS = 8
-#: Query vectors that go through the blocks together, about.
-QUERY_ROWS = 2000
+#: Blocks of a search; vectors and queries that meet in one task, about.
+PIVOTS, GROUP_ROWS, QUERY_ROWS = 64, 4096, 2000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -51,48 +51,136 @@ def alike(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return similarities(near, vectors).filter(F.col("sim") > least)
 
 
-def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, among: DataFrame | None = None) -> DataFrame:
-    """word, other, sim, rank: the k nearest of all words (or those of `among`) to each query word.
+@dataclass(frozen=True)
+class Blocks:
+    """Vectors (word, vec, block) in blocks around PIVOTS of them, with each block's covering angle.
 
-    Vectors go through in blocks against the queries' matrix; each block keeps its k best for a query,
-    ties by the word. The queries are a stated set, taken QUERY_ROWS at a time: that many vectors at
-    most are on the driver and in a task.
+    centres: unit vectors, a row for each block but the last, which holds the zero vectors; angle, size: by
+    block, -1 and 0 for an empty one. All three are bounded by PIVOTS.
     """
-    asked = queries.select("word").distinct().join(vectors, "word")
-    n = math.ceil(asked.count() / QUERY_ROWS)
-    if n > 1:
-        part = F.pmod(F.xxhash64("word"), F.lit(n))
-        return reduce(DataFrame.unionByName, (_nearest(asked.filter(part == i), vectors, k, among) for i in range(n)))
-    return _nearest(asked, vectors, k, among)
-
-
-def _nearest(asked: DataFrame, vectors: DataFrame, k: int, among: DataFrame | None) -> DataFrame:
-    q = asked.select("word", "vec").orderBy("word").toPandas()
-    if q.empty:
-        return vectors.select("word", F.col("word").alias("other"), F.lit(0.0).alias("sim"), F.lit(1).cast("bigint").alias("rank")).limit(0)
-    words, matrix = q["word"].tolist(), np.array(q["vec"].tolist(), float)
-    size = np.linalg.norm(matrix, axis=1)
-    kind = dict(vectors.dtypes)["word"]
-    pool = vectors if among is None else vectors.join(among.select("word"), "word", "left_semi")
 
-    def near(frames):
+    rows: DataFrame
+    centres: np.ndarray
+    angle: np.ndarray
+    size: np.ndarray
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """The largest cosine that a vector of each block can have with each row of x; -2 for empty blocks."""
+        apart = np.maximum(_angles(x, self.centres) - self.angle[:-1], 0)
+        out = np.concatenate((np.cos(apart), np.zeros((len(x), 1))), axis=1)
+        out[(x == 0).all(1)] = 0
+        return np.where(self.size > 0, out, -2.0)
+
+
+def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    if not len(centres):
+        return np.zeros((len(x), 0))
+    norms = np.linalg.norm(x, axis=1)[:, None]
+    return np.arccos(np.clip(np.divide(x @ centres.T, norms, out=np.zeros((len(x), len(centres))), where=norms > 0), -1, 1))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), float)
+
+
+def in_blocks(vectors: DataFrame, pivots: int = PIVOTS) -> Blocks:
+    """vectors in blocks. The pivots, a bounded number, are drawn by a hash of the word; blocks are
+    checkpointed, as each search reads them twice."""
+    word = dict(vectors.dtypes)["word"]
+    known = vectors.filter(F.exists("vec", lambda x: x != 0))
+    drawn = known.select(F.xxhash64("word").alias("h"), "vec").orderBy("h").limit(pivots).toPandas()["vec"]
+    centres = np.unique(_matrix(drawn), axis=0) if len(drawn) else np.zeros((0, 1))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+
+    def dealt(frames):
         for f in frames:
-            if not len(f):
-                continue
-            x = np.array(f["vec"].tolist(), float)
-            norms = np.linalg.norm(x, axis=1)[:, None] * size
-            sim = np.divide(x @ matrix.T, norms, out=np.zeros((len(x), len(words))), where=norms > 0)
-            others = f["word"].to_numpy()
-            for j, w in enumerate(words):
-                s = np.where(others == w, -2.0, sim[:, j])
-                # all that tie with the k-th stay in the running, then the smaller words
-                least = np.partition(s, -k)[-k] if len(s) > k else -2.0
-                best = np.flatnonzero((s >= least) & (s > -2))
-                best = best[np.lexsort((others[best], -s[best]))][:k]
-                yield pd.DataFrame({"word": w, "other": others[best], "sim": s[best]})
+            if len(f):
+                x = _matrix(f["vec"])
+                angles = _angles(x, centres) if len(centres) else np.zeros((len(x), 1))
+                zero = (x == 0).all(1)
+                yield pd.DataFrame({"word": f["word"], "vec": f["vec"], "block": np.where(zero, len(centres), angles.argmin(1)), "angle": np.where(zero, 0, angles.min(1))})
 
+    rows = cut(vectors.select("word", "vec").mapInPandas(dealt, f"word {word}, vec array<double>, block int, angle double"))
+    angle, size = np.full(len(centres) + 1, -1.0), np.zeros(len(centres) + 1, int)
+    for r in rows.groupBy("block").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():
+        angle[r["block"]], size[r["block"]] = r["angle"] + 1e-9, r["n"]
+    return Blocks(rows, centres, angle, size)
+
+
+def nearest_blocks(queries: DataFrame, of: Blocks, k: int) -> DataFrame:
+    """queries (word, vec) with bounds (by block) and first: the blocks of the largest bounds that hold
+    more than k vectors together."""
+    word, of = dict(queries.dtypes)["word"], replace(of, rows=None)
+
+    def each(frames):
+        for f in frames:
+            if len(f):
+                bounds = of.bounds(_matrix(f["vec"]))
+                order = np.argsort(-bounds, axis=1, kind="stable")
+                before = np.cumsum(of.size[order], axis=1) - of.size[order]
+                first = [o[(b <= k) & (of.size[o] > 0)].tolist() for o, b in zip(order, before, strict=True)]
+                yield pd.DataFrame({"word": f["word"], "vec": f["vec"], "bounds": bounds.tolist(), "first": first})
+
+    return queries.select("word", "vec").mapInPandas(each, f"word {word}, vec array<double>, bounds array<double>, first array<int>")
+
+
+def other_blocks(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """word, vec, block: the other blocks that can hold one of a query's k nearest, as their bound reaches
+    the k-th of those found (word, sim, rank); all others are skipped."""
+    kth = found.filter(F.col("rank") == k).select("word", F.col("sim").alias("kth"))
+    every = asked.join(kth, "word", "left").select("word", "vec", "first", "kth", F.posexplode("bounds").alias("block", "bound"))
+    reaches = (F.col("bound") > -2) & (F.col("bound") >= F.coalesce("kth", F.lit(-2.0)) - 1e-9)
+    return every.filter(reaches & ~F.array_contains("first", F.col("block"))).select("word", "vec", "block")
+
+
+def _searched(visits: DataFrame, of: Blocks, k: int, query_parts: int) -> DataFrame:
+    """word, other, sim: each visited block's k best for a query, ties by the word. Large blocks are split in
+    parts of some GROUP_ROWS vectors, the queries of a block in query_parts."""
+    word = dict(of.rows.dtypes)["word"]
+    parts = [(b, max(1, -(-int(n) // GROUP_ROWS))) for b, n in enumerate(of.size)]
+    split = F.broadcast(visits.sparkSession.createDataFrame(parts, "block int, parts int"))
+    upto = lambda n: F.sequence(F.lit(0), F.lit(n) - 1 if isinstance(n, int) else n - 1)
+    asked = visits.join(split, "block").withColumn("part", F.explode(upto(F.col("parts")))).withColumn("turn", F.pmod(F.xxhash64("word"), F.lit(query_parts)).cast("int"))
+    held = of.rows.join(split, "block").withColumn("part", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")).withColumn("turn", F.explode(upto(query_parts)))
+    key = ["block", "part", "turn"]
+
+    def near(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(vectors):
+            return pd.DataFrame({"word": queries["word"][:0], "other": vectors["word"][:0], "sim": pd.Series([], dtype=float)})
+        vectors = vectors.sort_values("word")
+        x, q, others, words = _matrix(vectors["vec"]), _matrix(queries["vec"]), vectors["word"].to_numpy(), queries["word"].to_numpy()
+        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+        sim = np.divide(q @ x.T, norms, out=np.zeros(norms.shape), where=norms > 0)
+        sim[words[:, None] == others] = -2
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(sim, best, 1)
+        out = pd.DataFrame({"word": np.repeat(words, best.shape[1]), "other": others[best.ravel()], "sim": value.ravel()})
+        return out[out["sim"] > -2]
+
+    grouped = asked.select(*key, "word", "vec").groupBy(*key).cogroup(held.select(*key, "word", "vec").groupBy(*key))
+    return grouped.applyInPandas(near, f"word {word}, other {word}, sim double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("sim"), "other")).cast("bigint")
-    return pool.select("word", "vec").mapInPandas(near, f"word {kind}, other {kind}, sim double").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.select("word", "other", "sim").withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, among: DataFrame | None = None) -> DataFrame:
+    """word, other, sim, rank: the k nearest of all words (or those of `among`) to each query word.
+
+    Vectors lie in blocks with covering angles. A query first searches the blocks that can be nearest and
+    hold enough; the k-th it finds there tells which others can hold a nearer one, and only those are
+    searched then. Queries stay in tables; the result is exact.
+    """
+    pool = vectors if among is None else vectors.join(among.select("word"), "word", "left_semi")
+    of = in_blocks(pool)
+    asked = queries.select("word").distinct().join(vectors, "word").select("word", "vec")
+    asked = cut(nearest_blocks(asked, of, k))
+    parts = max(1, -(-asked.count() // QUERY_ROWS))
+    found = cut(_ranked(_searched(asked.select("word", "vec", F.explode("first").alias("block")), of, k, parts), k))
+    more = _searched(other_blocks(asked, found, k), of, k, parts)
+    return _ranked(found.select("word", "other", "sim").unionByName(more), k)
 
 
 def cross_links(presence: DataFrame, vectors: DataFrame, least: float = 0.5) -> DataFrame:

@@ -3,9 +3,8 @@ leaves its engine not ready."""
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +25,9 @@ FILES = {
     "vectors": "vectors/vectors-*.bin",
 }
 
+#: Bytes of vectors that are read at a time.
+RANGE_BYTES = 8 << 20
+
 
 def _map(spark: SparkSession, path: str, value: str) -> DataFrame | None:
     """k, v of a JSON object in one file; None if it can't be read."""
@@ -38,44 +40,42 @@ def _map(spark: SparkSession, path: str, value: str) -> DataFrame | None:
 
 def load_vectors(spark: SparkSession, vocabulary: str, parts: str) -> DataFrame | None:
     """word, vec from {dim, dtype, vocab: {word: row}} and raw little-endian parts, in the order of
-    their names; half precision widens to single."""
+    their names; half precision widens to single.
+
+    The parts are one run of bytes, which is read in ranges of some RANGE_BYTES, each by whichever task gets
+    it; a vector may begin in one part and end in the next. Only the parts' names and sizes are on the driver.
+    """
     try:
-        head = spark.read.text(vocabulary, wholetext=True).first()
-        blobs = spark.read.format("binaryFile").load(parts).select("path", "content")
+        head = spark.read.text(vocabulary, wholetext=True).select(F.from_json("value", "dim int, dtype string, vocab map<string,bigint>").alias("m"))
+        listed = spark.read.format("binaryFile").load(parts).select("path", "length").collect()
     except AnalysisException:
         return None
-    meta = json.loads(head[0])
-    dim, dtype = meta["dim"], np.dtype("<f2" if meta.get("dtype") == "float16" else "<f4")
-    # vectors may run over from one part into the next: parts are numbered by their first byte
-    sizes = sorted((r["path"], r["length"]) for r in spark.read.format("binaryFile").load(parts).select("path", "length").collect())
-    starts, at = {}, 0
-    for path, length in sizes:
-        starts[path], at = at, at + length
-    width = dim * dtype.itemsize
-
-    def pieces(frames):
+    meta = head.select("m.dim", "m.dtype").first()
+    dtype = np.dtype("<f2" if meta["dtype"] == "float16" else "<f4")
+    width, files, at = meta["dim"] * dtype.itemsize, [], 0
+    for path, length in sorted((r["path"], r["length"]) for r in listed):
+        files.append((path, at, at + length))
+        at += length
+    rows, step = at // width, max(1, RANGE_BYTES // width)
+    starts = spark.range(0, rows, step, numPartitions=max(1, -(-rows // step))).select(F.col("id").alias("first"), F.least(F.col("id") + step, F.lit(rows)).alias("end"))
+
+    def read(frames):
         for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
-                first, end = starts[path], starts[path] + len(content)
-                for row in range(first // width, -(-end // width)):
-                    a, b = max(first, row * width), min(end, (row + 1) * width)
-                    yield _frame(row, a - row * width, content[a - first : b - first])
-
-    whole = F.sort_array(F.collect_list(F.struct("at", "data")))
-    rows = blobs.mapInPandas(pieces, "row bigint, at bigint, data binary").groupBy("row").agg(F.aggregate(whole, F.lit(b""), lambda s, x: F.concat(s, x["data"])).alias("data"))
-
-    @F.pandas_udf("array<float>")
-    def decode(data):
-        return data.map(lambda x: np.frombuffer(x, dtype).astype("<f4").tolist())
+            for first, end in zip(f["first"], f["end"], strict=True):
+                data = b"".join(_bytes(path, max(first * width, a) - a, min(end * width, b) - a) for path, a, b in files if a < end * width and b > first * width)
+                yield pd.DataFrame({"row": np.arange(first, end), "vec": list(np.frombuffer(data, dtype).reshape(-1, width // dtype.itemsize).astype("<f4"))})
 
-    words = spark.createDataFrame(list(meta["vocab"].items()), "word string, row bigint")
-    return words.join(rows, "row").select("word", decode("data").alias("vec"))
+    words = head.select(F.explode("m.vocab").alias("word", "row"))
+    return words.join(starts.mapInPandas(read, "row bigint, vec array<float>"), "row").select("word", "vec")
 
 
-def _frame(row: int, at: int, data: bytes):
-    import pandas as pd
+def _bytes(path: str, start: int, end: int) -> bytes:
+    """Bytes start to end - 1 of a file that its URI names."""
+    from pyarrow import fs
 
-    return pd.DataFrame({"row": [row], "at": [at], "data": [data]})
+    place, name = fs.FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1))
+    with place.open_input_file(name) as source:
+        return source.read_at(end - start, start)
 
 
 def load_assets(spark: SparkSession, folder: str) -> Assets:

@@ -283,6 +283,19 @@ def test_analysis_and_exports(spark, tmp_path):
     assert layout.reader_marks(second.enriched).filter("bold").count() == 6
 
 
+def test_vectors_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "RANGE_BYTES", 100)
+    (tmp_path / "vocab.json").write_text(json.dumps({"dim": 5, "dtype": "float32", "vocab": {f"w{i}": i for i in range(60)}}))
+    raw = np.arange(300, dtype="<f4").tobytes()
+    # the first vectors of the second and third file begin in the file before
+    for k, (a, b) in enumerate(((0, 407), (407, 411), (411, 1200))):
+        (tmp_path / f"v-{k}.bin").write_bytes(raw[a:b])
+    got = sources.load_vectors(spark, f"file://{tmp_path}/vocab.json", f"file://{tmp_path}/v-*.bin")
+    assert {r.word: r.vec for r in got.collect()} == {f"w{i}": [5.0 * i + k for k in range(5)] for i in range(60)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "splits=Some(12)" in plan and sources.load_vectors(spark, f"file://{tmp_path}/none.json", f"file://{tmp_path}/v-*.bin") is None
+
+
 def test_assets_from_files(spark, tmp_path):
     for k in ("wordnet", "lexicons", "vectors"):
         (tmp_path / k).mkdir()

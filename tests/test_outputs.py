@@ -68,3 +68,45 @@ def test_kept_analyses(spark, tmp_path):
     (tmp_path / "store" / ("0" * 32)).mkdir()
     whole.totals.withColumn("doc_id", F.lit("x")).write.parquet(f"file://{tmp_path}/store/{'0' * 32}/totals")
     assert rows(store.refresh(changed)[0].totals, "doc_id") == [(0,), (1,), (2,), (4,)]
+
+
+def brute_nearest(vecs, words, k, among=None):
+    out = []
+    for w in words:
+        q = vecs[w]
+        sims = []
+        for o, v in vecs.items():
+            if o != w and (among is None or o in among):
+                n = np.linalg.norm(q) * np.linalg.norm(v)
+                sims.append((-float(q @ v / n) if n else 0.0, o))
+        out += [(w, o, round(-s, 9) + 0.0, i + 1) for i, (s, o) in enumerate(sorted(sims)[:k])]
+    return sorted(out)
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 30)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 5
+    vecs = {i: centres[i % 12] + rng.normal(size=8) * 0.05 for i in range(600)} | {700 + i: vecs for i, vecs in enumerate([np.zeros(8)] * 3)} | {800 + i: centres[0] for i in range(25)}
+    vecs = {w: np.asarray(v, float) for w, v in vecs.items()}
+    table = spark.createDataFrame([(w, v.tolist()) for w, v in vecs.items()], "word long, vec array<double>").repartition(3)
+    words = [*range(0, 600, 60), 700, 803]
+    asked = spark.createDataFrame([(w,) for w in [*words, 99999]], "word long")
+    near = lambda df: sorted((r.word, r.other, round(r.sim, 9) + 0.0, r["rank"]) for r in df.collect())
+    assert near(vectors.most_similar(asked, table, 10)) == brute_nearest(vecs, words, 10)
+    some = {w for w in vecs if w % 3 == 0}
+    few = spark.createDataFrame([(w,) for w in some], "word long")
+    assert near(vectors.most_similar(asked, table, 4, few)) == brute_nearest(vecs, words, 4, some)
+    # most blocks are skipped, with the queries in tables throughout
+    of = vectors.in_blocks(table)
+    first = vectors.nearest_blocks(table.filter(F.col("word").isin(words[:10])), of, 5)
+    found = vectors._ranked(vectors._searched(first.select("word", "vec", F.explode("first").alias("block")), of, 5, 1), 5)
+    visits = first.select(F.explode("first")).count() + vectors.other_blocks(first, found, 5).count()
+    assert visits < 0.5 * 10 * (of.size > 0).sum()
+
+
+def test_nearest_of_nothing(spark):
+    zeros = spark.createDataFrame([(w, [0.0, 0.0]) for w in "abc"], "word string, vec array<double>")
+    assert rows(vectors.most_similar(zeros.select("word"), zeros, 1), "word", "other", "sim", "rank") == [("a", "b", 0.0, 1), ("b", "a", 0.0, 1), ("c", "a", 0.0, 1)]
+    assert vectors.most_similar(zeros.select("word"), zeros.limit(0), 3).count() == 0
