@@ -18,7 +18,7 @@ from hilandera.functions.text import xml_escaped
 from hilandera.operators import layout, panels, reader, segments, stats, weave
 from hilandera.operators import tokens as tok
 from hilandera.plans import analysis, sql
-from hilandera.plans.queries import _CELLS, _EVERY, _GRAPH, _INK, _LEX, _PLAIN, _SEG, _SPREAD, _WEAVE, _WORDS, ORACLES, QUERIES, Work, _marked, es, query, six, table, work
+from hilandera.plans.queries import _CELLS, _EVERY, _GRAPH, _GRID, _INK, _LEX, _PLAIN, _SEG, _SPREAD, _WEAVE, _WORDS, ORACLES, QUERIES, Work, _cosine, _marked, es, query, six, table, work
 from hilandera.sources import exports, texts
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -156,6 +156,36 @@ def layout_by_relevance(spark, d):
     return layout.nodes(grid, words, segments.grid_maxima(grid, words), _BY_REL).select("doc_id", "word", "seg", *six("h", "opacity"))
 
 
+@query(
+    sql.query(
+        *_SPREAD, sql.SEGMENTS, _WORDS, _EVERY, _GRID,
+        "alike AS (SELECT s.doc_id, s.word, f.seg, sim * f.freq * 0.5 AS boost, sim * f.norm_freq * 0.5 AS norm_boost FROM (SELECT doc_id, word, lemma, sim FROM (SELECT s.doc_id, s.word, f.lemma, " + _cosine("s.word", "f.lemma") + " AS sim FROM selected s JOIN freqs f ON f.doc_id = s.doc_id) WHERE sim > 0.4) s JOIN seg_freq f ON f.doc_id = s.doc_id AND f.word = s.lemma)",
+        "best AS (SELECT doc_id, seg, word, max(boost) AS boost, arg_max(norm_boost, boost) AS norm_boost FROM alike GROUP BY 1, 2, 3)",
+        "lent AS (SELECT g.doc_id, g.seg, g.word, CASE WHEN freq > 0 THEN freq ELSE coalesce(boost, 0) END AS freq, CASE WHEN freq > 0 THEN norm_freq ELSE coalesce(norm_boost, 0) END AS norm_freq FROM grid g LEFT JOIN best b ON b.doc_id = g.doc_id AND b.seg = g.seg AND b.word = g.word)",
+        select="SELECT l.doc_id, seg, word, round(freq, 5) AS freq, round(CASE WHEN freq > 0 THEN coalesce(nullif(r.rel, 0), 1) * norm_freq ELSE 0 END, 5) AS rel FROM lent l JOIN relevance r ON r.doc_id = l.doc_id AND r.lemma = l.word",
+    )
+)
+def segment_grid(spark, d):
+    """The segment view's grid: words by frequency, what they lack lent by alike ones, with relevance."""
+    w = work(spark, d)
+    words = stats.select_words(w.named, None)
+    grid = segments.word_grid(words, segments.all_segments(w.docs), w.counts, w.relevance, w.full.vectors)
+    return grid.select("doc_id", "seg", "word", F.round("freq", 5).alias("freq"), F.round("rel", 5).alias("rel"))
+
+
+@query(
+    sql.query(
+        *_SPREAD, sql.TONE,
+        select="SELECT e.doc_id, e.pos, e.lemma, f.freq, round(r.rel, 6) AS rel, round(polarity, 6) + 0 AS polarity FROM enriched e JOIN freqs f ON f.doc_id = e.doc_id AND f.lemma = e.lemma JOIN relevance r ON r.doc_id = e.doc_id AND r.lemma = e.lemma WHERE NOT stop",
+    )
+)
+def stage2_words(spark, d):
+    """Both stages as a whole: the content words that stage 2 enriches."""
+    w = work(spark, d)
+    second = analysis.stage2(analysis.stage1(w.docs, w.assets), w.graph)
+    return second.enriched.filter("not stop").select("doc_id", "pos", "lemma", "freq", *six("rel"), (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"))
+
+
 @query(sql.query(*_SEG, _WORDS, select="SELECT f.doc_id, f.pos, f.lemma, f.stop OR s.word IS NULL AS stop FROM flagged f LEFT JOIN selected s ON s.doc_id = f.doc_id AND s.word = f.lemma"))
 def dimmed_words(spark, d):
     w = work(spark, d)
