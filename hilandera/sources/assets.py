@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hilandera.operators.tokens import Assets
+from hilandera.sources.json_maps import read_bytes, read_map
 
 #: Where each lexicon lies below the assets' folder.
 FILES = {
@@ -32,8 +33,7 @@ RANGE_BYTES = 8 << 20
 def _map(spark: SparkSession, path: str, value: str) -> DataFrame | None:
     """k, v of a JSON object in one file; None if it can't be read."""
     try:
-        text = spark.read.text(path, wholetext=True)
-        return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("k", "v"))
+        return read_map(spark, path, value)
     except AnalysisException:
         return None
 
@@ -62,22 +62,13 @@ def load_vectors(spark: SparkSession, vocabulary: str, parts: str) -> DataFrame
     def read(frames):
         for f in frames:
             for first, end in zip(f["first"], f["end"], strict=True):
-                data = b"".join(_bytes(path, max(first * width, a) - a, min(end * width, b) - a) for path, a, b in files if a < end * width and b > first * width)
+                data = b"".join(read_bytes(path, max(first * width, a) - a, min(end * width, b) - a) for path, a, b in files if a < end * width and b > first * width)
                 yield pd.DataFrame({"row": np.arange(first, end), "vec": list(np.frombuffer(data, dtype).reshape(-1, width // dtype.itemsize).astype("<f4"))})
 
     words = head.select(F.explode("m.vocab").alias("word", "row"))
     return words.join(starts.mapInPandas(read, "row bigint, vec array<float>"), "row").select("word", "vec")
 
 
-def _bytes(path: str, start: int, end: int) -> bytes:
-    """Bytes start to end - 1 of a file that its URI names."""
-    from pyarrow import fs
-
-    place, name = fs.FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1))
-    with place.open_input_file(name) as source:
-        return source.read_at(end - start, start)
-
-
 def load_assets(spark: SparkSession, folder: str) -> Assets:
     """Whatever lexicons the folder has."""
     path = {k: f"{folder}/{v}" for k, v in FILES.items()}
