@@ -10,8 +10,8 @@ Buckets hold some 20,000 documents each, so that no posting list grows with the
 keys are broadcast up to BROADCAST_ROWS of them and joined by shuffle beyond.
 
 Defined cases: a null text counts as empty; a document without a key cannot be in the index and is
-scanned by every rule; rows that share a key are verified one by one; an empty table has no
-buckets; other columns are kept, and `spans` gets a trailing underscore where the table has one.
+scanned by every rule; rows that share a key are verified one by one; texts of any length are
+taken whole (100,000 spans take some seconds); an empty table has no buckets; other columns are kept, and `spans` gets a trailing underscore where the table has one.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from hilandera.llm.trigram_query import trigram_query
 
 BUCKET_ROWS = 20_000
 BROADCAST_ROWS = 500_000
+#: Matches whose places are gathered at a time, and code points of a block that texts are cut from.
+RUN, BLOCK = 512, 512
 
 
 @dataclass(frozen=True)
@@ -90,6 +92,43 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return each.groupBy("key").agg(F.bit_or("bit").alias("rules"))
 
 
+def _folded(items: Column, at: Column, kind: str, step) -> Column:
+    """struct(at, out): step(at, item) = (the next at, whether the item gives something, what) over items in
+    order, with what it gave. Outputs are gathered RUN at a time, so the work is linear in the items."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(done: Column, item: Column) -> Column:
+        to, gives, what = step(done["at"], item)
+        return F.struct(to.alias("at"), F.when(gives, F.concat(done["out"], F.array(what))).otherwise(done["out"]).alias("out"))
+
+    def run(every: Column):
+        def through(done: Column, k: Column) -> Column:
+            # a finish names the part without the copy of its result that transform makes
+            whole = lambda p: F.struct(p["at"].alias("at"), F.concat(done["out"], F.array(p["out"])).alias("out"))
+            return F.aggregate(_between(every, k * RUN, (k + 1) * RUN), F.struct(done["at"].alias("at"), none.alias("out")), one, whole)
+
+        return through
+
+    start = F.struct(at.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    runs = lambda every: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(every) / RUN) - 1, F.lit(0)).cast("int"))
+    flat = lambda d: F.struct(d["at"].alias("at"), F.flatten(d["out"]).alias("out"))
+    return _let(items, lambda every: F.aggregate(runs(every), start, run(every), flat))
+
+
+def _between(every: Column, start: Column, end: Column) -> Column:
+    """The items from place `start` (from 0) to before `end`, without a copy of the others, which slice makes."""
+    last = F.least(end, F.size(every)) - 1
+    return F.transform(F.filter(F.sequence(start, F.greatest(last, start)), lambda i: i <= last), lambda i: F.get(every, i))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+_SPAN = "struct<start:int,order:int,end:int,kind:string>"
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of the rule's leftmost matches, in code points: the text's parts between matches and
     the matches themselves, laid end to end."""
@@ -98,16 +137,13 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("value"),
     )
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column):
+        start = at + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        found = F.when(F.length(x["value"]) >= max(1, rule.least), F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
-        return F.struct(end.alias("at"), found.alias("spans"))
+        return end, F.length(x["value"]) >= max(1, rule.least), F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    return _folded(zipped, F.lit(0), _SPAN, step)["out"]
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
@@ -133,15 +169,27 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span (overlapping ones as one) replaced by [SECRET]."""
+    """The text with every span (overlapping ones as one) replaced by [SECRET].
+
+    What stays is cut from blocks of BLOCK code points, so no cut walks through the text from its start.
+    """
+
+    def step(at: Column, s: Column):
+        return F.greatest(at, s["end"]), s["start"] >= at, F.struct(at.alias("from"), s["start"].alias("to"))
+
+    def cut_out(blocks: Column, gap: Column) -> Column:
+        first, last = F.floor(gap["from"] / BLOCK).cast("int"), F.floor((gap["to"] - 1) / BLOCK).cast("int")
+        head = F.substring(F.get(blocks, first), gap["from"] % BLOCK + 1, F.least(gap["to"] - gap["from"], F.lit(BLOCK)))
+        rest = F.concat(F.array_join(_between(blocks, first + 1, last), ""), F.substring(F.get(blocks, last), F.lit(1), gap["to"] - last * BLOCK))
+        return F.when(gap["to"] <= gap["from"], "").when(first == last, head).otherwise(F.concat(head, rest))
 
-    def step(done: Column, s: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        new = F.when(s["start"] >= done["at"], F.concat(done["text"], gap, F.lit("[SECRET]"))).otherwise(done["text"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), new.alias("text"))
+    def put_together(holes: Column) -> Column:
+        gaps = F.concat(holes["out"], F.array(F.struct(holes["at"].alias("from"), F.length(text).alias("to"))))
+        blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+        return _let(blocks, lambda b: F.array_join(F.transform(gaps, lambda g: cut_out(b, g)), "[SECRET]"))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["text"], F.substring(text, done["at"] + 1, F.length(text))))
+    holes = _folded(spans, F.lit(0), "struct<from:int,to:int>", step)
+    return F.when(F.size(spans) == 0, text).otherwise(_let(holes, put_together))
 
 
 def digest(docs: DataFrame) -> DataFrame:

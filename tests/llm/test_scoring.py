@@ -2,11 +2,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hilandera.llm import bloom_lm, compression_classifier, secret_scan
 from hilandera.llm.trigram_query import trigram_query
@@ -54,6 +56,20 @@ def test_secrets(spark, odd, none, monkeypatch):
         assert r.clean.replace("[SECRET]", "") == "".join(c for i, c in enumerate(r.text) if i not in hidden)
 
 
+def test_very_many_spans_in_one_text(spark):
+    # work that grows with the spans, not with pairs of them
+    pieces = [f"{i:016x}{'é' * (i % 700)} " if i % 997 == 0 else f"{i:016x} " for i in range(100_000)]
+    text = "".join(pieces) + 'token = "abcdefghijklmnop0123456789abcdef"'
+    scanned = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    began = time.time()
+    (r,) = scanned.select(F.size("spans").alias("n"), F.element_at("spans", -2).alias("last"), secret_scan.redacted(scanned["text"], scanned["spans"]).alias("clean")).collect()
+    assert time.time() - began < 60
+    assert r.n == 100_002 and (r.last.kind, r.last.end) == ("assign", len(text) - 1)
+    assert r.clean == "".join("[SECRET]" + p[16:] for p in pieces) + '[SECRET]"'
+    (d,) = secret_scan.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    check_spans([(1, text)], {1: [d]})
+
+
 def test_added_rules(spark):
     text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1B" * 12 + " xoxb-1234567890-abc"
     (r,) = secret_scan.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
