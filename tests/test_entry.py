@@ -43,6 +43,8 @@ def test_entry(spark):
 
 def test_without_the_optional_part(tmp_path):
     shutil.copytree(REPO / "hilandera", tmp_path / "hilandera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (REPO / name).exists():
+            shutil.copy(REPO / name, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'top_lemmas' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
