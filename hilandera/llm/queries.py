@@ -21,8 +21,31 @@ QUERIES = {
     "op13_periodic_runs": lambda spark, d: periodic_runs.digest(table(spark, d, "documents")),
 }
 
-#: The other operators draw at random, learn, or follow links: they are tested against brute force.
+#: The other operators draw at random, learn, follow links or need a library: they are tested against brute force.
 ORACLES = {
+    # crc32 is worked out bit by bit; a conversation's turns follow one another by recursion
+    "op11_releases": r"""
+WITH RECURSIVE numbered AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations),
+strings AS (SELECT conv_id, turn, -1 AS k, text AS s FROM numbered UNION ALL SELECT conv_id, turn, k, k || ':' || conv_id || ':' || turn FROM numbered, range(9) AS r(k)),
+bytes AS (SELECT conv_id, turn, k, list_transform(range(1, strlen(s) + 1), lambda i: ('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::BIGINT) AS b FROM strings),
+hashes AS (SELECT conv_id, turn, k, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, y: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295) AS h FROM bytes),
+turns AS (
+  SELECT n.conv_id, n.turn, n.p, max(CASE WHEN k = -1 THEN h END) AS crc, max(CASE WHEN k = 0 THEN h % 5 END) AS back, max(CASE WHEN k = 1 THEN h % 101 < 50 END) AS faulty,
+    7 * n.p + max(CASE WHEN k = 2 THEN h % 101 END) AS repair, list(h % 3 <> 0 ORDER BY k) FILTER (k >= 3) AS holds
+  FROM numbered n JOIN hashes h ON h.conv_id = n.conv_id AND h.turn = n.turn GROUP BY n.conv_id, n.turn, n.p),
+started AS (
+  SELECT conv_id, -1::BIGINT AS p, []::STRUCT(status VARCHAR, attempts INTEGER, first_at BIGINT, last_at BIGINT)[] AS done FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, p, list_concat(done, [CASE WHEN blocked THEN {status: 'blocked', attempts: 0, first_at: NULL, last_at: NULL}
+      WHEN good IS NULL THEN {status: 'dead', attempts: 6, first_at: s, last_at: s + 310} ELSE {status: 'delivered', attempts: good, first_at: s, last_at: s + 10 * (2 ** (good - 1) - 1)::BIGINT} END])
+  FROM (SELECT *, CASE WHEN NOT faulty THEN 1 ELSE list_filter([1, 2, 3, 4, 5, 6], lambda a: s + 10 * (2 ** (a - 1) - 1) >= repair AND holds[a])[1] END AS good
+    FROM (SELECT t.*, d.done, parent IS NOT NULL AND parent.status <> 'delivered' AS blocked, greatest(7 * t.p, coalesce(parent.last_at, 0)) AS s
+      FROM started d JOIN turns t ON t.conv_id = d.conv_id AND t.p = d.p + 1, LATERAL (SELECT CASE WHEN t.back > 0 AND t.back <= t.p THEN d.done[t.p - t.back + 1] END AS parent)))),
+ended AS (SELECT t.conv_id, turn, crc, unnest(d.done[t.p + 1]) FROM turns t JOIN started d ON d.conv_id = t.conv_id AND d.p = t.p),
+released AS (SELECT *, row_number() OVER (PARTITION BY conv_id, status ORDER BY last_at, turn) AS n FROM ended)
+SELECT conv_id, turn, status, attempts, first_at, last_at, CASE WHEN status = 'delivered' THEN n END AS release_no,
+  CASE WHEN status = 'delivered' THEN (sum(n * crc) OVER (PARTITION BY conv_id, status ORDER BY n))::BIGINT END AS state FROM released
+""",
     "op9_quality_rules": r"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
