@@ -45,6 +45,33 @@ ended AS (SELECT t.conv_id, turn, crc, unnest(d.done[t.p + 1]) FROM turns t JOIN
 released AS (SELECT *, row_number() OVER (PARTITION BY conv_id, status ORDER BY last_at, turn) AS n FROM ended)
 SELECT conv_id, turn, status, attempts, first_at, last_at, CASE WHEN status = 'delivered' THEN n END AS release_no,
   CASE WHEN status = 'delivered' THEN (sum(n * crc) OVER (PARTITION BY conv_id, status ORDER BY n))::BIGINT END AS state FROM released
+""",
+    # all pairs of vectors
+    "op7_cover_tree": r"""
+WITH RECURSIVE known AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM known x JOIN known y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_dot_product(x.e, y.e) >= 0.95 * sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))),
+reached AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT vec_id, b FROM reached JOIN links ON a = r),
+components AS (SELECT vec_id, min(r) AS component_id FROM reached GROUP BY 1),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN components USING (vec_id) LEFT JOIN counts USING (vec_id)
+""",
+    # every period of every text; words that occur fewer than four times are in no run
+    "op13_periodic_runs": r"""
+WITH digits AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ('0x' || substr(hex(encode(doc_id::VARCHAR)), 2 * i - 1, 2))::BIGINT) AS b FROM documents),
+hashes AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, y: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295) AS h FROM digits),
+plans AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM hashes WHERE n > 0),
+words AS (SELECT doc_id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM plans)),
+often AS (SELECT * FROM words QUALIFY count(*) OVER (PARTITION BY doc_id, word) >= 4),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM often x JOIN often y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY 1, 2, 3),
+listed AS (SELECT doc_id, count(*) AS n_runs, arg_min(start, k) AS start, arg_min(length, k) AS length, arg_min(period, k) AS period, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS every
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS k FROM runs) GROUP BY 1),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(every, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
     "op9_quality_rules": r"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
