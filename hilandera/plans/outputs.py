@@ -182,7 +182,7 @@ def segment_grid(spark, d):
 def stage2_words(spark, d):
     """Both stages as a whole: the content words that stage 2 enriches."""
     w = work(spark, d)
-    second = analysis.stage2(analysis.stage1(w.docs, w.assets), w.graph)
+    second = analysis.stage2(analysis.stage1(w.docs, w.assets).persist(), w.graph)
     return second.enriched.filter("not stop").select("doc_id", "pos", "lemma", "freq", *six("rel"), (F.round("polarity", 6) + F.lit(0.0)).alias("polarity"))
 
 
