@@ -54,3 +54,28 @@ def test_hubs_outside_the_corpus_are_pruned(spark):
     steps = graph.toward(edges.select(F.col("src").alias("at"), "dst"), words, 2)
     assert sorted((r.at, r.dst, r.need) for r in steps.filter("at not like 'w%'").collect()) == [("hub", "x7", 1), ("x7", "w0", 0)]
     assert table(graph.reach(starts, edges, 3, words)) == sorted((f"w{i}", "w0", 3) for i in range(1, 30))
+
+
+def activated(documents, pairs, depth, decay):
+    """(doc, lemma) -> energy, from breadth-first searches inside nothing but the definition."""
+    return {(d, t): 1 + sum(decay ** hops_from(s, pairs, depth)[t] for s in words if t in hops_from(s, pairs, depth)) for d, words in documents.items() for t in words}
+
+
+def test_activation_equals_its_definition_at_each_depth(spark):
+    pairs, edges = random_graph(spark, 5)
+    rng = random.Random(1)
+    documents = {d: sorted({f"n{rng.randrange(60)}" for _ in range(25)} | {"n0", "alone"}) for d in range(6)}
+    freqs = spark.createDataFrame([(d, w, 1) for d, words in documents.items() for w in words], "doc_id long, lemma string, freq long")
+    assets = Assets(edges=edges.select("src", F.lit("n").alias("pos"), F.lit("hypernyms").alias("rel"), F.lit(0).alias("ord"), "dst"))
+    for depth in (1, 2, 3):
+        got = {(r.doc_id, r.lemma): r.rel for r in graph.spread_activation(freqs, assets, depth, 0.3).collect()}
+        want = activated(documents, pairs, depth, 0.3)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_path_is_asked_for_by_its_rarer_end(spark):
+    # a hub that 1000 documents have, with 50 followers of one document each: 50 codes a direction, not 50 a document
+    words = spark.createDataFrame([("hub", 1000, 0)] + [(f"w{i}", 1, i + 1) for i in range(50)], "lemma string, df long, id long")
+    paths = spark.createDataFrame([x for i in range(50) for x in (("hub", f"w{i}", 1), (f"w{i}", "hub", 1))], "seed string, target string, h int")
+    asked = {r.lemma: sorted(r.codes) for r in graph.asked_by_rarer(paths, words, 2).collect()}
+    assert asked == {f"w{i}": [1, 3] for i in range(50)}
