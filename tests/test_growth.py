@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hilandera.operators import segments, stats
 from hilandera.operators import tokens as tok
 from hilandera.operators.tokens import Assets
+from hilandera.plans import analysis
 
 
 @contextmanager
@@ -84,3 +85,10 @@ def test_pairs_of_alike_words_are_not_shuffled(spark):
         assert sum("Exchange hashpartitioning" in x for x in lines) <= 11
         got = {(r.seg, r.word): round(r.freq, 6) for r in grid.collect()}
     assert got == {(0, "a"): 2.0, (1, "a"): round(4 * 0.5**0.5 * 0.5, 6), (0, "b"): 0.0, (1, "b"): round(4 * 0.5**0.5 * 0.5, 6)}
+
+
+def test_what_later_plans_hold_is_cut_from_what_made_it(spark):
+    docs = spark.createDataFrame([(1, "casas luz mar luz"), (2, "luz")], "doc_id long, text string")
+    first, second = analysis.analyze(docs)
+    for made in (first.communities, second.relevance):
+        assert "InMemoryRelation" not in made._jdf.queryExecution().executedPlan().toString()
