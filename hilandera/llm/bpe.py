@@ -40,7 +40,7 @@ from hilandera.llm.word_cache import PLAIN, WordCache, byte_letters, load, packe
 CHUNK, CHUNK_WORDS = 2_000_000, 600_000
 #: Bytes of text for each bucket of the word table.
 BUCKET_BYTES = 16 << 20
-#: Ids that are decoded at a time.
+#: Words whose ids are gathered, and ids that are decoded, at a time.
 SLICE_IDS = 200_000
 SLICE_ROWS = 512
 #: Of zstandard, and the numbers of words that take one byte.
@@ -155,7 +155,7 @@ def _squeezed_ranks(ranks: np.ndarray) -> list[bytes]:
     """Numbers of which small ones are frequent: a byte for those below SHORT; of the others the high
     bits in that byte (or, beyond it, in a list of their own) and the two low bytes apart."""
     long = ranks >= SHORT
-    rest = ranks[long].astype(np.int64) - SHORT
+    rest = ranks[long] - np.uint32(SHORT)
     first, high = ranks.astype(np.uint8), rest >> 16
     first[long] = np.minimum(SHORT + high, 255)
     return [_squeezed(x) for x in (first, rest >> 8 & 255, rest & 255, high[high >= 255 - SHORT])]
@@ -163,11 +163,11 @@ def _squeezed_ranks(ranks: np.ndarray) -> list[bytes]:
 
 def _ranks(parts: list[bytes]) -> np.ndarray:
     first, middle, low, higher = map(_numbers, parts)
-    out = first.astype(np.int64)
+    out = first.astype(np.uint32)
     long = out >= SHORT
-    high = out[long] - SHORT
+    high = out[long] - np.uint32(SHORT)
     high[high == 255 - SHORT] = higher
-    out[long] = SHORT + (high << 16 | middle.astype(np.int64) << 8 | low)
+    out[long] = SHORT + (high << 16 | middle << 8 | low)
     return out
 
 
@@ -198,7 +198,7 @@ class Chunk:
         # words are numbered anew, the frequent ones first
         places = np.concatenate(self.places)
         order = np.argsort(-np.bincount(places, minlength=len(self.number)), kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         words = list(self.number)
         words = [words[i] for i in order.tolist()]
@@ -278,20 +278,41 @@ def _encoded_words(asked: DataFrame, path: str) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(encode, "uid long, bucket long, sizes binary, ids binary")
 
 
+def _slices(ends: np.ndarray):
+    """(start, stop, first, last): lists start to stop, which hold the items first to last, SLICE_IDS at most or
+    one longer list; ends: where each list's items end."""
+    start = 0
+    while start < len(ends):
+        first = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, first + SLICE_IDS, "right")))
+        yield start, stop, first, int(ends[stop - 1])
+        start = stop
+
+
 def _decoded(ids: np.ndarray, ends: np.ndarray, path: str) -> list[str]:
     """The texts of lists of ids that end at `ends`."""
-    out, start = [], 0
-    while start < len(ends):
-        base = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_IDS, "right")))
-        data, upto = _pieces(path).gather(ids[base : int(ends[stop - 1])])
+    out = []
+    for start, stop, first, last in _slices(ends):
+        data, upto = _pieces(path).gather(ids[first:last])
         data, upto = data.tobytes(), np.r_[0, upto]
-        cuts = upto[np.r_[0, ends[start:stop] - base]].tolist()
+        cuts = upto[np.r_[0, ends[start:stop] - first]].tolist()
         out += [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        start = stop
     return out
 
 
+def _texts(words: Lists, places: np.ndarray, sizes: np.ndarray, path: str, decode: bool):
+    """(start, stop, columns) of texts in turn: their ids and, if asked for, what these stand for. words: the ids of
+    each word; a text takes the next of `sizes` in `places`. Only some texts' ids are numbers at a time."""
+    for start, stop, first, last in _slices(np.cumsum(sizes, dtype=np.int64)):
+        ids, ends = words.gather(places[first:last])
+        ends = np.r_[0, ends][np.cumsum(sizes[start:stop], dtype=np.int64)]
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        found = [pa.array([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
+        if decode:
+            found.append(pa.array(_decoded(ids, ends, path), pa.string()))
+        yield start, stop, found
+
+
 def _joined(chunks: DataFrame, answered: DataFrame, fields: list, path: str, decode: bool) -> DataFrame:
     names = [f.name for f in fields]
 
@@ -299,21 +320,16 @@ def _joined(chunks: DataFrame, answered: DataFrame, fields: list, path: str, dec
         (row,) = chunk.to_pylist()
         places, sizes, bucket = _ranks(row["places"]), _numbers(row["sizes"]), _numbers(row["buckets"])
         answer = answer.sort_by("bucket")
-        counts = np.empty(len(bucket), np.int64)
+        counts = np.empty(len(bucket), np.uint32)
         order = np.argsort(bucket, kind="stable")
         by_bucket = np.concatenate([np.empty(0, "<u4"), *map(_numbers, answer.column("sizes").to_pylist())])
         flat = np.concatenate([np.empty(0, "<u4"), *map(_numbers, answer.column("ids").to_pylist())]).astype("<u4")
         # words by number: their ids stay in the order of the answers
         words = Lists(flat, by_bucket)
         counts[order] = np.arange(len(order))
-        ids, ends = words.gather(counts[places])
-        ends = np.r_[0, ends][np.cumsum(sizes, dtype=np.int64)]
-        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        columns = pa.ipc.open_stream(row["kept"]).read_all().columns
-        found = [pa.array([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
-        if decode:
-            found.append(pa.array(_decoded(ids, ends, path), pa.string()))
-        return pa.Table.from_arrays([*columns, *found], names=names)
+        kept = pa.ipc.open_stream(row["kept"]).read_all()
+        found = _texts(words, counts[places], sizes, path, decode)
+        return pa.concat_tables(pa.Table.from_arrays([*kept.slice(a, b - a).columns, *columns], names=names) for a, b, columns in found)
 
     return chunks.groupBy("uid").cogroup(answered.groupBy("uid")).applyInArrow(each, T.StructType(fields))
 
