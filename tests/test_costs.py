@@ -6,6 +6,7 @@ import pandas as pd
 
 from hilandera.functions import text
 from hilandera.operators import stats
+from hilandera.sources import texts
 from tests.test_clusters import plain_communities
 
 
@@ -41,3 +42,12 @@ def test_communities_go_through_arrow_and_equal_plain_loops_on_many_words(spark)
     got = stats.communities(spark.createDataFrame([*top, ("alone", "w", 1)], "doc_id string, lemma string, rank long"), spark.createDataFrame(pairs, "doc_id string, a string, b string, n long"))
     assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.doc_id, r.lemma): r.comm for r in got.collect()} == want | {("alone", "w"): 0}
+
+
+def test_tei_is_read_row_by_row_and_names_are_looked_up_in_order(spark):
+    two = '<c xmlns:a="u" xmlns:b="v"><a:TEI><titleStmt><b:title>t<q>u</q></b:title></titleStmt><b:body><a:p>1</a:p><p>2</p><b:p>3 <w>d</w></b:p></b:body></a:TEI><TEI><body><p>z</p></body></TEI></c>'
+    got = texts.import_tei(spark.createDataFrame([(1, two), (2, None)], "doc_id int, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InPandas" not in plan
+    rows = {(r.doc_id, r.part): (r.label, r.text) for r in got.collect()}
+    assert rows == {(1, 0): ("tu", "1\n\n2\n\n3 d"), (1, 1): ("Documento 2", "z"), (2, 0): (None, None)}
