@@ -12,6 +12,7 @@ the encoding of their own text: take the first merge that crosses a boundary of
 neighbours have merged as they do alone, and alone they are never merged. A spliced sequence has only
 neighbours that some chunk's encoding has: the shared token stands before one and behind the other. A
 character outside the vocabulary is a symbol that merges with nothing; its byte tokens count with it.
+A chunk's first token is never shared unless the chunk begins with the text: it holds the space put in front.
 
 Where two neighbours share no token, the text is cut again with an overlap (and a chunk) four times as
 long, and so on: at last one chunk holds the whole text, so every text ends in an exact count. A text
@@ -97,6 +98,9 @@ def encoded(row: dict, model, overlap: int) -> dict:
     pieces = [(row["base"] + p.begin, row["base"] + p.end, p.id) for p in model.encode(row["text"], return_type="proto").pieces]
     # the first head_n tokens reach no further than the overlap; the last ones begin within the other
     head = [] if row["first"] else [p for p in pieces if p[1] <= row["start"] + overlap]
+    if row["base"] and head:
+        # the space put in front belongs to a chunk's first token, whose name may then be that of a longer one there
+        head[0] = (0, 0, 0)
     tail_at = len(pieces)
     while not row["last"] and tail_at and pieces[tail_at - 1][0] >= row["stop"] - overlap:
         tail_at -= 1

@@ -48,6 +48,16 @@ def test_splices_are_exact(model):
     assert aligned > 6000
 
 
+def test_a_chunks_own_first_space_is_no_place(model):
+    # the second chunk begins within a run of blanks: with the space put in front, its blanks make a token of as many as the text has there
+    text = "😀        😀  😀  😀              😀😀    😀😀😀😀😀😀  😀  😀  😀😀😀  😀          😀"
+    assert by_splices(text, model, 40, 12) in (None, len(model.encode(text)))
+    for n in range(1, 60):
+        for at in range(0, 40, 3):
+            t = "x" * at + " " * n + "end of the run " * 4
+            assert by_splices(t, model, 40, 12) in (None, len(model.encode(t))), (t, n)
+
+
 def test_every_pair_of_neighbours_encodes_to_itself(model):
     # what the proof in the module rests on, for tokens that no dummy space stands before
     for t in texts(300, 30, seed=2):
