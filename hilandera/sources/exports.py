@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hilandera import constants as C
 from hilandera.functions.text import csv_field, fixed, xml_escaped
+from hilandera.operators.tokens import by_document
 
 NAME = "Hilandera"
 
@@ -41,8 +42,14 @@ def csv_documents(enriched: DataFrame) -> DataFrame:
 def tei_tokens(view: DataFrame, enriched: DataFrame) -> DataFrame:
     """doc_id, para, ord, line: content words with their features, everything else as text."""
     four = fixed(4)
-    w = enriched.select("doc_id", "pos", "tag", "freq", "rel", "polarity", "arousal", "comm", "emotions")
-    both = view.join(w, ["doc_id", "pos"], "left")
+    # a place's word stands before it in the order of its document; neither is shuffled if both lie by document
+    features = ["tag", "freq", "rel", "polarity", "arousal", "comm", "emotions"]
+    shown = by_document(view).select("doc_id", "pos", F.struct("para", "ord", "surface", "lemma", "stop", "type").alias("_shown"))
+    w = by_document(enriched).select("doc_id", "pos", F.struct("pos", *features).alias("_w"))
+    order = Window.partitionBy("doc_id").orderBy("pos", F.col("_shown").isNotNull())
+    both = shown.unionByName(w, allowMissingColumns=True).withColumn("_w", F.lag("_w").over(order)).filter("_shown is not null")
+    same = F.col("_w.pos") == F.col("pos")
+    both = both.select("doc_id", "_shown.*", *(F.when(same, F.col(f"_w.{c}")).alias(c) for c in features))
     feature = lambda name, value: F.concat(F.lit(f'    <f name="{name}"><numeric value="'), value, F.lit('"/></f>'))
     known = F.filter(F.array(*map(F.lit, C.EMOTIONS)), lambda e: F.array_contains("emotions", e))
     emotions = F.when(F.size(known) > 0, F.concat(F.lit('    <f name="emotions"><string>'), F.array_join(known, ","), F.lit("</string></f>")))
