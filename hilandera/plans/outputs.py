@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hilandera import constants as C
 from hilandera.functions import colour
-from hilandera.functions.lineage import shared_folder
+from hilandera.functions.lineage import cut, shared_folder
 from hilandera.functions.text import xml_escaped
 from hilandera.operators import layout, panels, reader, segments, stats, weave
 from hilandera.operators import tokens as tok
@@ -151,8 +151,9 @@ _BY_REL = layout.View(sort="relevance")
 )
 def layout_by_relevance(spark, d):
     w = work(spark, d)
-    words = stats.select_words(w.named, w.relevance, "relevance")
-    grid = segments.word_grid(words, segments.all_segments(w.docs), w.counts, w.relevance)
+    # words and grid are read several times: neither is made anew for each
+    words = cut(stats.select_words(w.named, w.relevance, "relevance"))
+    grid = segments.word_grid(words, segments.all_segments(w.docs), w.counts, w.relevance).persist()
     return layout.nodes(grid, words, segments.grid_maxima(grid, words), _BY_REL).select("doc_id", "word", "seg", *six("h", "opacity"))
 
 
@@ -168,7 +169,7 @@ def layout_by_relevance(spark, d):
 def segment_grid(spark, d):
     """The segment view's grid: words by frequency, what they lack lent by alike ones, with relevance."""
     w = work(spark, d)
-    words = stats.select_words(w.named, None)
+    words = cut(stats.select_words(w.named, None))
     grid = segments.word_grid(words, segments.all_segments(w.docs), w.counts, w.relevance, w.full.vectors)
     return grid.select("doc_id", "seg", "word", F.round("freq", 5).alias("freq"), F.round("rel", 5).alias("rel"))
 
