@@ -7,17 +7,21 @@ Cosine c of unit vectors is distance sqrt(2 - 2c), so links are pairs within a r
    entries (a dense region gets many, so no cell is large). Each entry belongs to the cell of its
    nearest pivot; a cell's covering radius is the largest distance in it.
 3. Pairs of a vector and a cell are pruned by the covering radius and by the distance to the plane
-   between the two pivots. What is left visits the cell, from one side only.
+   between the two pivots. What is left visits the cell, from one side only, first as a sketch: what
+   of the vector lies along a few directions, and the length of the rest. The product of two sketches
+   is no less than the cosine, so a vector whose sketch reaches none of a cell leaves that cell, and a
+   vector of the cell that none reaches is not put into its tree.
 4. In a cell a cover tree of nested levels with halving radii stands over its own vectors, and others
-   over some NODE_ROWS of its visitors each (those of one home cell lie together). The tree is walked
+   over some NODE_ROWS of its remaining visitors each (those of one home cell lie together). The tree is walked
    down with itself and with each of theirs: a pair of nodes is dropped if even both covering radii
    leave it out of reach, taken as a whole if they leave nothing out, else replaced by the pairs of
    its children. At the leaves the cosine itself decides.
 5. A task returns sums of links and one star for each local component; stars are joined by
    large-star and small-star rounds.
 
-A cell with many visitors is split by them. Where vectors have no structure (random directions in
-many dimensions) no metric bound prunes much: the work is then a blocked matrix product.
+A cell with many visitors is split by them. Sketches go out packed, once for GROUP cells. Where
+vectors have no structure (random directions in many dimensions) no metric bound between vectors and
+cells prunes much: the work is then a blocked matrix product of sketches and still quadratic.
 
 Pivots are MAX_PIVOTS at most, as each task holds them all; beyond MAX_PIVOTS * CELL_ROWS distinct
 vectors (16 million) cells grow, and with them what a task holds. No link is lost by that.
@@ -34,7 +38,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hilandera.llm.common import join_hot, stored
@@ -47,7 +52,11 @@ MAX_PIVOTS = 4096
 VISITORS = 50_000
 #: Visitors of a tree.
 NODE_ROWS = 4096
+#: Directions of a sketch, cells whose vectors meet sketches in one task (bits of a byte), and sketches that visit them there.
+DIRECTIONS, GROUP, SKETCHES = 31, 8, 32_768
 EPS = 1e-9
+#: What rounding may take from the product of two sketches (some 2e-6 in single precision).
+SLACK = 1e-5
 CHUNK = 1024
 #: Pairs of children from which on a pair of nodes is a matrix product of its own, and pairs listed at a time.
 DENSE, LISTED = 4096, 1 << 16
@@ -62,6 +71,53 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
 
 
+def _directions(pivots: np.ndarray) -> np.ndarray:
+    """Orthonormal columns: first those along which (some CHUNK of) the pivots lie most, then any."""
+    k = min(DIRECTIONS, pivots.shape[1])
+    most = np.linalg.svd(pivots[:: -(-len(pivots) // CHUNK)], full_matrices=False)[2][:k]
+    return np.linalg.qr(np.concatenate([most.T, np.random.default_rng(7).normal(size=(pivots.shape[1], k))], 1))[0][:, :k]
+
+
+def _sketches(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """A row for each unit vector; the product of two rows is their cosine at least (Cauchy and Schwarz on the rest)."""
+    along = x @ directions
+    return np.concatenate([along, np.sqrt(np.maximum(0.0, 1 - (along * along).sum(1)))[:, None]], 1).astype("<f4")
+
+
+def _reached(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which sketches of a, and which of b, have a product of `least` with one of the other's (a is b: another one)."""
+    of_a, of_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    width, height = 4 * CHUNK, CHUNK // 2
+    for t in range(0, len(b), width):
+        right = np.ascontiguousarray(b[t : t + width].T)
+        for s in range(0, len(a), height):
+            if a is b and t + width <= s:  # the same pairs as (t, s)
+                continue
+            c = a[s : s + height] @ right
+            if a is b:
+                i = np.arange(max(s, t), min(s + c.shape[0], t + c.shape[1]))
+                c[i - s, i - t] = -1
+            hit = c.max(1) >= least
+            of_a[s : s + height] |= hit
+            if hit.any():
+                of_b[t : t + width] |= (c[hit] >= least).any(0)
+    return (of_a | of_b,) * 2 if a is b else (of_a, of_b)
+
+
+def sieve(own: np.ndarray, cell: np.ndarray, visitors: np.ndarray, cells: np.ndarray, cosine: float = COSINE, among: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(which of own meet a sketch that may link, visitors by cell: the same). own: sketches, each of one cell
+    below GROUP; visitors: sketches, each with the bits of the cells that it visits."""
+    met, kept = np.zeros(len(own), bool), np.zeros((len(visitors), GROUP), bool)
+    for k in np.unique(cell):
+        inside, coming = np.flatnonzero(cell == k), np.flatnonzero(cells >> k & 1)
+        home = own[inside]
+        if among:
+            met[inside] |= _reached(home, home, cosine - SLACK)[0]
+        kept[coming, k], of_home = _reached(visitors[coming], home, cosine - SLACK)
+        met[inside] |= of_home
+    return met, kept
+
+
 class CoverTree:
     """Levels of nodes over unit vectors x: level k has centres (indices of x), each vector's node,
     the nodes' parents, covering radii and total weights. The last level has a node for each vector."""
@@ -244,41 +300,69 @@ def _same_length(entries: DataFrame, cosine: float) -> DataFrame:
     else:
         chosen = [bytes(entries.select("raw").first()[0])]
     pivots = _units(chosen)
+    directions = _directions(pivots)
 
     def home(b, x, p):
         c = x @ p.T
         k = c.argmax(1)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k.astype(np.int32)), pa.array(_distance(c[np.arange(len(k)), k]))], [*b.schema.names, "cell", "far"])
 
-    kind = dict(entries.dtypes)["id"]
-    held = stored(entries.mapInArrow(lambda bs: _pass(bs, pivots, home), f"id {kind}, raw binary, n long, cell int, far double"), "cells")
+    held = stored(entries.mapInArrow(lambda bs: _pass(bs, pivots, home), "id long, raw binary, n long, cell int, far double"), "cells")
     # one row for each cell
     radius = np.full(len(pivots), -1.0)
     for x in held.groupBy("cell").agg(F.max("far").alias("far")).collect():
         radius[x["cell"]] = x["far"]
-    between = _distance(pivots @ pivots.T)
 
-    def visit(b, x, p):
-        cell = b.column("cell").to_numpy()
+    def visited(b, x, p):
+        """For each row a byte for each group of cells, with a bit for each cell that the row visits."""
+        cell, groups = b.column("cell").to_numpy(), np.zeros((len(x), -(-len(p) // GROUP)), np.uint8)
         for s in range(0, len(x), CHUNK):
             h = cell[s : s + CHUNK]
-            d = _distance(x[s : s + CHUNK] @ p.T)
+            d, between = _distance(x[s : s + CHUNK] @ p.T), _distance(p[h] @ p.T)
             mine = d[np.arange(len(h)), h][:, None]
-            plane = (d * d - mine * mine) / np.maximum(2 * between[h], 1e-12)
+            plane = (d * d - mine * mine) / np.maximum(2 * between, 1e-12)
             near = (d <= radius + r + 1e-7) & (plane <= r + 1e-7) & (radius >= 0) & (np.arange(len(p)) < h[:, None])
-            i, j = np.nonzero(near)
-            rows = b.slice(s, len(h)).take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("raw"), rows.column("n"), rows.column("cell"), pa.array(j.astype(np.int32))], ["id", "raw", "n", "home", "cell"])
+            groups[s : s + CHUNK] = np.packbits(near, 1, bitorder="little")
+        return groups
+
+    def count(b, x, p):
+        n = np.count_nonzero(visited(b, x, p), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n).astype(np.int32)), pa.array(n[n > 0])], ["group", "n"])
 
-    columns = f"id {kind}, raw binary, n long, home int, cell int"
-    visits = held.mapInArrow(lambda bs: _pass(bs, pivots, visit), columns)
+    def visit(b, x, p):
+        cell, ids, sketches, groups = b.column("cell").to_numpy(), b.column("id").to_numpy(), _sketches(x, directions), visited(b, x, p)
+        for own, of, marks in ((True, cell // GROUP, cell % GROUP), (False, None, groups)):
+            for g in range(groups.shape[1]):
+                k = np.flatnonzero(of == g if own else marks[:, g])
+                if len(k):
+                    mark = (marks[k] if own else marks[k, g]).astype(np.uint8)
+                    packed = [pa.array([v.tobytes()], pa.binary()) for v in (ids[k], mark, sketches[k])]
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([own]), *packed], ["group", "own", "ids", "marks", "sketches"])
+
+    # one row for each group of cells
+    parts = held.mapInArrow(lambda bs: _pass(bs, pivots, count), "group int, n long").groupBy("group").agg(F.ceil(F.sum("n") / SKETCHES).cast("int").alias("parts")).filter("parts > 1").collect()
+    parts = F.broadcast(spark.createDataFrame([tuple(x) for x in parts], "group int, parts int"))
+    visits = held.mapInArrow(lambda bs: _pass(bs, pivots, visit), "group int, own boolean, ids binary, marks binary, sketches binary")
+    met = _dealt(visits.join(parts, "group", "left"), F.xxhash64("ids"), "own").groupBy("group", "part")
+
+    def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        sides = []
+        for own in (True, False):
+            ids, marks, sketches = (b"".join(group.filter(pa.compute.equal(group.column("own"), own)).column(c).to_pylist()) for c in ("ids", "marks", "sketches"))
+            sides.append((np.frombuffer(ids, "<i8"), np.frombuffer(marks, np.uint8), np.frombuffer(sketches, "<f4").reshape(-1, directions.shape[1] + 1)))
+        (ids, cell, own), (guests, cells, visitors) = sides
+        # sketches of a cell's own vectors meet one another in part 0 alone
+        at_home, away = sieve(own, cell, visitors, cells, cosine, among=not key[1].as_py())
+        i, k = np.nonzero(away)
+        at = key[0].as_py() * GROUP + np.concatenate([cell[at_home], k]).astype(np.int32)
+        return pa.table({"id": np.concatenate([ids[at_home], guests[i]]), "at": at.astype(np.int32)})
+
+    kept = stored(met.applyInArrow(meet, "id long, at int").distinct(), "kept")
     # one row for each cell again
-    parts = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts")).filter("parts > 1").collect()
-    parts = F.broadcast(spark.createDataFrame([tuple(x) for x in parts], "cell int, parts int"))
-    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    guest = F.pmod(F.xxhash64("raw"), F.coalesce("parts", F.lit(1))).cast("int")
-    own = held.join(parts, "cell", "left").select("cell", each.alias("part"), "id", "raw", "n", F.lit(-1).alias("home"))
-    guests = visits.join(parts, "cell", "left").select("cell", guest.alias("part"), "id", "raw", "n", "home")
+    parts = kept.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts")).filter("parts > 1").collect()
+    parts = F.broadcast(spark.createDataFrame([tuple(x) for x in parts], "at int, parts int"))
+    own = F.col("at") == F.col("cell")
+    near = held.join(kept, "id").join(parts, "at", "left").select("at", "parts", "id", "raw", "n", F.when(own, -1).otherwise(F.col("cell")).alias("home"), own.alias("own"))
 
     def join(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by([("home", "ascending"), ("id", "ascending")])
@@ -290,7 +374,14 @@ def _same_length(entries: DataFrame, cosine: float) -> DataFrame:
         ids = group.column("id")
         return pa.table({"id": ids.filter(pa.array(away)), "links": links[away], "root": ids.take(pa.array(root[away]))})
 
-    return own.unionByName(guests).groupBy("cell", "part").applyInArrow(join, f"id {kind}, links long, root {kind}")
+    return _dealt(near, F.xxhash64("raw"), "own").groupBy("at", "part").applyInArrow(join, "id long, links long, root long")
+
+
+def _dealt(rows: DataFrame, spread: Column, everywhere: str) -> DataFrame:
+    """rows with part: one below `parts` (null: 1) by `spread`, or each of them where `everywhere` holds."""
+    parts = F.coalesce("parts", F.lit(1))
+    one = F.array(F.pmod(spread, parts).cast("int"))
+    return rows.withColumn("part", F.explode(F.when(F.col(everywhere), F.sequence(F.lit(0), parts - 1)).otherwise(one))).drop("parts")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -299,17 +390,20 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     def read(batches):
         for b in batches:
-            raw = []
-            for v in b.column(1).to_pylist():
-                x = None if v is None or None in v else np.array(v, "<f8")
-                x = None if x is None or not np.isfinite(x).all() or not x.any() else x / np.abs(x).max()
-                raw.append(None if x is None else (x + 0.0).tobytes())
+            raw, lengths = [None] * b.num_rows, pa.compute.list_value_length(b.column(1)).fill_null(0).to_numpy()
+            for length in np.unique(lengths[lengths > 0]):
+                rows = np.flatnonzero(lengths == length)
+                # a null component is no finite one either
+                x = b.column(1).take(pa.array(rows)).flatten().cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).reshape(-1, length)
+                fit = np.isfinite(x).all(1) & x.any(1)
+                for i, v in zip(rows[fit].tolist(), (x[fit] / np.abs(x[fit]).max(1)[:, None] + 0.0).astype("<f8"), strict=True):
+                    raw[i] = v.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["key", "raw"])
 
     rows = stored(vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInArrow(read, f"key {kind}, raw binary"), "vectors")
     classes = rows.filter(F.col("raw").isNotNull()).groupBy("raw").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
-    # entries are numbered by their own hash, as keys may be null or shared
-    entries = stored(classes.withColumn("id", F.sha2("raw", 256)), "entries")
+    # entries get numbers of their own, fixed as the table is written, as keys may be null or shared
+    entries = stored(classes.withColumn("id", F.monotonically_increasing_id()), "entries")
     lengths = sorted(x[0] for x in entries.select(F.octet_length("raw")).distinct().collect())
     found = None
     for length in lengths:

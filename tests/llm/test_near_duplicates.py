@@ -166,3 +166,33 @@ def test_vectors(spark, monkeypatch, cell, visitors):
     assert all((found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True) for i in (1, 2, 3, 4, 7))
     assert (found[5].n_links, found[6].component_id, found[6].kept) == (1, 5, False)
     assert cover_tree.digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_random_vectors_leave_at_their_sketches_and_never_a_link(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "CELL_ROWS", 100)
+    monkeypatch.setattr(cover_tree, "SKETCHES", 400)
+    kept, stored = [], cover_tree.stored
+    monkeypatch.setattr(cover_tree, "stored", lambda df, label, *a: (out := stored(df, label, *a), label == "kept" and kept.append(out))[0])
+    x = vectors(8, 2400, 60, 0.02, 64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    found = {r.vec_id: r for r in cover_tree.digest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert near.sum() > 60 and all(found[i].n_links == near[i].sum() for i in range(len(x)))
+    # of some 30,000 visits of vectors to cells
+    assert sum(k.count() for k in kept) < 400
+
+
+@pytest.mark.parametrize("d", [3, 64, 300])
+def test_sketches_are_no_nearer_than_cosines(d):
+    x = vectors(9, 700, 300, 0.3, d)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = cover_tree._sketches(x, cover_tree._directions(x[:20]))
+    assert (s.astype(float) @ s.T.astype(float) >= x @ x.T - cover_tree.SLACK / 2).all()
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    cell, cells = np.arange(600) % 3, np.random.default_rng(1).integers(0, 8, 400).astype(np.uint8)
+    met, kept = cover_tree.sieve(s[:600], cell.astype(np.uint8), s[600:], cells, 0.9)
+    linked = [near[600:, np.flatnonzero(cell == k)].any(1) & (cells >> k & 1 > 0) for k in range(3)]
+    assert all((kept[:, k] >= linked[k]).all() for k in range(3)) and not kept[:, 3:].any()
+    assert (met >= (near[:600, :600] & (cell[:, None] == cell)).any(1)).all()
